@@ -11,6 +11,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CONFIDENCE = 0.95
 
@@ -118,7 +119,7 @@ def _quantile(p: float, degrees: float) -> float:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _t_quantile(degrees: pd.Series, p: pd.Series) -> pd.Series:
     return pd.Series([_quantile(q, d) for d, q in zip(degrees, p, strict=True)], dtype="float64")
 

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-_CONTAINER_STATES = (
+import re
+
+CONTAINER_STATES = (
     "'NEW','LOCALIZING','LOCALIZED','RUNNING','KILLING','EXITED_WITH_SUCCESS','DONE',"
     "'LOCALIZATION_FAILED','CONTAINER_CLEANEDUP_AFTER_KILL','EXITED_WITH_FAILURE'"
 )
-_APP_STATES = (
+APP_STATES = (
     "'NEW','NEW_SAVING','SUBMITTED','ACCEPTED','RUNNING','FINAL_SAVING','FINISHING','FINISHED',"
     "'FAILED','KILLING','KILLED'"
 )
-_ATTEMPT_STATES = (
+ATTEMPT_STATES = (
     "'NEW','SUBMITTED','SCHEDULED','ALLOCATED','LAUNCHED','FAILED','RUNNING','FINISHING','FINISHED',"
     "'KILLED','ALLOCATED_SAVING','LAUNCHED_UNMANAGED_SAVING','FINAL_SAVING'"
 )
-_RM_CONTAINER_STATES = (
+RM_CONTAINER_STATES = (
     "'NEW','RESERVED','ALLOCATED','ACQUIRED','RUNNING','COMPLETED','EXPIRED','RELEASED','KILLED'"
 )
 
@@ -65,13 +67,13 @@ SELECT event_id * 4 + 1, ts,
       WHEN user_id % 2 = 0 AND event_id % 4 = 0 THEN ts_text
         || ' INFO ContainerManagerImpl: Start request for ' || container_id || ' by user u1'
       WHEN user_id % 2 = 0 THEN ts_text || ' INFO ContainerImpl: Container ' || container_id
-        || ' transitioned from X to ' || ([{_CONTAINER_STATES},'BOGUS'])[event_id % 11 + 1]
+        || ' transitioned from X to ' || ([{CONTAINER_STATES},'BOGUS'])[event_id % 11 + 1]
       WHEN event_id % 3 = 0 THEN ts_text || ' INFO RMAppImpl: ' || app_id || ' State change from X to '
-        || ([{_APP_STATES},'BOGUS'])[event_id % 12 + 1]
+        || ([{APP_STATES},'BOGUS'])[event_id % 12 + 1]
       WHEN event_id % 3 = 1 THEN ts_text || ' INFO RMAppAttemptImpl: appattempt_' || substr(app_id, 13)
-        || '_000001 State change from X to ' || ([{_ATTEMPT_STATES},'BOGUS'])[event_id % 14 + 1]
+        || '_000001 State change from X to ' || ([{ATTEMPT_STATES},'BOGUS'])[event_id % 14 + 1]
       ELSE ts_text || ' INFO RMContainerImpl: ' || container_id || ' Container Transitioned from X to '
-        || ([{_RM_CONTAINER_STATES},'BOGUS'])[event_id % 10 + 1] END
+        || ([{RM_CONTAINER_STATES},'BOGUS'])[event_id % 10 + 1] END
   END
 FROM ev
 UNION ALL
@@ -131,27 +133,27 @@ SELECT container_id, app_id, us, 'instant', 'byte.stored', NULL, NULL,
   3, 0, seq FROM stamped WHERE regexp_full_match(line, '{STORED}')""",
     "nm": f"""
 SELECT c AS container_id, epoch_us(substr(value, 1, 23)::TIMESTAMP) AS us, 'state' AS name,
-  {state_code(_CONTAINER_STATES, "state")} AS value, seq
+  {state_code(CONTAINER_STATES, "state")} AS value, seq
 FROM (SELECT *, regexp_extract(value, '.*Container ({CONTAINER}).*transitioned.*to (.*)', 1) AS c,
         regexp_extract(value, '.*Container ({CONTAINER}).*transitioned.*to (.*)', 2) AS state
       FROM routed WHERE route = 'nm_log')
-WHERE c <> '' AND {state_code(_CONTAINER_STATES, "state")} IS NOT NULL""",
+WHERE c <> '' AND {state_code(CONTAINER_STATES, "state")} IS NOT NULL""",
     "rm": f"""
 SELECT * FROM (
   SELECT 'app.state' AS name, a AS app_id, NULL AS attempt, NULL AS container_id,
-    epoch_us(substr(value, 1, 23)::TIMESTAMP) AS us, {state_code(_APP_STATES, "state")} AS value, seq
+    epoch_us(substr(value, 1, 23)::TIMESTAMP) AS us, {state_code(APP_STATES, "state")} AS value, seq
   FROM (SELECT *, regexp_extract(value, '.*(application_[0-9]+_[0-9]+) State change from.*to (.*)', 1) AS a,
           regexp_extract(value, '.*(application_[0-9]+_[0-9]+) State change from.*to (.*)', 2) AS state
         FROM routed WHERE route = 'rm_log') WHERE a <> ''
   UNION ALL
   SELECT 'app.attempt.state', 'application_' || string_split(a, '_')[2] || '_' || string_split(a, '_')[3],
-    a, NULL, epoch_us(substr(value, 1, 23)::TIMESTAMP), {state_code(_ATTEMPT_STATES, "state")}, seq
+    a, NULL, epoch_us(substr(value, 1, 23)::TIMESTAMP), {state_code(ATTEMPT_STATES, "state")}, seq
   FROM (SELECT *, regexp_extract(value, '.*(appattempt_[0-9]+_[0-9]+_[0-9]+).*State change from.*to (.*)', 1) AS a,
           regexp_extract(value, '.*(appattempt_[0-9]+_[0-9]+_[0-9]+).*State change from.*to (.*)', 2) AS state
         FROM routed WHERE route = 'rm_log') WHERE a <> ''
   UNION ALL
   SELECT 'rm.container.state', 'application_' || string_split(c, '_')[2] || '_' || string_split(c, '_')[3],
-    NULL, c, epoch_us(substr(value, 1, 23)::TIMESTAMP), {state_code(_RM_CONTAINER_STATES, "state")}, seq
+    NULL, c, epoch_us(substr(value, 1, 23)::TIMESTAMP), {state_code(RM_CONTAINER_STATES, "state")}, seq
   FROM (SELECT *, regexp_extract(value, '.*({CONTAINER}) Container Transitioned.*to (.*)', 1) AS c,
           regexp_extract(value, '.*({CONTAINER}) Container Transitioned.*to (.*)', 2) AS state
         FROM routed WHERE route = 'rm_log') WHERE c <> '')
@@ -172,7 +174,7 @@ SELECT tick, t, g, row_number() OVER (PARTITION BY g ORDER BY t) - 1 AS p,
   count(*) OVER (PARTITION BY g) AS n, min(t) OVER (PARTITION BY g) AS t0 FROM isle""",
     "win": """
 SELECT tick, (t0 + k * 2) * 60000 AS window_start, least(3, n - k * 2) AS n_ticks
-FROM (SELECT *, unnest(range(greatest(0, (p - 3 + 2) // 2 + (CASE WHEN p < 3 THEN -1 ELSE 0 END)), p // 2 + 1)) AS k
+FROM (SELECT *, unnest(range(greatest(0, (p - 2) // 2), p // 2 + 1)) AS k
       FROM pos)
 WHERE p >= k * 2 AND p < k * 2 + 3""",
     "htick": """
@@ -189,10 +191,13 @@ def with_views(sql: str) -> str:
 
     def visit(text: str) -> None:
         for name, body in VIEWS.items():
-            if name not in needed and any(f"{w} {name}" in text for w in ("FROM", "JOIN")):
+            if name not in needed and re.search(rf"\b(FROM|JOIN) {name}\b", text):
                 needed.add(name)
                 visit(body)
 
     visit(sql)
     views = ",\n".join(f"{name} AS ({body})" for name, body in VIEWS.items() if name in needed)
-    return f"WITH {views}\n{sql}" if views else sql
+    if not views:
+        return sql
+    own = sql.lstrip()
+    return f"WITH {views},\n{own[5:]}" if own.startswith("WITH ") else f"WITH {views}\n{own}"
