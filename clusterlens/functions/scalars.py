@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 # Fixed format: a date and time of day with optional fraction.
 TIMESTAMP_TEXT = r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}(\.\d{1,9})?$"
+# Fixed pattern: the time at the start of a log line.
+LOG_TIME = (
+    r"^(?:\d{4}|\d{2})[-/]\d{1,2}[-/]\d{1,2}\s+\d{1,2}:\d{1,2}:\d{1,2}(?:[.,]\d{1,9})?(?=\s|$)"
+)
 TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss.SSS"
 # Fixed pattern: a value specification that is a number and not a group name.
 LITERAL_VALUE = r"[-+]?\d*(\.\d*)?"
@@ -22,13 +26,10 @@ def strict_timestamp(text: Column) -> Column:
 
 
 def parse_log_ts(line: Column) -> Column:
-    """Timestamp from the first two words of a log line."""
-    words = F.split(line, r"\s+", 3)
-    date = F.replace(F.try_element_at(words, F.lit(1)), F.lit("/"), F.lit("-"))
-    year = F.substring_index(date, "-", 1)
-    date = F.when(F.length(year) < 4, F.concat(F.lit("20"), date)).otherwise(date)
-    time = F.replace(F.try_element_at(words, F.lit(2)), F.lit(","), F.lit("."))
-    return strict_timestamp(F.concat(date, F.lit(" "), time))
+    """Timestamp from the first two words of a log line; `/` dates, two-digit years and `,` fractions fit."""
+    words = F.translate(F.regexp_extract(line, LOG_TIME, 0), "/,", "-.")
+    words = F.regexp_replace(words, r"\s+", " ")
+    return F.regexp_replace(words, r"^(\d\d)-", "20$1-").try_cast("timestamp")
 
 
 def add_millis(ts: Column, millis: int) -> Column:
@@ -39,11 +40,9 @@ def parse_with_unit(text: Column) -> Column:
     """Number with an optional size unit: `4.1 KB` -> 4198.4; unknown units count as 1."""
     trimmed = F.trim(text)
     number = F.regexp_extract(trimmed, r"(?s)^(.*[0-9])[^0-9]*$", 1).try_cast("double")
-    unit = F.lower(F.trim(F.regexp_extract(trimmed, r"([^0-9]*)$", 1)))
-    factor = F.lit(1.0)
-    for name, size in UNIT_FACTORS.items():
-        factor = F.when(unit == name, F.lit(float(size))).otherwise(factor)
-    return number * factor
+    unit = F.lower(F.trim(F.regexp_extract(trimmed, r"(?s)^.*[0-9]([^0-9]*)$", 1)))
+    factors = F.create_map(*[F.lit(x) for name, f in UNIT_FACTORS.items() for x in (name, float(f))])
+    return number * F.coalesce(F.try_element_at(factors, unit), F.lit(1.0))
 
 
 def literal_value(spec: str) -> float | None:
@@ -83,7 +82,3 @@ def to_megabytes(value: Column) -> Column:
 def format_millis(epoch_ms: Column) -> Column:
     return F.date_format(F.timestamp_millis(epoch_ms), TIMESTAMP_FORMAT)
 
-
-def empty_tags() -> Column:
-    none = F.array().cast("array<string>")
-    return F.map_from_arrays(none, none)

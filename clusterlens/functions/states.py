@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from itertools import chain
 
 from pyspark.sql import Column
@@ -41,3 +42,10 @@ def state_code(kind: str, state: Column) -> Column:
     """Code of a state name as DOUBLE, null for an unknown name."""
     codes = F.create_map(*[F.lit(x) for x in chain(*TABLES[kind].items())])
     return F.try_element_at(codes, state).cast("double")
+
+
+def any_state_code(kind: Column, state: Column) -> Column:
+    """`state_code` for a kind that differs from row to row."""
+    codes = {f"{k}:{name}": code for k, table in TABLES.items() for name, code in table.items()}
+    table = F.from_json(F.lit(json.dumps(codes)), "MAP<STRING, DOUBLE>")
+    return F.try_element_at(table, F.concat(kind, F.lit(":"), state))

@@ -13,6 +13,7 @@ from clusterlens.operators import segments
 from clusterlens.operators.extract import PERIOD
 from clusterlens.operators.metrics import METRIC_COLUMNS
 from clusterlens.operators.windows import tick
+from clusterlens.session import stage
 
 CELL = ["tick", "container_id"]
 MESSAGES_PER_PART = 100_000
@@ -149,15 +150,13 @@ def message_maps(long: DataFrame, per_part: int = MESSAGES_PER_PART) -> DataFram
         .agg(F.array_sort(F.collect_list(F.struct("seq", "_ident", message)), _by_arrival).alias("_list"))
         .withColumn("_list", F.transform("_list", lambda x: x["m"]))
     )
-    entry = F.struct("key", "_list")
-
-    def gathered(kind: str) -> Column:
-        entries = F.array_sort(F.collect_list(F.when(F.col("kind") == kind, entry)))
-        return F.map_from_entries(entries)
-
-    return per_key.groupBy(*CELL, "part").agg(
-        gathered("period").alias("period_messages"), gathered("instant").alias("instant_messages")
-    )
+    per_kind = {
+        kind: F.map_from_entries(
+            F.collect_list(F.when(F.col("kind") == kind, F.struct("key", "_list")))
+        ).alias(f"{kind}_messages")
+        for kind in ("period", "instant")
+    }
+    return per_key.groupBy(*CELL, "part").agg(*per_kind.values())
 
 
 def nested(cells: DataFrame, maps: DataFrame) -> DataFrame:
@@ -169,7 +168,7 @@ def nested(cells: DataFrame, maps: DataFrame) -> DataFrame:
 
 def active_containers(cells: DataFrame, tick_ms: int) -> DataFrame:
     """Containers per tick, at the ticks where their number changes."""
-    per_tick = (
+    per_tick = stage(
         cells.select(*CELL).distinct().groupBy("tick").agg(F.count(F.lit(1)).alias("containers"))
     )
     changes = segments.lag(

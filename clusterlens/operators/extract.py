@@ -5,14 +5,15 @@ Everything here is map-only: no shuffle, and each pattern is a literal that is c
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clusterlens.functions import ids, scalars
-from clusterlens.functions.states import state_code
-from clusterlens.sources.rules import Group, Rule
+from clusterlens.functions.states import any_state_code
+from clusterlens.sources.rules import Rule
 
 # Fixed patterns and names of record routes.
 FINISH_PATTERN = r"\Acontainer.* is finished\.\z"
@@ -109,66 +110,11 @@ def _match(df: DataFrame, rules: Sequence[Rule], line: str) -> DataFrame:
     return df.select("*", F.explode(F.array_compact(numbers)).alias("rule_id"))
 
 
-def _tag_map(tags: dict[str, Column]) -> Column:
-    if not tags:
-        return scalars.empty_tags()
-    return F.create_map(*[x for name, value in tags.items() for x in (F.lit(name), value)])
-
-
-def _value(rule: Rule, group: Group, line: Column) -> Column:
-    number = scalars.literal_value(group.value or "")
-    if number is not None:
-        return F.lit(number)
-    return scalars.parse_with_unit(rule.capture(line, group.value or ""))
-
-
-def _fact(rule: Rule, group_id: int, value: Column, tags: dict[str, Column], container) -> Column:
-    group = rule.groups[group_id]
-    return F.struct(
-        F.lit(group.type).alias("type"),
-        F.lit(group.name).alias("name"),
-        value.alias("value"),
-        F.lit(group.is_finish).alias("is_finish"),
-        F.lit(group_id).alias("group_id"),
-        F.lit(rule.date_offset * 1000).cast("bigint").alias("offset_us"),
-        _tag_map(tags).cast("map<string,string>").alias("tags"),
-        (F.lit(None) if container is None else container).cast("string").alias("container_id"),
-    )
-
-
-def _container_fact(rule: Rule, group_id: int, line: Column, container: str) -> Column:
-    group = rule.groups[group_id]
-    tags = {
-        t: scalars.sanitize_tag(rule.capture(line, t))
-        for t in group.tags
-        if t not in ("container", "app")
-    }
-    return _fact(rule, group_id, _value(rule, group, line), tags, F.col(container))
-
-
-def _nm_fact(rule: Rule, group_id: int, line: Column) -> Column:
-    group = rule.groups[group_id]
-    captured = {t: rule.capture(line, t) for t in group.tags}
-    if group.name == "state":
-        state = captured.get("state")
-        value = (
-            F.lit(None).cast("double")
-            if state is None
-            else state_code("container", scalars.first_word(state))
-        )
-    else:
-        value = _value(rule, group, line)
-    container = captured.pop("container", None)
-    hidden = ("state",) if container is None else ("state", "app")
-    tags = {t: scalars.sanitize_tag(c) for t, c in captured.items() if t not in hidden}
-    return _fact(
-        rule,
-        group_id,
-        value,
-        tags,
-        None if container is None else F.nullif(scalars.sanitize_tag(container), F.lit("")),
-    )
-
+# What a rule group asks for, as data: which captures to use and how. `capture` -1 means none.
+TEMPLATE_SCHEMA = """ARRAY<ARRAY<STRUCT<
+  group_id INT, type STRING, name STRING, is_finish BOOLEAN,
+  literal DOUBLE, capture INT, state_kind STRING, container INT,
+  tag ARRAY<STRUCT<name STRING, capture INT, how STRING>>>>>"""
 
 # Fixed names of state facts whose value comes from a state table.
 RM_STATE_KINDS = {
@@ -178,93 +124,150 @@ RM_STATE_KINDS = {
 }
 
 
-def _rm_fact(rule: Rule, group_id: int, line: Column) -> Column:
+def _captures(rule: Rule) -> list[str]:
+    """Named groups of a rule that its facts use."""
+    used = {name for g in rule.groups for name in (*g.tags, g.value)}
+    return [name for name in rule.group_index if name in used]
+
+
+def _template(rule: Rule, group_id: int, role: str) -> dict | None:
+    """The fact of one group, or None when it can never have a value."""
     group = rule.groups[group_id]
-    captured = {t: scalars.sanitize_tag(rule.capture(line, t)) for t in group.tags}
-    kind = RM_STATE_KINDS.get(group.name)
-    if kind is None:
-        value = _value(rule, group, line)
-    elif "state" in captured:
-        value = state_code(kind, scalars.first_word(rule.capture(line, "state")))
-    else:
-        value = F.lit(None).cast("double")
-    tags: dict[str, Column] = {}
-    for tag, text in captured.items():
-        if tag == "app":
-            tags["app"] = text
-        elif tag == "appAttempt":
-            tags["app"] = ids.attempt_to_app(text)
-            tags["app.attempt"] = text
-        elif tag == "container":
-            tags["app"] = ids.container_to_app(text)
-            tags["container"] = text
-    return _fact(rule, group_id, value, tags, tags.get("container"))
-
-
-def _facts(matched: DataFrame, rules: Sequence[Rule], line: str, make) -> DataFrame:
+    captures = _captures(rule)
+    if any(tag not in captures for tag in group.tags):
+        return None
+    position = {name: i + 1 for i, name in enumerate(captures)}
+    literal = scalars.literal_value(group.value or "")
+    capture = -1 if literal is not None else position.get(group.value, -1)
+    kind = None
+    if role == "nm" and group.name == "state":
+        kind = "container"
+    elif role == "rm":
+        kind = RM_STATE_KINDS.get(group.name)
+    if kind is not None:
+        literal, capture = None, position["state"] if "state" in group.tags else -1
+    if literal is None and capture < 0:
+        return None
+    names_container = role != "container" and "container" in group.tags
+    tags = [(t, position[t], "text") for t in group.tags if t != "container"]
+    if role != "container":
+        tags = [t for t in tags if t[0] != "state"]
+    if role == "rm":
+        tags = [t for t in tags if t[0] in ("app", "appAttempt")]
+        attempt = [t for t in tags if t[0] == "appAttempt"]
+        if attempt:
+            number = attempt[0][1]
+            tags = [("app", number, "attempt_app"), ("app.attempt", number, "text")]
+    if role == "container" or names_container:
+        tags = [t for t in tags if t[0] != "app"]
+    return {
+        "group_id": group_id,
+        "type": INSTANT if role == "rm" else group.type,
+        "name": group.name,
+        "is_finish": group.is_finish,
+        "literal": literal,
+        "capture": capture,
+        "state_kind": kind,
+        "container": position["container"] if names_container else -1,
+        "tag": [dict(zip(("name", "capture", "how"), t, strict=True)) for t in dict.fromkeys(tags)],
+    }
+
+
+def _facts(matched: DataFrame, rules: Sequence[Rule], line: str, role: str) -> DataFrame:
+    """Facts of (line, rule) rows.
+
+    Only the captures differ per rule. The rest of the work is driven by one constant table of
+    templates, so the expression, and the code generated for it, does not grow with the rule set.
+    """
     text = F.col(line)
-    per_rule = F.when(F.col("rule_id") < 0, F.lit(None))
+    captured = None
+    templates = []
     for number, rule in enumerate(rules):
-        if rule.groups:
-            facts = F.array(*[make(rule, i, text) for i in range(len(rule.groups))])
-            per_rule = per_rule.when(F.col("rule_id") == number, facts)
-    # The time is computed after the match, so lines without facts never pay for it.
-    ts = F.timestamp_micros(F.unix_micros(scalars.parse_log_ts(text)) + F.col("offset_us"))
-    return (
-        matched.select("seq", text.alias("_line"), "rule_id", F.inline(per_rule))
-        .where(F.col("value").isNotNull())
-        .withColumnRenamed("_line", line)
-        .withColumn("ts", ts)
-        .where(F.col("ts").isNotNull())
-        .drop(line, "offset_us")
+        found = [_template(rule, i, role) for i in range(len(rule.groups))]
+        templates.append([t for t in found if t is not None])
+        values = [rule.capture(text, name) for name in _captures(rule)]
+        here = F.col("rule_id") == number
+        parts = F.array(*values) if values else F.array().cast("array<string>")
+        captured = F.when(here, parts) if captured is None else captured.when(here, parts)
+    table = F.from_json(F.lit(json.dumps(templates)), TEMPLATE_SCHEMA)
+    per_group = F.element_at(table, F.col("rule_id") + 1)
+    own = F.lit(None).cast("string") if role != "container" else F.col("container_id")
+    offsets = F.array(*[F.lit(r.date_offset * 1000).cast("bigint") for r in rules])
+    # The time depends on the rule, so the optimizer cannot parse it before the lines are matched.
+    us = F.unix_micros(scalars.parse_log_ts(text)) + F.get(offsets, F.col("rule_id"))
+    rows = (
+        matched.select("seq", own.alias("_own"), "rule_id", captured.alias("_c"), us.alias("_us"))
+        .where(F.col("_us").isNotNull())
+        .select("seq", "_own", "rule_id", "_c", "_us", F.inline(per_group))
+    )
+    named = F.when(F.col("capture") > 0, F.get("_c", F.col("capture") - 1))
+    value = F.coalesce(
+        F.col("literal"),
+        F.when(
+            F.col("state_kind").isNotNull(), any_state_code(F.col("state_kind"), scalars.first_word(named))
+        ).otherwise(scalars.parse_with_unit(named)),
+    )
+    container = F.coalesce(
+        "_own",
+        F.when(
+            F.col("container") > 0,
+            F.nullif(scalars.sanitize_tag(F.get("_c", F.col("container") - 1)), F.lit("")),
+        ),
     )
 
+    def tag_value(tag: Column) -> Column:
+        clean = scalars.sanitize_tag(F.get(F.col("_c"), tag["capture"] - 1))
+        return F.when(tag["how"] == "attempt_app", ids.attempt_to_app(clean)).otherwise(clean)
 
-def _with_own_ids(facts: DataFrame) -> DataFrame:
-    """Like `with_ids`, for fresh facts that cannot hold these two tags yet."""
-    c = F.col("container_id")
-    joined = F.map_concat("tags", _id_tags(c))
-    return facts.withColumn("tags", F.when(c.isNotNull() & (c != ""), joined).otherwise(F.col("tags")))
-
-
-def _messages(facts: DataFrame) -> DataFrame:
-    return facts.select(
-        "container_id",
-        F.coalesce(ids.container_to_app(F.col("container_id")), F.col("tags")["app"]).alias("app_id"),
-        "ts",
-        "type",
-        "name",
-        "tags",
-        "value",
-        "is_finish",
-        "rule_id",
-        "group_id",
-        "seq",
+    tags = F.map_from_arrays(F.col("tag.name"), F.transform("tag", tag_value))
+    return (
+        rows.withColumns({"value": value, "container_id": container, "tags": tags})
+        .where(F.col("value").isNotNull())
+        .withColumn("_app", ids.container_to_app(F.col("container_id")))
+        .select(
+            "container_id",
+            F.coalesce("_app", F.col("tags")["app"]).alias("app_id"),
+            F.timestamp_micros("_us").alias("ts"),
+            "type",
+            "name",
+            F.when(F.col("container_id").isNull(), F.col("tags"))
+            .when(
+                F.col("_app").isNull(),
+                F.map_concat("tags", F.create_map(F.lit("container"), F.col("container_id"))),
+            )
+            .otherwise(
+                F.map_concat(
+                    "tags",
+                    F.create_map(
+                        F.lit("container"), F.col("container_id"), F.lit("app"), F.col("_app")
+                    ),
+                )
+            )
+            .alias("tags"),
+            "value",
+            "is_finish",
+            "rule_id",
+            "group_id",
+            "seq",
+        )
     )
 
 
-def apply_rules(
-    df: DataFrame, rules: Sequence[Rule], line: str = "line", container: str = "container_id"
-) -> DataFrame:
+def apply_rules(df: DataFrame, rules: Sequence[Rule], line: str = "line") -> DataFrame:
     """Facts of container log lines: every rule that matches gives one fact per group.
 
     Needs columns `container_id`, `line` and `seq` (arrival order).
     """
-
-    def make(rule, group_id, text):
-        return _container_fact(rule, group_id, text, container)
-
-    return _messages(_with_own_ids(_facts(_match(df, rules, line), rules, line, make)))
+    return _facts(_match(df, rules, line), rules, line, "container")
 
 
 def apply_manager_rules(
     df: DataFrame, rules: Sequence[Rule], role: str, line: str = "line"
 ) -> DataFrame:
-    """Facts of daemon log lines; `role` is `nm` (node manager) or `rm` (resource manager)."""
+    """Facts of daemon log lines; `role` is `nm` (node manager) or `rm` (resource manager).
+
+    Needs columns `line` and `seq`.
+    """
     if role not in ("nm", "rm"):
         raise ValueError(f"unknown daemon role: {role}")
-    make = _nm_fact if role == "nm" else _rm_fact
-    facts = _facts(_match(df, rules, line), rules, line, make)
-    if role == "nm":
-        return _messages(_with_own_ids(facts))
-    return _messages(facts).withColumn("type", F.lit(INSTANT))
+    return _facts(_match(df, rules, line), rules, line, role)

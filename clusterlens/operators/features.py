@@ -11,6 +11,7 @@ from clusterlens.functions import ids, scalars
 from clusterlens.operators import segments, windows
 from clusterlens.operators.cells import CELL
 from clusterlens.operators.extract import PERIOD
+from clusterlens.session import stage
 
 # Reducers of one cell's messages of one key; an absent key counts as 0.
 MESSAGE_REDUCERS = {
@@ -106,7 +107,7 @@ def aligned_series(
         .withColumn("x", F.coalesce("x", F.lit(0.0)))
     )
     if use_rate:
-        rows = metric_delta(rows, "y", **cut).withColumn("y", F.col("delta"))
+        rows = metric_delta(stage(rows), "y", **cut).withColumn("y", F.col("delta"))
     return rows.select(*CELL, "x", "y")
 
 
@@ -122,7 +123,7 @@ def union_sources(series: dict[str, DataFrame]) -> DataFrame:
 def training_set(series: DataFrame, size: int, stride: int, **cut) -> DataFrame:
     """Windowed (x, y) per source: x summed, y the maximum in MB, in (tick, container) order."""
     return windows.positional(
-        series,
+        stage(series),
         F.col("tick"),
         ["tick", "container_id"],
         size,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clusterlens.functions.ids import tag_key
@@ -10,7 +10,6 @@ from clusterlens.operators import segments
 from clusterlens.operators.extract import INSTANT
 
 ORDER = ["ts", "seq", "rule_id", "group_id"]
-FAR = 2**63 - 1
 BY_FINISH = "finish"
 BY_CONTAINER = "container_finish"
 OPEN = "open"
@@ -20,10 +19,10 @@ TICKS_PER_CHUNK = 4096
 def pair(messages: DataFrame, container_finish: DataFrame, **cut) -> DataFrame:
     """Periods of (container, name, tags): first start opens, first finish after it closes.
 
-    `container_finish` (container_id, ts, seq) ends every open period of the container. A marker is never
-    copied to the keys of its container: each fact only learns the next marker after it, which splits a
-    key's timeline into epochs. Inside an epoch the facts between two finishes form one group, so a period
-    is one aggregate row.
+    `container_finish` (container_id, ts, seq) ends every open period of the container. Each start learns
+    what closes it: the next finish of its own key or the next finish of its container, whichever comes
+    first. Starts with the same closing event are one period, so a period is one aggregate row, and a
+    marker is never copied to the keys of its container. Give a stored table: it is scanned four times.
     """
     facts = messages.where(F.col("type") != INSTANT).select(
         "container_id",
@@ -35,7 +34,6 @@ def pair(messages: DataFrame, container_finish: DataFrame, **cut) -> DataFrame:
         "value",
         "is_finish",
         *ORDER,
-        F.lit(False).alias("_marker"),
     )
     markers = container_finish.select(
         "container_id",
@@ -43,39 +41,47 @@ def pair(messages: DataFrame, container_finish: DataFrame, **cut) -> DataFrame:
         "seq",
         F.lit(-1).alias("rule_id"),
         F.lit(-1).alias("group_id"),
-        F.lit(True).alias("_marker"),
     )
-    marker = F.when(F.col("_marker"), F.struct(F.unix_micros("ts").alias("us"), "seq"))
-    rows = segments.fill(
+    keys = ["container_id", "name", "tag_key"]
+    rows = segments.assign(
         facts.unionByName(markers, allowMissingColumns=True),
         ["container_id"],
         segments.micros(),
-        ORDER,
-        marker,
-        "_next",
-        forward=True,
         **cut,
-    ).where(~F.col("_marker"))
-    rows = rows.select(
-        "*",
-        F.coalesce("_next.us", F.lit(FAR)).alias("_epoch_us"),
-        F.coalesce("_next.seq", F.lit(FAR)).alias("_epoch_seq"),
-    ).drop("_next", "_marker")
-    keys = ["container_id", "name", "tag_key", "_epoch_us", "_epoch_seq"]
-    rows = segments.running_count(
-        rows, keys, segments.micros(), ORDER, F.col("is_finish"), "_finishes", **cut
     )
-    start = F.when(~F.col("is_finish"), F.struct(*ORDER))
+    at = F.struct(*ORDER)
+    is_marker = F.col("name").isNull()
+    is_close = F.col("is_finish")
+    next_marker = segments.carry(
+        rows, ["container_id"], _marker=(F.min(F.when(is_marker, at)), "next")
+    )
+    next_finish = segments.carry(
+        rows.where(~is_marker), keys, _finish=(F.min(F.when(is_close, at)), "next")
+    )
+    latest_first = [F.desc(c) for c in ORDER]
+    from_here = (Window.unboundedPreceding, 0)
+    by_container = segments.inside(["container_id"], latest_first).rowsBetween(*from_here)
+    by_key = segments.inside(keys, latest_first).rowsBetween(*from_here)
+    rows = (
+        rows.join(next_marker, ["container_id", segments.SEGMENT], "left")
+        .withColumn(
+            "_marker", F.coalesce(F.min(F.when(is_marker, at)).over(by_container), F.col("_marker"))
+        )
+        .where(~is_marker)
+        .join(next_finish, [*keys, segments.SEGMENT], "left")
+        .withColumn("_finish", F.coalesce(F.min(F.when(is_close, at)).over(by_key), F.col("_finish")))
+        .where(~is_close)
+        .withColumn("_close", F.least("_finish", "_marker"))
+    )
     opening = F.struct("ts", "value", "tags", "app_id", "type")
-    closed_at = F.col("_finish_ts").isNotNull()
-    killed = F.col("_epoch_us") < FAR
+    by_own_finish = F.col("_close") == F.col("_finish")
+    closed_by = (
+        F.when(F.col("_close").isNull(), OPEN).when(by_own_finish, BY_FINISH).otherwise(BY_CONTAINER)
+    )
     return (
-        rows.groupBy(*keys, "_finishes")
-        .agg(
-            F.min_by(opening, start).alias("_open"),
-            F.max(F.when(F.col("is_finish"), F.col("ts"))).alias("_finish_ts"),
-        )
-        .where(F.col("_open").isNotNull())
+        rows.withColumn("closed_by", closed_by)
+        .groupBy(*keys, "_close", "closed_by")
+        .agg(F.min_by(opening, at).alias("_open"))
         .select(
             "container_id",
             "_open.app_id",
@@ -85,10 +91,8 @@ def pair(messages: DataFrame, container_finish: DataFrame, **cut) -> DataFrame:
             "_open.tags",
             "_open.value",
             F.col("_open.ts").alias("start_ts"),
-            F.when(closed_at, F.col("_finish_ts"))
-            .when(killed, F.timestamp_micros("_epoch_us"))
-            .alias("end_ts"),
-            F.when(closed_at, BY_FINISH).when(killed, BY_CONTAINER).otherwise(OPEN).alias("closed_by"),
+            F.col("_close.ts").alias("end_ts"),
+            "closed_by",
         )
     )
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clusterlens.operators import segments
+from clusterlens.session import stage
 
 DEFAULT_SIZE = 1000
 TICKS_PER_SEGMENT = 86_400
@@ -66,7 +67,7 @@ def gap_aware(
     if upper is not None:
         ticks = ticks.where(F.col("tick") <= tick(upper, spec.tick))
     runs = segments.islands(
-        ticks, list(scope), "tick", spec.tick, width=spec.tick * TICKS_PER_SEGMENT
+        stage(ticks), list(scope), "tick", spec.tick, width=spec.tick * TICKS_PER_SEGMENT
     )
     pos = _div(F.col("tick") - F.col("island_start"), spec.tick)
     length = _div(F.col("island_end") - F.col("island_start"), spec.tick) + 1
@@ -90,7 +91,7 @@ def gap_aware(
 def windowed(
     cells: DataFrame, spec: WindowSpec, scope: Sequence[str] = (), upper: Column | None = None
 ) -> DataFrame:
-    """Every cell once per window it is in."""
+    """Every cell once per window it is in. Give stored cells: their ticks are read first."""
     return cells.join(gap_aware(cells, spec, scope, upper), [*scope, "tick"])
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from clusterlens.functions import scalars, states
 from clusterlens.operators import cells, extract
 from clusterlens.plans import flows
-from clusterlens.session import configure
+from clusterlens.session import configure, spread, stage
 from clusterlens.sources import bundled
 from clusterlens.sources.rules import Group, Rule
 
@@ -29,8 +29,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with the container and application of their user and the text form of their time."""
     user = F.col("user_id")
     ts = F.col("ts").cast("timestamp")
-    rows = table(spark, sf_dir, "events").select(
-        "event_id", ts.alias("ts"), "user_id", "event_type", "value"
+    rows = spread(
+        table(spark, sf_dir, "events").select(
+            "event_id", ts.alias("ts"), "user_id", "event_type", "value"
+        ),
+        "event_id",
     )
     return (
         rows.withColumn(
@@ -243,9 +246,18 @@ def sample_cells(spark: SparkSession, sf_dir: str, tick_ms: int = MINUTE) -> Dat
     return cells.sample_cells(samples(spark, sf_dir), tick_ms)
 
 
+def stored_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Container facts as a table, for operators that read them more than once."""
+    return stage(container_facts(spark, sf_dir))
+
+
+def stored_cells(spark: SparkSession, sf_dir: str, tick_ms: int = MINUTE) -> DataFrame:
+    return stage(sample_cells(spark, sf_dir, tick_ms))
+
+
 def task_messages(spark: SparkSession, sf_dir: str, tick_ms: int) -> DataFrame:
     """Running and finished tasks by cell, on the clock of the metrics."""
-    rows = container_facts(spark, sf_dir)
+    rows = stored_facts(spark, sf_dir)
     forward = scalars.add_millis(F.col("ts"), -bundled.TWO_HOURS_BACK)
     return cells.cell_messages(rows.withColumn("ts", forward), tick_ms)
 

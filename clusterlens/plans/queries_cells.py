@@ -81,7 +81,7 @@ def message_counts(spark, sf_dir):
 )
 def message_maps(spark, sf_dir):
     """The nested maps of every cell, shown as one text per key."""
-    long = cells.cell_messages(demo.container_facts(spark, sf_dir), demo.HOUR)
+    long = cells.cell_messages(demo.stored_facts(spark, sf_dir), demo.HOUR)
     maps = cells.message_maps(long)
     kinds = None
     for kind in ("period", "instant"):
@@ -111,7 +111,7 @@ def period_keys(spark, sf_dir):
     FROM cf GROUP BY ALL""",
 )
 def message_reducers(spark, sf_dir):
-    long = cells.cell_messages(demo.container_facts(spark, sf_dir), demo.HOUR)
+    long = cells.cell_messages(demo.stored_facts(spark, sf_dir), demo.HOUR)
     reduced = {how: features.reduce_messages(long, how) for how in ("sum", "count", "avg")}
     keys = ["tick", "container_id", "kind", "key"]
     out = None
@@ -173,7 +173,7 @@ def app_windows(spark, sf_dir):
     FROM mcell JOIN win USING (tick) GROUP BY ALL""",
 )
 def window_mean(spark, sf_dir):
-    windowed = windows.windowed(demo.sample_cells(spark, sf_dir), SPEC)
+    windowed = windows.windowed(demo.stored_cells(spark, sf_dir), SPEC)
     return features.window_mean(windowed, "memory").withColumn("mean", F.round("mean", 4))
 
 
@@ -183,7 +183,7 @@ def window_mean(spark, sf_dir):
     FROM mcell JOIN win USING (tick) GROUP BY ALL""",
 )
 def extractor(spark, sf_dir):
-    windowed = windows.windowed(demo.sample_cells(spark, sf_dir), SPEC)
+    windowed = windows.windowed(demo.stored_cells(spark, sf_dir), SPEC)
     return features.run_extractor("memory", windowed).withColumn("value", F.round("value", 4))
 
 
@@ -195,7 +195,7 @@ def extractor(spark, sf_dir):
     SELECT window_start, container_id, tick, key, n FROM l JOIN n USING (tick, container_id)""",
 )
 def window_key_counts(spark, sf_dir):
-    windowed = windows.windowed(demo.sample_cells(spark, sf_dir), SPEC)
+    windowed = windows.windowed(demo.stored_cells(spark, sf_dir), SPEC)
     counts = cells.message_counts(demo.task_messages(spark, sf_dir, demo.MINUTE))
     return features.window_key_counts(windowed, counts)
 
@@ -306,7 +306,7 @@ def baseline(spark, sf_dir):
     FROM mcell""",
 )
 def metric_delta(spark, sf_dir):
-    rows = features.metric_delta(demo.sample_cells(spark, sf_dir), "memory", width=demo.HOUR)
+    rows = features.metric_delta(demo.stored_cells(spark, sf_dir), "memory", width=demo.HOUR)
     return rows.select("tick", "container_id", "delta")
 
 
@@ -368,18 +368,18 @@ _FLUSHABLE = """
   c AS (SELECT app_id, max(tick) AS last_tick FROM mcell GROUP BY app_id),
   o AS (SELECT app_id, min(us) // 1000 AS ms FROM rm WHERE name = 'app.state' AND value > 6.5 GROUP BY app_id),
   fl AS (SELECT c.app_id, greatest(last_tick, ms) AS last_tick FROM c JOIN o USING (app_id)
-      WHERE greatest(last_tick, ms) + 10800000 <= epoch_ms(TIMESTAMP '2024-01-31 00:00:00'))"""
+      WHERE greatest(last_tick, ms) + 2000 <= epoch_ms(TIMESTAMP '2024-01-30 23:20:00'))"""
 
 
-def _flushable(spark, sf_dir):
+def _flushable(spark, sf_dir, stored):
     finished = states.finished_apps(demo.manager_facts(spark, sf_dir, "rm"))
-    horizon = F.unix_millis(F.lit("2024-01-31 00:00:00").cast("timestamp"))
-    return flows.flushable_apps(demo.sample_cells(spark, sf_dir), finished, 3 * demo.HOUR, horizon)
+    horizon = F.unix_millis(F.lit("2024-01-30 23:20:00").cast("timestamp"))
+    return flows.flushable_apps(stored, finished, 2000, horizon)
 
 
 @query("str9_app_flush", f"WITH {_FLUSHABLE} SELECT app_id, last_tick FROM fl")
 def app_flush(spark, sf_dir):
-    return _flushable(spark, sf_dir)
+    return _flushable(spark, sf_dir, demo.stored_cells(spark, sf_dir))
 
 
 @query(
@@ -387,7 +387,8 @@ def app_flush(spark, sf_dir):
     f"WITH {_FLUSHABLE} SELECT tick, container_id, app_id, memory FROM mcell WHERE app_id IN (SELECT app_id FROM fl)",
 )
 def app_cells(spark, sf_dir):
-    kept = snapshots.app_cells(demo.sample_cells(spark, sf_dir), _flushable(spark, sf_dir))
+    stored = demo.stored_cells(spark, sf_dir)
+    kept = snapshots.app_cells(stored, _flushable(spark, sf_dir, stored))
     return kept.select("tick", "container_id", "app_id", "memory")
 
 

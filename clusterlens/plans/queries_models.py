@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from clusterlens.operators import cells, features, models
+from clusterlens.operators import features, models
 from clusterlens.plans import demo, flows
 from clusterlens.plans.catalog import query
+from clusterlens.session import stage
 
 DAY = 24 * demo.HOUR
 _SERIES = """
@@ -24,12 +25,12 @@ train AS (SELECT source, k AS window_no, sum(x) AS x, max(y) / 1000000 AS y FROM
 
 
 def _tables(spark, sf_dir):
-    hourly = cells.sample_cells(demo.samples(spark, sf_dir), demo.HOUR)
+    hourly = demo.stored_cells(spark, sf_dir, demo.HOUR)
     return hourly, demo.task_messages(spark, sf_dir, demo.HOUR)
 
 
-def _series(spark, sf_dir, use_rate=False):
-    hourly, long = _tables(spark, sf_dir)
+def _series(spark, sf_dir, use_rate=False, tables=None):
+    hourly, long = tables or _tables(spark, sf_dir)
     return features.aligned_series(hourly, long, "memory", "task", "count", use_rate=use_rate, width=DAY)
 
 
@@ -40,7 +41,7 @@ def _training(spark, sf_dir):
 
 @query("prj10_worker_containers", "SELECT tick, container_id FROM hcell WHERE container_id NOT LIKE '%000001'")
 def workers(spark, sf_dir):
-    hourly, _ = _tables(spark, sf_dir)
+    hourly = demo.sample_cells(spark, sf_dir, demo.HOUR)
     return features.worker_containers(hourly).select("tick", "container_id")
 
 
@@ -65,7 +66,8 @@ def rate_series(spark, sf_dir):
       y - coalesce(lag(y) OVER (PARTITION BY container_id ORDER BY tick), 0) FROM ser""",
 )
 def union_sources(spark, sf_dir):
-    both = {"count": _series(spark, sf_dir), "rate": _series(spark, sf_dir, use_rate=True)}
+    tables = _tables(spark, sf_dir)
+    both = {"count": _series(spark, sf_dir, False, tables), "rate": _series(spark, sf_dir, True, tables)}
     return features.union_sources(both)
 
 
@@ -133,4 +135,4 @@ def correlation(spark, sf_dir):
 @query("mod5_kmeans")
 def kmeans(spark, sf_dir):
     """Two clusters of (tasks, memory) windows; iterative, so no SQL form."""
-    return models.kmeans(_training(spark, sf_dir)).select("source", "window_no", "x", "y", "cluster")
+    return models.kmeans(stage(_training(spark, sf_dir))).select("source", "window_no", "x", "y", "cluster")

@@ -10,6 +10,7 @@ from clusterlens.plans import demo, flows
 from clusterlens.plans.catalog import query
 from clusterlens.plans.oracle import state_code
 from clusterlens.plans.oracle import CONTAINER_STATES
+from clusterlens.session import stage
 from clusterlens.sinks import records as sinks
 from clusterlens.sources import bundled, logs
 from clusterlens.streaming.queries import latency
@@ -34,8 +35,8 @@ def route(spark, sf_dir):
 )
 def rejects(spark, sf_dir):
     routed = demo.routed(spark, sf_dir)
-    bad_metrics = metrics.rejected_lines(routed.where(F.col("route") == "metric"))
-    return extract.rejects(routed).unionByName(bad_metrics).select("seq", "key", "value")
+    bad_metrics = metrics.rejected_lines(routed.drop("ts").where(F.col("route") == "metric"))
+    return extract.rejects(routed.drop("ts")).unionByName(bad_metrics).select("seq", "key", "value")
 
 
 @query("prj3_matching_lines", "SELECT seq, line FROM lines")
@@ -342,7 +343,7 @@ paired AS (
     f"WITH {_PAIRED} SELECT container_id, tid, start_us, end_us, closed_by FROM paired",
 )
 def period_pairs(spark, sf_dir):
-    paired = periods.pair(demo.container_facts(spark, sf_dir), demo.finishes(spark, sf_dir))
+    paired = periods.pair(demo.stored_facts(spark, sf_dir), demo.finishes(spark, sf_dir))
     return paired.select(
         "container_id",
         F.col("tags")["TID"].alias("tid"),
@@ -365,7 +366,7 @@ def period_pairs(spark, sf_dir):
 )
 def period_ticks(spark, sf_dir):
     """Running tasks per hour, up to 2024-01-31."""
-    paired = periods.pair(demo.container_facts(spark, sf_dir), demo.finishes(spark, sf_dir))
+    paired = periods.pair(demo.stored_facts(spark, sf_dir), demo.finishes(spark, sf_dir))
     horizon = F.lit("2024-01-31 00:00:00").cast("timestamp")
     return periods.expand(paired, demo.HOUR, horizon).select(
         "container_id", F.col("tags")["TID"].alias("tid"), F.unix_millis("ts").alias("ms"), "value"
@@ -490,7 +491,7 @@ def probe_latency(spark, sf_dir):
 )
 def emitted_counts(spark, sf_dir):
     horizon = F.lit("2024-01-31 00:00:00").cast("timestamp")
-    facts = demo.facts(spark, sf_dir)
+    facts = stage(demo.facts(spark, sf_dir))
     out = flows.emitted(facts, demo.finishes(spark, sf_dir), demo.HOUR, horizon)
     return out.groupBy("type", "name").agg(F.count(F.lit(1)).alias("n"))
 

@@ -45,14 +45,14 @@ _UNIT_TEXT = """(value::VARCHAR || (['', ' KB', 'mb', ' GB', ' B', ' kb '])[even
 
 @query(
     "fun3_units",
-    f"SELECT event_id, round({UNIT.format(_UNIT_TEXT)}, 4) AS size FROM events",
+    f"SELECT event_id, round({UNIT.format(_UNIT_TEXT)}, 2) AS size FROM events",
 )
 def units(spark, sf_dir):
     names = F.array(*[F.lit(u) for u in ("", " KB", "mb", " GB", " B", " kb ")])
     unit = F.element_at(names, (F.col("event_id") % 6 + 1).cast("int"))
     text = F.concat(F.col("value").cast("string"), unit)
     return demo.events(spark, sf_dir).select(
-        "event_id", F.round(scalars.parse_with_unit(text), 4).alias("size")
+        "event_id", F.round(scalars.parse_with_unit(text), 2).alias("size")
     )
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -26,6 +29,7 @@ def local(cores: int | str = 8, app: str = "clusterlens") -> SparkSession:
         .config("spark.driver.memory", "12g")
         .config("spark.sql.legacy.javaCharsets", "true")
         .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -35,3 +39,29 @@ def local(cores: int | str = 8, app: str = "clusterlens") -> SparkSession:
 def checkpoint_root(spark: SparkSession, fallback: str) -> str:
     """Shared folder for streaming checkpoints; `fallback` only where the session names none."""
     return spark.conf.get("spark.checkpoint.dir", None) or fallback
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Repartition a scan that has fewer splits than the session has cores; larger scans stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Write an expensive intermediate once to the shared folder and read it back.
+
+    Operators that look at their input several times then scan a pruned columnar table instead of
+    parsing raw text again, and a lost executor costs no recomputation. The folder is
+    `spark.checkpoint.dir`; a local session without one uses a temporary folder, any other session
+    without one goes on without staging.
+    """
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            return df
+        root = tempfile.mkdtemp(prefix="clusterlens-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    path = f"{root.rstrip('/')}/clusterlens/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
