@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,9 +37,17 @@ def local(cores: int | str = 8, app: str = "clusterlens") -> SparkSession:
     return configure(spark)
 
 
-def checkpoint_root(spark: SparkSession, fallback: str) -> str:
-    """Shared folder for streaming checkpoints; `fallback` only where the session names none."""
-    return spark.conf.get("spark.checkpoint.dir", None) or fallback
+def shared_folder(spark: SparkSession) -> str | None:
+    """Folder all executors reach, as the session names it; local sessions without one get a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None and spark.sparkContext.master.startswith("local"):
+        root = _local_folder()
+    return root
+
+
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="clusterlens-")
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -51,17 +60,13 @@ def stage(df: DataFrame) -> DataFrame:
     """Write an expensive intermediate once to the shared folder and read it back.
 
     Operators that look at their input several times then scan a pruned columnar table instead of
-    parsing raw text again, and a lost executor costs no recomputation. The folder is
-    `spark.checkpoint.dir`; a local session without one uses a temporary folder, any other session
-    without one goes on without staging.
+    parsing raw text again, and a lost executor costs no recomputation. All tables of a run lie in one
+    folder named after the application. A cluster session that names no shared folder goes on unstaged.
     """
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = shared_folder(spark)
     if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            return df
-        root = tempfile.mkdtemp(prefix="clusterlens-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/clusterlens/{uuid.uuid4().hex}"
+        return df
+    path = f"{root.rstrip('/')}/clusterlens/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

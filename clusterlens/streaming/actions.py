@@ -40,7 +40,7 @@ def resolve(info: ActionInfo) -> Action:
 class Registry:
     """Running actions. The first registration of a name wins; every action sees all windows."""
 
-    def __init__(self, windows: DataFrame, checkpoints: str):
+    def __init__(self, windows: DataFrame, checkpoints: str | None = None):
         self.windows = windows
         self.checkpoints = checkpoints
         self.running: dict[str, StreamingQuery] = {}

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from clusterlens.session import checkpoint_root
+from clusterlens.session import shared_folder
 
 
 class Channel(Protocol):
@@ -22,12 +22,17 @@ def start(
     df: DataFrame,
     sink: Channel,
     name: str,
-    fallback_checkpoint: str,
+    checkpoints: str | None = None,
     trigger: str | None = "1 second",
     output_mode: str = "append",
 ) -> StreamingQuery:
-    """Run a stream into a channel; `trigger=None` drains what is there and stops."""
-    root = checkpoint_root(df.sparkSession, fallback_checkpoint)
+    """Run a stream into a channel; `trigger=None` drains what is there and stops.
+
+    Progress is kept under `checkpoints`, by default the session's shared folder.
+    """
+    root = checkpoints or shared_folder(df.sparkSession)
+    if root is None:
+        raise ValueError("name a checkpoint folder: the session has no spark.checkpoint.dir")
     writer = (
         df.writeStream.queryName(name)
         .outputMode(output_mode)
