@@ -195,16 +195,17 @@ def islands(
             F.col("_linked_after"), F.last(closed, True).over(back.rowsBetween(*earlier))
         ).otherwise(F.col("_last")).alias("_end"),
     )
-    so_far = (Window.unboundedPreceding, 0)
+    # Range frames: rows with the same axis value are peers and must agree in both directions.
+    so_far = (Window.unboundedPreceding, Window.currentRow)
     return (
         local.join(one, [*keys, SEGMENT])
         .withColumn(
             "island_start",
-            F.coalesce(F.max("_opens").over(ordered.rowsBetween(*so_far)), F.col("_start")),
+            F.coalesce(F.max("_opens").over(ordered.rangeBetween(*so_far)), F.col("_start")),
         )
         .withColumn(
             "island_end",
-            F.coalesce(F.min("_closes").over(backward.rowsBetween(*so_far)), F.col("_end")),
+            F.coalesce(F.min("_closes").over(backward.rangeBetween(*so_far)), F.col("_end")),
         )
         .drop("_opens", "_closes", "_start", "_end", SEGMENT)
     )

@@ -32,6 +32,11 @@ _ORDER = ["us", "seq", "rule_id", "group_id"]
 _COLUMNS = [c.split()[0] for c in PERIOD_INPUT.split(", ")]
 
 
+def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
+    """Output rows; plain objects, so that Arrow builds each column from the declared type."""
+    return pd.DataFrame(rows, columns=columns, dtype=object)
+
+
 class PeriodProcessor(StatefulProcessor):
     """Emits one row per grid tick of every open period of a (container, slot).
 
@@ -84,7 +89,7 @@ class PeriodProcessor(StatefulProcessor):
             self.open.updateValue((name, tags), (app, type_, value, tick, emitted))
         if still_open or later:
             self.handle.registerTimer(watermark_ms + 1)
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in PERIOD_OUTPUT.split(", ")])
+        yield _frame(out, [c.split()[0] for c in PERIOD_OUTPUT.split(", ")])
 
     def _apply(self, container: str, row, out: list[tuple]) -> None:
         us, _, _, _, kind, name, type_, app, tags, value = row
@@ -138,7 +143,7 @@ def period_input(messages: DataFrame, container_finish: DataFrame) -> DataFrame:
     )
     markers = container_finish.select(
         "container_id",
-        F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))).cast("bigint").alias("slot"),
+        F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1)).cast("array<bigint>")).alias("slot"),
         "ts",
         F.unix_micros("ts").alias("us"),
         "seq",
@@ -221,10 +226,8 @@ class WindowProcessor(StatefulProcessor):
             self.run.update(tuple(run))
         if run is not None or len(ready) < len(ticks):
             self.handle.registerTimer(now + 1)
-        scope = {f"scope_{i}": [part] * len(out) for i, part in enumerate(key)}
-        yield pd.DataFrame(
-            {**scope, "window_start": [o[0] for o in out], "n_ticks": [o[1] for o in out]}
-        )
+        names = [f"scope_{i}" for i in range(len(key))]
+        yield _frame([(*key, *o) for o in out], [*names, "window_start", "n_ticks"])
 
     def _emit(self, run: list[int], out: list[tuple], ended: bool) -> None:
         size, stride, step = self.spec.size, self.spec.stride, self.spec.tick
@@ -294,7 +297,7 @@ class AppFlushProcessor(StatefulProcessor):
         last, finished = self.app.get() if self.app.exists() else (None, False)
         if finished and last + self.quiet <= timerValues.getCurrentWatermarkInMs():
             self.app.clear()
-            yield pd.DataFrame({"app_id": [key[0]], "last_ms": [last]})
+            yield _frame([(key[0], last)], ["app_id", "last_ms"])
         else:
             yield pd.DataFrame()
 
