@@ -3,8 +3,9 @@
 A window function partitioned by a container alone sends all rows of that container to one task. Here
 each key's series is cut into time segments. A window runs inside (key, segment), and what it needs from
 other segments comes from a summary with one row per (key, segment), itself built by a map-side combined
-aggregate. A segment that still holds more than `split_rows` rows is cut further; the list of such
-segments has at most rows / split_rows entries, which bounds its broadcast.
+aggregate. A segment that still holds more than `split_rows` rows is cut further.
+
+Each operator reads its input three times (count, summary, rows), so give it a stored table.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clusterlens.session import stage
+
 SEGMENT = "_segment"
 TEN_MINUTES_US = 600_000_000
 SPLIT_ROWS = 5_000_000
@@ -30,7 +33,12 @@ def assign(
     width: int = TEN_MINUTES_US,
     split_rows: int = SPLIT_ROWS,
 ) -> DataFrame:
-    """Add the segment (start on the axis) of each row; `axis` is the BIGINT leading sort key."""
+    """Add the segment (start on the axis) of each row; `axis` is the BIGINT leading sort key.
+
+    Crowded segments are looked for first, with one small aggregate. There are at most
+    rows / split_rows of them; where there are any, the list is stored, so that the optimizer knows its
+    size when it chooses the join.
+    """
     df = df.withColumn("_axis", axis).withColumn(
         "_base", F.col("_axis") - F.pmod(F.col("_axis"), F.lit(width))
     )
@@ -42,10 +50,12 @@ def assign(
         .withColumn("_step", F.ceil((F.col("_hi") - F.col("_lo") + 1) / F.col("_pieces")))
         .select(*keys, "_base", "_lo", "_step")
     )
+    if crowded.isEmpty():
+        return df.withColumnRenamed("_base", SEGMENT).drop("_axis")
     offset = F.col("_axis") - F.col("_lo")
     finer = F.col("_base") + offset - F.pmod(offset, F.col("_step"))
     return (
-        df.join(F.broadcast(crowded), [*keys, "_base"], "left")
+        df.join(stage(crowded), [*keys, "_base"], "left")
         .withColumn(SEGMENT, F.coalesce(finer, F.col("_base")))
         .drop("_axis", "_base", "_lo", "_step")
     )
@@ -157,21 +167,26 @@ def islands(
     keys: Sequence[str],
     axis: str,
     max_gap: int,
+    until: str | None = None,
     width: int = TEN_MINUTES_US,
     split_rows: int = SPLIT_ROWS,
 ) -> DataFrame:
-    """Add first and last axis value of the run each row is in; steps above `max_gap` end a run."""
+    """Add first and last axis value of the run each row is in; steps above `max_gap` end a run.
+
+    With `until` a row stands for the stretch from `axis` to `until`; stretches of a key do not overlap.
+    """
     at = F.col(axis)
+    end = F.col(until or axis)
     df = assign(df, keys, at, width, split_rows)
     ordered = inside(keys, [axis])
     backward = inside(keys, [F.desc(axis)])
-    before, after = F.lag(at).over(ordered), F.lead(at).over(ordered)
+    before, after = F.lag(end).over(ordered), F.lead(at).over(ordered)
     local = df.withColumn("_opens", F.when(at - before > max_gap, at)).withColumn(
-        "_closes", F.when(after - at > max_gap, at)
+        "_closes", F.when(after - end > max_gap, end)
     )
     one = local.groupBy(*keys, SEGMENT).agg(
         F.min(at).alias("_first"),
-        F.max(at).alias("_last"),
+        F.max(end).alias("_last"),
         F.max("_opens").alias("_last_open"),
         F.min("_closes").alias("_first_close"),
     )

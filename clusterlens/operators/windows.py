@@ -144,15 +144,27 @@ def reducer(how: str, column: str) -> Column:
 def idle_sessions(
     df: DataFrame, gap_ms: int, scope: Sequence[str] = (), ts: str = "ts", **cut
 ) -> DataFrame:
-    """Sessions of activity: a pause of at least `gap_ms` ends one."""
-    rows = df.select(*scope, segments.micros(ts).alias("_us"))
-    cut.setdefault("width", 86_400_000_000)
-    runs = segments.islands(rows, list(scope), "_us", gap_ms * 1000 - 1, **cut)
-    return runs.groupBy(*scope, "island_start", "island_end").agg(
-        F.count(F.lit(1)).alias("n_rows")
-    ).select(
-        *scope,
-        F.timestamp_micros("island_start").alias("session_start"),
-        F.timestamp_micros("island_end").alias("session_end"),
-        "n_rows",
+    """Sessions of activity: a pause of at least `gap_ms` ends one.
+
+    Rows closer than the gap are one session anyway, so each stretch of that length shrinks to one row
+    with its first and last time before anything is ordered.
+    """
+    gap = gap_ms * 1000
+    us = segments.micros(ts)
+    stretches = stage(
+        df.groupBy(*scope, (us - F.pmod(us, F.lit(gap))).alias("_stretch")).agg(
+            F.min(us).alias("_from"), F.max(us).alias("_to"), F.count(F.lit(1)).alias("_n")
+        )
+    )
+    cut.setdefault("width", max(gap * TICKS_PER_SEGMENT, segments.TEN_MINUTES_US))
+    runs = segments.islands(stretches, list(scope), "_from", gap - 1, until="_to", **cut)
+    return (
+        runs.groupBy(*scope, "island_start", "island_end")
+        .agg(F.sum("_n").alias("n_rows"))
+        .select(
+            *scope,
+            F.timestamp_micros("island_start").alias("session_start"),
+            F.timestamp_micros("island_end").alias("session_end"),
+            "n_rows",
+        )
     )

@@ -251,6 +251,10 @@ def stored_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage(container_facts(spark, sf_dir))
 
 
+def stored_finishes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage(finishes(spark, sf_dir))
+
+
 def stored_cells(spark: SparkSession, sf_dir: str, tick_ms: int = MINUTE) -> DataFrame:
     return stage(sample_cells(spark, sf_dir, tick_ms))
 

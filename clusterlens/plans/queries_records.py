@@ -343,7 +343,7 @@ paired AS (
     f"WITH {_PAIRED} SELECT container_id, tid, start_us, end_us, closed_by FROM paired",
 )
 def period_pairs(spark, sf_dir):
-    paired = periods.pair(demo.stored_facts(spark, sf_dir), demo.finishes(spark, sf_dir))
+    paired = periods.pair(demo.stored_facts(spark, sf_dir), demo.stored_finishes(spark, sf_dir))
     return paired.select(
         "container_id",
         F.col("tags")["TID"].alias("tid"),
@@ -366,7 +366,7 @@ def period_pairs(spark, sf_dir):
 )
 def period_ticks(spark, sf_dir):
     """Running tasks per hour, up to 2024-01-31."""
-    paired = periods.pair(demo.stored_facts(spark, sf_dir), demo.finishes(spark, sf_dir))
+    paired = periods.pair(demo.stored_facts(spark, sf_dir), demo.stored_finishes(spark, sf_dir))
     horizon = F.lit("2024-01-31 00:00:00").cast("timestamp")
     return periods.expand(paired, demo.HOUR, horizon).select(
         "container_id", F.col("tags")["TID"].alias("tid"), F.unix_millis("ts").alias("ms"), "value"
@@ -492,7 +492,7 @@ def probe_latency(spark, sf_dir):
 def emitted_counts(spark, sf_dir):
     horizon = F.lit("2024-01-31 00:00:00").cast("timestamp")
     facts = stage(demo.facts(spark, sf_dir))
-    out = flows.emitted(facts, demo.finishes(spark, sf_dir), demo.HOUR, horizon)
+    out = flows.emitted(facts, demo.stored_finishes(spark, sf_dir), demo.HOUR, horizon)
     return out.groupBy("type", "name").agg(F.count(F.lit(1)).alias("n"))
 
 
