@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,10 +70,7 @@ def rejects(routed: DataFrame) -> DataFrame:
 
 def matching_lines(df: DataFrame, rules: Sequence[Rule], line: str = "line") -> DataFrame:
     """Keep a line when at least one rule matches it whole."""
-    hit = F.lit(False)
-    for rule in rules:
-        hit = hit | rule.matches(F.col(line))
-    return df.where(hit)
+    return df.where(reduce(or_, [r.matches(F.col(line)) for r in rules], F.lit(False)))
 
 
 def qualify(type_: Column, name: Column) -> Column:
@@ -105,7 +104,14 @@ def with_ids(df: DataFrame, container: str = "container_id", tags: str = "tags")
 
 
 def _match(df: DataFrame, rules: Sequence[Rule], line: str) -> DataFrame:
-    """One row per (line, matching rule); lines no rule matches are gone before any extraction."""
+    """One row per (line, matching rule).
+
+    Most lines match nothing and already fail the substring tests of the filter, which is compiled code;
+    lines no rule matches are gone before any extraction.
+    """
+    if all(r.literal for r in rules):
+        maybe = reduce(or_, [F.contains(F.col(line), F.lit(r.literal)) for r in rules])
+        df = df.where(maybe)
     numbers = F.array(*[F.when(r.matches(F.col(line)), F.lit(i)) for i, r in enumerate(rules)])
     return df.select("*", F.explode(F.array_compact(numbers)).alias("rule_id"))
 

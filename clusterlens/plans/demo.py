@@ -276,7 +276,7 @@ PROSE_RULES = (
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All lines of all documents, stamped so that they can serve as log lines."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return lines.select(
         F.concat(F.lit("container_doc_"), F.col("doc_id").cast("string")).alias("container_id"),

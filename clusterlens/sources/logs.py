@@ -45,7 +45,12 @@ def _lines(spark: SparkSession, path, encoding: str, streaming: bool, **options)
 
 
 def _in_file_order(lines: DataFrame, *columns: Column) -> DataFrame:
-    return lines.select(*columns, "line", F.monotonically_increasing_id().alias("seq"))
+    """Add `seq`, the arrival order: the row's place in a batch scan, the file's age in a stream."""
+    if lines.isStreaming:
+        seq = F.unix_micros("_metadata.file_modification_time")
+    else:
+        seq = F.monotonically_increasing_id()
+    return lines.select(*columns, "line", seq.alias("seq"))
 
 
 def read_container_logs(

@@ -10,7 +10,7 @@ from clusterlens.operators.windows import WindowSpec
 from clusterlens.plans import flows
 from clusterlens.sinks import records, snapshots
 from clusterlens.sources import logs
-from clusterlens.streaming import actions
+from clusterlens.streaming import actions, queries
 
 C2 = "container_1502222838299_0001_01_000002"
 APP = "application_1502222838299_0001"
@@ -33,6 +33,22 @@ def test_container_and_daemon_logs(spark, tmp_path, rows):
     assert rows(daemon, "source", "line") == [("nodemanager", "2020-01-02 00:00:00,1 b")]
 
 
+def test_log_streams(spark, tmp_path, rows):
+    write(tmp_path / "in" / APP / C2 / "stderr", "2020-01-01 00:00:00 one\n2020-01-03 00:00:00 two\n")
+    root = str(tmp_path / "in")
+    streams = {
+        "container": logs.read_container_logs(spark, root, streaming=True),
+        "daemon": logs.read_daemon_log(spark, root, "nm", since="2020-01-02", streaming=True),
+    }
+    for name, stream in streams.items():
+        sink = queries.append_table(str(tmp_path / name))
+        query = queries.start(stream, sink, f"logs-{name}", str(tmp_path / "progress"), trigger=None)
+        assert query.awaitTermination(120)
+    both = [("2020-01-01 00:00:00 one",), ("2020-01-03 00:00:00 two",)]
+    assert rows(spark.read.parquet(str(tmp_path / "container")), "line") == both
+    assert rows(spark.read.parquet(str(tmp_path / "daemon")), "line") == both[1:]
+
+
 def test_legacy_charset(spark, tmp_path, rows):
     write(tmp_path / C2 / "stderr", '任务 "完成", ok\n第二行\n', "gbk")
     out = logs.read_container_logs(spark, str(tmp_path), encoding="GBK")

@@ -286,6 +286,25 @@ def test_linear_fit_and_band(spark):
     assert given.high - given.y0 == pytest.approx(error)
 
 
+# 21 windows of running tasks and memory.
+TASKS = [1, 1, 1, 1, 3, 3, 3, 3, 3, 3, 3, 2, 2, 1, 1, 0, 0, 1, 1, 1, 1]
+MEMORY = [
+    0.4, 0.25, 0.25, 0.25, 1.38, 1.37, 1.4, 2.9, 1.8, 0.78, 0.25, 0.02, 0.15, 0.15, 0.03, 0.0, 0.0, 1.75, 0.0, 0.0, 0.0,
+]
+
+
+def test_regression_golden(spark):
+    data = [(float(x), y) for x, y in zip(TASKS, MEMORY, strict=True)]
+    fit = models.linear_fit(spark.createDataFrame(data, "x DOUBLE, y DOUBLE"))
+    row = models.interval(fit, 3.0).first()
+    assert (row.n, row.slope, row.intercept) == (21, pytest.approx(0.49308823529411766), pytest.approx(-0.1965756302521009))
+    assert (row.r2, row["corr"]) == (pytest.approx(0.4140830697805672), pytest.approx(0.6434928669228333))
+    assert (row.std_err, row.mse) == (pytest.approx(0.17801233109724657), pytest.approx(0.3713352841136454))
+    assert (row.low, row.high) == (pytest.approx(0.974882, abs=1e-6), pytest.approx(1.590496, abs=1e-6))
+    two_sided = models.interval(fit, 3.0, t=2.0930241).first()
+    assert (two_sided.low, two_sided.high) == (pytest.approx(0.910105, abs=1e-6), pytest.approx(1.655273, abs=1e-6))
+
+
 @pytest.mark.parametrize(
     ("p", "degrees", "t"),
     [(0.95, 19, 1.7291328), (0.975, 19, 2.0930241), (0.95, 20, 1.7247182), (0.95, 1, 6.3137515), (0.05, 20, -1.7247182)],
