@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clusterlens.operators import segments
-from clusterlens.operators.extract import PERIOD
+from clusterlens.operators.extract import INSTANT, PERIOD
 from clusterlens.operators.metrics import METRIC_COLUMNS
 from clusterlens.operators.windows import tick
 from clusterlens.session import stage
@@ -68,12 +68,17 @@ def sample_cells(samples: DataFrame, tick_ms: int) -> DataFrame:
 
 
 def cell_messages(messages: DataFrame, tick_ms: int) -> DataFrame:
-    """Facts by cell in long form; `kind` says in which of the two message maps a fact belongs."""
+    """Facts by cell in long form; `kind` says in which of the two message maps a fact belongs.
+
+    A fact without a type makes a cell but is no message: its `kind` is null.
+    """
     return container_or_app(messages).select(
         tick(F.unix_millis("ts"), tick_ms).alias("tick"),
         "container_id",
         "app_id",
-        F.when(F.col("type") == PERIOD, PERIOD).otherwise("instant").alias("kind"),
+        F.when(F.col("type") == PERIOD, PERIOD)
+        .when(F.col("type").isNotNull(), INSTANT)
+        .alias("kind"),
         F.col("name").alias("key"),
         identifiers(F.col("tags")).alias("identifiers"),
         "value",
@@ -83,7 +88,7 @@ def cell_messages(messages: DataFrame, tick_ms: int) -> DataFrame:
 
 def message_counts(long: DataFrame) -> DataFrame:
     """Number and sum of messages per (cell, kind, key)."""
-    return long.groupBy(*CELL, "kind", "key").agg(
+    return long.where(F.col("kind").isNotNull()).groupBy(*CELL, "kind", "key").agg(
         F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")
     )
 
@@ -102,13 +107,13 @@ def build(samples: DataFrame, messages: DataFrame, tick_ms: int) -> DataFrame:
         "seq",
         F.struct(*columns).alias("_m"),
     )
-    right = cell_messages(messages, tick_ms).select(*CELL, "app_id", "seq")
+    right = cell_messages(messages, tick_ms).select(*CELL, "app_id", "seq", "kind")
     sides = left.unionByName(right, allowMissingColumns=True)
     is_sample = F.col("_m").isNotNull()
     merged = sides.groupBy(*CELL).agg(
         F.max_by("_m", F.when(is_sample, F.col("seq"))).alias("_m"),
         F.max_by("app_id", F.when(F.col("app_id").isNotNull(), F.col("seq"))).alias("app_id"),
-        F.count_if(~is_sample).alias("n_messages"),
+        F.count("kind").alias("n_messages"),
     )
     return merged.select(
         *CELL,
@@ -135,6 +140,7 @@ def message_maps(long: DataFrame, per_part: int = MESSAGES_PER_PART) -> DataFram
     Ordinary cells have the single part 0. A cell with more than `per_part` messages is spread over as
     many parts as it needs; every message is in exactly one part.
     """
+    long = long.where(F.col("kind").isNotNull())
     crowded = (
         long.groupBy(*CELL)
         .count()

@@ -199,12 +199,12 @@ def _facts(matched: DataFrame, rules: Sequence[Rule], line: str, role: str) -> D
     per_group = F.element_at(table, F.col("rule_id") + 1)
     own = F.lit(None).cast("string") if role != "container" else F.col("container_id")
     offsets = F.array(*[F.lit(r.date_offset * 1000).cast("bigint") for r in rules])
-    # The time depends on the rule, so the optimizer cannot parse it before the lines are matched.
+    # The time depends on the rule, so the optimizer cannot parse it before the lines are matched; a
+    # missing one yields no templates, which spares a filter that would parse it a second time.
     us = F.unix_micros(scalars.parse_log_ts(text)) + F.get(offsets, F.col("rule_id"))
     rows = (
         matched.select("seq", own.alias("_own"), "rule_id", captured.alias("_c"), us.alias("_us"))
-        .where(F.col("_us").isNotNull())
-        .select("seq", "_own", "rule_id", "_c", "_us", F.inline(per_group))
+        .select("seq", "_own", "rule_id", "_c", "_us", F.inline(F.when(F.col("_us").isNotNull(), per_group)))
     )
     named = F.when(F.col("capture") > 0, F.get("_c", F.col("capture") - 1))
     value = F.coalesce(

@@ -111,13 +111,16 @@ def test_build_aligns_both_sides(spark, rows):
             ("c1", "a", T0, "instant", "x", {}, 1.0, 2),
             (None, "a", T0, "instant", "app.state", {"app": "a"}, 8.0, 3),
             (None, None, T0, "instant", "lost", {}, 8.0, 4),
+            ("c2", None, T0, None, "plain", {}, 1.0, 5),
         ],
     )
     built = cells.build(samples, messages, 1000)
     assert rows(built, "container_id", "app_id", "memory", "has_metrics", "n_messages") == [
         ("a", "a", 0.0, False, 1),
         ("c1", "a", 1.0, True, 1),
+        ("c2", None, 0.0, False, 0),
     ]
+    assert cells.message_counts(cells.cell_messages(messages, 1000)).count() == 2
 
 
 def test_active_containers(spark, rows):
