@@ -81,3 +81,8 @@ def is_app_master(container: Column) -> Column:
 def tag_key(tags: Column) -> Column:
     """Order-free string form of a tag map, usable as a grouping key."""
     return F.to_json(F.array_sort(F.map_entries(tags)))
+
+
+def tags_of_key(key: Column) -> Column:
+    """Tag map of its `tag_key`."""
+    return F.map_from_entries(F.from_json(key, "ARRAY<STRUCT<key STRING, value STRING>>"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clusterlens.functions.ids import tag_key
+from clusterlens.functions.ids import tag_key, tags_of_key
 from clusterlens.operators import segments
 from clusterlens.operators.extract import INSTANT
 
@@ -30,7 +30,6 @@ def pair(messages: DataFrame, container_finish: DataFrame, **cut) -> DataFrame:
         "name",
         "type",
         tag_key(F.col("tags")).alias("tag_key"),
-        "tags",
         "value",
         "is_finish",
         *ORDER,
@@ -73,7 +72,7 @@ def pair(messages: DataFrame, container_finish: DataFrame, **cut) -> DataFrame:
         .where(~is_close)
         .withColumn("_close", F.least("_finish", "_marker"))
     )
-    opening = F.struct("ts", "value", "tags", "app_id", "type")
+    opening = F.struct("ts", "value", "app_id", "type")
     by_own_finish = F.col("_close") == F.col("_finish")
     closed_by = (
         F.when(F.col("_close").isNull(), OPEN).when(by_own_finish, BY_FINISH).otherwise(BY_CONTAINER)
@@ -88,7 +87,7 @@ def pair(messages: DataFrame, container_finish: DataFrame, **cut) -> DataFrame:
             "name",
             "_open.type",
             "tag_key",
-            "_open.tags",
+            tags_of_key(F.col("tag_key")).alias("tags"),
             "_open.value",
             F.col("_open.ts").alias("start_ts"),
             F.col("_close.ts").alias("end_ts"),

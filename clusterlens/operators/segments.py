@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from clusterlens.session import stage
 
 SEGMENT = "_segment"
-TEN_MINUTES_US = 600_000_000
+DAY_US = 86_400_000_000
 SPLIT_ROWS = 5_000_000
 
 
@@ -30,35 +30,35 @@ def assign(
     df: DataFrame,
     keys: Sequence[str],
     axis: Column,
-    width: int = TEN_MINUTES_US,
+    width: int = DAY_US,
     split_rows: int = SPLIT_ROWS,
 ) -> DataFrame:
     """Add the segment (start on the axis) of each row; `axis` is the BIGINT leading sort key.
 
-    Crowded segments are looked for first, with one small aggregate. There are at most
-    rows / split_rows of them; where there are any, the list is stored, so that the optimizer knows its
-    size when it chooses the join.
+    Segments start as a coarse grid, so that sparse keys have few. One small aggregate finds those with
+    more than `split_rows` rows; they are cut into equal stretches, and again while a burst keeps one
+    crowded, down to rows of one and the same instant. There are at most rows / split_rows of them, and
+    the list is stored, so that the optimizer knows its size when it chooses the join.
     """
-    df = df.withColumn("_axis", axis).withColumn(
-        "_base", F.col("_axis") - F.pmod(F.col("_axis"), F.lit(width))
-    )
-    crowded = (
-        df.groupBy(*keys, "_base")
-        .agg(F.count(F.lit(1)).alias("_n"), F.min("_axis").alias("_lo"), F.max("_axis").alias("_hi"))
-        .where(F.col("_n") > split_rows)
-        .withColumn("_pieces", F.ceil(F.col("_n") / F.lit(split_rows)))
-        .withColumn("_step", F.ceil((F.col("_hi") - F.col("_lo") + 1) / F.col("_pieces")))
-        .select(*keys, "_base", "_lo", "_step")
-    )
-    if crowded.isEmpty():
-        return df.withColumnRenamed("_base", SEGMENT).drop("_axis")
-    offset = F.col("_axis") - F.col("_lo")
-    finer = F.col("_base") + offset - F.pmod(offset, F.col("_step"))
-    return (
-        df.join(stage(crowded), [*keys, "_base"], "left")
-        .withColumn(SEGMENT, F.coalesce(finer, F.col("_base")))
-        .drop("_axis", "_base", "_lo", "_step")
-    )
+    at = F.col("_axis")
+    df = df.withColumn("_axis", axis).withColumn(SEGMENT, at - F.pmod(at, F.lit(width)))
+    while True:
+        crowded = (
+            df.groupBy(*keys, SEGMENT)
+            .agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi"))
+            .where((F.col("_n") > split_rows) & (F.col("_hi") > F.col("_lo")))
+            .withColumn("_pieces", F.ceil(F.col("_n") / F.lit(split_rows)))
+            .withColumn("_step", F.ceil((F.col("_hi") - F.col("_lo") + 1) / F.col("_pieces")))
+            .select(*keys, SEGMENT, "_lo", "_step")
+        )
+        if crowded.isEmpty():
+            return df.drop("_axis")
+        finer = at - F.pmod(at - F.col("_lo"), F.col("_step"))
+        df = (
+            df.join(stage(crowded), [*keys, SEGMENT], "left")
+            .withColumn(SEGMENT, F.coalesce(finer, F.col(SEGMENT)))
+            .drop("_lo", "_step")
+        )
 
 
 def _key_window(keys: Sequence[str]):
@@ -168,7 +168,7 @@ def islands(
     axis: str,
     max_gap: int,
     until: str | None = None,
-    width: int = TEN_MINUTES_US,
+    width: int = DAY_US,
     split_rows: int = SPLIT_ROWS,
 ) -> DataFrame:
     """Add first and last axis value of the run each row is in; steps above `max_gap` end a run.

@@ -106,7 +106,7 @@ def positional(
     **cut,
 ) -> DataFrame:
     """Hopping windows over row positions: starts at 0, stride, ... up to the first partial window."""
-    cut.setdefault("width", segments.TEN_MINUTES_US)
+    cut.setdefault("width", segments.DAY_US)
     rows = segments.running_count(
         df, list(scope), axis, list(order), F.lit(True), "_pos", total="_n", **cut
     )
@@ -156,7 +156,7 @@ def idle_sessions(
             F.min(us).alias("_from"), F.max(us).alias("_to"), F.count(F.lit(1)).alias("_n")
         )
     )
-    cut.setdefault("width", max(gap * TICKS_PER_SEGMENT, segments.TEN_MINUTES_US))
+    cut.setdefault("width", max(gap * TICKS_PER_SEGMENT, segments.DAY_US))
     runs = segments.islands(stretches, list(scope), "_from", gap - 1, until="_to", **cut)
     return (
         runs.groupBy(*scope, "island_start", "island_end")

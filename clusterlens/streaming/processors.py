@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from clusterlens.functions.ids import tag_key
+from clusterlens.functions.ids import tag_key, tags_of_key
 from clusterlens.operators.extract import INSTANT
 from clusterlens.operators.windows import WindowSpec
 
@@ -166,14 +166,13 @@ def expand_periods(rows: DataFrame, tick_ms: int, lateness: str = "1 second") ->
             timeMode="EventTime",
         )
     )
-    entries = F.from_json("tag_key", "ARRAY<STRUCT<key STRING, value STRING>>")
     return ticks.select(
         "container_id",
         "app_id",
         F.timestamp_micros("us").alias("ts"),
         "type",
         "name",
-        F.map_from_entries(entries).alias("tags"),
+        tags_of_key(F.col("tag_key")).alias("tags"),
         "value",
     )
 
