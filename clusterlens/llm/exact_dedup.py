@@ -204,14 +204,12 @@ def groups(spark: SparkSession, docs: DataFrame, id_column: str = "doc_id", text
     )
 
 
-def deduplicate(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that stay, all columns unchanged.
+def keep_decided(scratch: Scratch, docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """The rows of `docs` that stay, all columns unchanged; `decided` tells (doc_id, sha, kept) of rows in groups.
 
     Rows are dropped by (doc_id, digest). Where a row that stays shares both with rows that go, the rows are
     identical in id and text, and one of them is taken.
     """
-    scratch = Scratch(spark, "exact-rows")
-    decided = scratch.stage(groups(spark, docs).where("group_size > 1").select("doc_id", "kept", F.unhex("text_sha256").alias("sha")), "decided")
     by = decided.groupBy("doc_id", "sha").agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n"))
     by = scratch.stage(by.where("not stays or n > 1").withColumnsRenamed({"doc_id": "_id", "sha": "_sha"}), "touched")
     keyed = docs.withColumn("_digest", F.unhex(F.sha2(text_of(), 256)))
@@ -221,3 +219,10 @@ def deduplicate(spark: SparkSession, docs: DataFrame) -> DataFrame:
         return rest
     repeated = keyed.join(by.where("stays"), same, "left_semi").dropDuplicates(["doc_id", "_digest"]).drop("_digest")
     return rest.unionByName(repeated)
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Of rows with equal texts the one with the largest id, all columns unchanged."""
+    scratch = Scratch(spark, "exact-rows")
+    decided = groups(spark, docs).where("group_size > 1").select("doc_id", F.unhex("text_sha256").alias("sha"), "kept")
+    return keep_decided(scratch, docs, scratch.stage(decided, "decided"))

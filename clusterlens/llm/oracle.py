@@ -98,5 +98,4 @@ SELECT a.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
 FROM words a LEFT JOIN lost b ON a.doc_id IS NOT DISTINCT FROM b.doc_id
 """
 
-# A revisit is any record with a larger page id of the same html; base32 is built from the SHA-1 five bits at a time.
-ORACLES = {"op1_mixing": OP1, "op2_url_filter": OP2, "op6_exact_dedup": OP6}
+ORACLES = {"op1_mixing": OP1, "op2_url_filter": OP2, "op6_exact_dedup": OP6, "op9_repeats": OP9}

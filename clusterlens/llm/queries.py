@@ -5,7 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from clusterlens.llm import exact_dedup, line_quality, mixing, pieces, token_files, toxicity, urls, warc
+from clusterlens.llm import (
+    exact_dedup,
+    line_quality,
+    mixing,
+    near_dedup,
+    pieces,
+    repeats,
+    token_files,
+    toxicity,
+    urls,
+    warc,
+)
 from clusterlens.llm.oracle import ORACLES
 from clusterlens.llm.shared import table
 
@@ -38,10 +49,19 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(spark, table(spark, sf_dir, "documents"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_dedup.classes(spark, table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "class_id", "class_size", "kept")
+
+
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove(spark, table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(spark, docs, table(spark, sf_dir, "labels")))
@@ -49,6 +69,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_mixing, op2_url_filter, op3_token_files, op4_warc, op5_line_quality, op6_exact_dedup, op8_pieces, op10_toxicity)
+    for f in (
+        op1_mixing,
+        op2_url_filter,
+        op3_token_files,
+        op4_warc,
+        op5_line_quality,
+        op6_exact_dedup,
+        op7_near_dedup,
+        op8_pieces,
+        op9_repeats,
+        op10_toxicity,
+    )
 }
 __all__ = ["ORACLES", "QUERIES"]
