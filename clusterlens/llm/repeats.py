@@ -3,6 +3,8 @@
 A window is `WINDOW` consecutive words of a document; a window whose words also start earlier is a repeat, and the
 words it covers go. The steps:
 
+0. All windows of a text that an earlier document has as a whole are repeats: such copies are found by a 96-bit hash
+   of the text, get their result at once and send nothing on.
 1. Every window names its least 8-word gram (its minimizer, leftmost of equals). Equal windows name the same gram at
    the same place, so a window can only repeat if its gram occurs again. Neighbouring windows of one gram travel
    together as a span of at most 32 words; grams are counted with map-side combine, and only spans of repeated
@@ -76,16 +78,18 @@ def _minimizers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents without spans get their result at once; of the others the text goes on."""
+    """Copies of earlier texts and documents without spans get their result at once; of the others the text goes on."""
     for batch in slices(batches):
-        counts, shas, texts = [], [], []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+        counts, removed, shas, texts = [], [], [], []
+        for text, spans, copy in zip(*(batch.column(c).to_pylist() for c in ("text", "spans", "copy")), strict=True):
             found = text.encode().split()
             counts.append(len(found))
-            shas.append(hashlib.sha256(b" ".join(found)).hexdigest() if not spans else None)
+            removed.append(len(found) if copy and len(found) >= WINDOW else 0)
+            shas.append(hashlib.sha256(b" ".join(found[removed[-1] :])).hexdigest() if not spans else None)
             texts.append(text if spans else None)
-        columns = [*(batch.column(c) for c in ("d", "t")), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(texts, pa.string()), batch.column("spans")]
-        yield pa.RecordBatch.from_arrays(columns, names=["d", "t", "n_words", "sha", "text", "spans"])
+        columns = [pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(shas, pa.string()), pa.array(texts, pa.string())]
+        names = ["d", "t", "n_words", "n_removed", "sha", "text", "spans"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("d", "t")), *columns, batch.column("spans")], names=names)
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -248,15 +252,19 @@ def remove(spark: SparkSession, docs: DataFrame, crowd: int = GROUP) -> DataFram
     """
     scratch = Scratch(spark, "repeats")
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("d"), text_of().alias("text"))
-    rows = rows.select("d", F.xxhash64("text").alias("t"), "text")
-    grams = rows.mapInArrow(_minimizers, f"h long, {ROW}, code long")
+    rows = rows.select("d", F.xxhash64("text").alias("t"), F.hash("text").alias("u"), "text")
+    texts = rows.groupBy("t", "u").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first < last")
+    texts = scratch.stage(texts.select("t", "u", "first"), "copies")
+    copy = F.coalesce(F.col("first") < F.col("d"), F.lit(False)).alias("copy")
+    rows = rows.join(texts, ["t", "u"], "left").select("d", "t", "text", copy)
+    grams = rows.where("not copy").select("d", "t", "text").mapInArrow(_minimizers, f"h long, {ROW}, code long")
     repeated = scratch.stage(grams.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "grams")
     crowded = (F.col("n") > crowd).alias("crowded")
     spans = grams.join(repeated, "h").select("d", "t", F.struct("code", "h", crowded).alias("s"))
     spans = spans.groupBy("d", "t").agg(F.collect_set("s").alias("spans"))
     span_type = "array<struct<code:bigint,h:bigint,crowded:boolean>>"
-    settled = rows.join(spans, ["d", "t"], "left").select("d", "t", "text", "spans")
-    settled = settled.mapInArrow(_settle, f"{ROW}, n_words long, sha string, text string, spans {span_type}")
+    settled = rows.join(spans, ["d", "t"], "left").select("d", "t", "text", "spans", "copy")
+    settled = settled.mapInArrow(_settle, f"{ROW}, n_words long, n_removed long, sha string, text string, spans {span_type}")
     settled = scratch.stage(settled, "settled")
     open_docs = settled.where("text is not null")
     source = open_docs.select("d", "t", "text", "spans")
@@ -270,11 +278,11 @@ def remove(spark: SparkSession, docs: DataFrame, crowd: int = GROUP) -> DataFram
     open_docs = open_docs.dropDuplicates(["d", "t"])
     done = open_docs.join(firsts, ["d", "t"], "left").select("d", "t", "n_words", "text", "spans", "firsts")
     done = done.mapInArrow(_remove, f"{ROW}, n_words long, n_removed long, kept_sha256 string")
-    done = scratch.stage(done.select("d", "t", "n_removed", "kept_sha256"), "done")
-    out = settled.select("d", "t", "n_words", "sha").join(done, ["d", "t"], "left")
+    done = scratch.stage(done.select("d", "t", F.col("n_removed").alias("n_gone"), "kept_sha256"), "done")
+    out = settled.select("d", "t", "n_words", "n_removed", "sha").join(done, ["d", "t"], "left")
     return out.select(
         F.when(F.col("d") != NULL_ID, F.col("d")).alias("doc_id"),
         "n_words",
-        F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce("n_gone", "n_removed").alias("n_removed"),
         F.coalesce("sha", "kept_sha256").alias("kept_sha256"),
     )
