@@ -43,7 +43,7 @@ SAMPLE_DOCS = 1000
 SAMPLE_IDS = 1 << 10
 DICTIONARY_BYTES = 64 << 10
 SHARD_BYTES = 64 << 20
-TABLE_ENTRIES = 1 << 20
+TABLE_ENTRIES = 3 << 19
 LONG_PIECE = 1000
 CUT = "\x00"
 LEVEL = 3
@@ -52,8 +52,47 @@ FOOTER = struct.Struct("<QQ8s")
 SHARDS = "part int, seq int, path string, n_docs long, n_ids long, bytes long"
 ROWS = "part int, seq int, doc_id long, before long, n_tokens long, ids_crc32 long"
 _CUT = re.compile(r"(?= \S)")
-# places where a space, mark or line feed does not start a piece
-_ODD = re.compile(r"[ \n](?:\s|$)|(?<![^\W_])[.,]|\s\n")
+
+
+def _bytes(*parts: tuple[int, int] | int) -> np.ndarray:
+    out = np.zeros(256, dtype=bool)
+    for p in parts:
+        out[p if isinstance(p, int) else slice(p[0], p[1] + 1)] = True
+    return out
+
+
+_ALNUM = _bytes((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A))
+_SOLID = _bytes((0x21, 0x7E))  # printable, no space
+_OPENS = _SOLID | _bytes((0xC3, 0xDF), (0xE4, 0xEE))  # first bytes of characters that are no white space
+_SPACES, _MARKS, _FEED = _bytes(0x20, 0x0A), _bytes(0x2C, 0x2E), 0x0A
+
+
+def plain_texts(texts: list[str | None]) -> np.ndarray:
+    """Texts in which every space and line feed starts a piece, and every comma and point ends a letter or digit.
+
+    Judged by bytes: a Latin letter counts as one by its two bytes; whatever is not surely so makes a text not plain.
+    """
+    raw = [(t or "").encode() for t in texts]
+    at = np.r_[0, np.cumsum([len(r) + 1 for r in raw])]
+    data = np.frombuffer(b"\n".join([*raw, b""]), dtype=np.uint8)
+    if len(data) < 3:
+        return np.zeros(len(texts), dtype=bool)
+    odd = np.zeros(len(data), dtype=bool)
+    here = np.flatnonzero(_SPACES[data])
+    odd[here] = ~_OPENS[data[np.minimum(here + 1, len(data) - 1)]]
+    odd[at[1:] - 1] = False  # the feeds put between texts
+    feeds = here[data[here] == _FEED]
+    marks = np.flatnonzero(_MARKS[data])
+    for some, good in ((feeds, _SOLID), (marks, _ALNUM)):
+        before, second = data[some - 1], data[some - 2]  # at the very start this looks at the end: a feed
+        latin = (second == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7)
+        bad = ~(good[before] | latin)
+        if some is feeds:
+            bad &= ~np.isin(some, at[1:] - 1)
+        odd[some[bad]] = True
+    total = np.r_[0, np.cumsum(odd)]
+    ends_odd = np.array([r[-1:] in (b" ", b"\n") for r in raw])
+    return (total[at[1:] - 1] == total[at[:-1]]) & ~ends_odd
 
 
 class Encoder:
@@ -76,11 +115,11 @@ class Encoder:
     def _direct(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def pieces(self, text: str) -> list[str] | None:
+    def pieces(self, text: str, plain: bool) -> list[str] | None:
         """Pieces that join to the text; None where the text must be encoded as one."""
         if "<|" in text or CUT in text:  # special tokens are found before pieces are cut
             return None
-        if _ODD.search(text):
+        if not plain:
             return _CUT.split(text)
         for c in " .,\n":
             text = text.replace(c, CUT + c)
@@ -88,7 +127,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers, without an end id."""
-        cut = [self.pieces(t) if t else [] for t in texts]
+        cut = [self.pieces(t, p) if t else [] for t, p in zip(texts, plain_texts(texts).tolist(), strict=True)]
         seen = {p for c in cut if c for p in c}
         seen.difference_update(self.table)
         get = self.table
