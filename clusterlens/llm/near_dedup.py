@@ -1,18 +1,21 @@
 """Near duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
 A text is a weighted set of its 5-word shingles; the weight is the count in the text times a damped inverse
-document frequency, 1 + ln(N / df) / ln(N). Document frequencies of all documents are counted in `COUNTERS` hashed
+document frequency, 1 + DAMPING * ln(N / df) / ln(N); without the damping, the words in which near copies differ
+would outweigh all that a large group shares. Document frequencies of all documents are counted in `COUNTERS` hashed
 counters, a table of fixed size; a shingle counts as rare where its counter does not stand out from the mean.
 
 1. Each text draws `BANDS * ROWS` consistent weighted samples; two texts agree in a sample with a probability equal
    to their weighted Jaccard similarity. A band is `ROWS` samples; texts that agree in a band are candidates. At a
    similarity of 0.8 a pair meets in some band with a probability of 0.998, at 0.9 of 0.99999.
 2. Equal texts are one node from here on.
-3. Texts of a band are compared with leaders, not with each other: one leader in the first round, eight times as many
-   in each later one, only texts that are still in different classes, and only where the distances to the band's
-   first leader allow a link (one minus weighted Jaccard is a metric). A leader that met all others leaves the
-   band; a band whose texts are in one class is done. Rounds go on until no band is open, so every candidate pair
-   is compared, ruled out by distance, or in one class already.
+3. Texts of a band are compared with its leader, the text that meets most others, not with each other, so a large group of copies
+   costs one comparison a text. What a band then still holds in different classes is open, but for texts so near to
+   the leader that no text outside their class can be linked to them (one minus weighted Jaccard is a metric).
+   Texts in open bands may share a passage rather than be copies; they draw `FINE_BANDS` bands of `FINE_ROWS` samples,
+   in which pairs of a similarity of 0.8 meet with a probability of 0.999 and of 0.5 with 0.06. Of a fine band, texts
+   of other classes whose sketches (a bit of each sample) leave room for a link are compared with one leader, then with four times as many in each round; a leader that met
+   all others leaves, a band in one class is done, and rounds go on until no band is open.
 4. A pair is a link when the weighted Jaccard similarity of the whole texts is at least `LEAST`. Classes are the
    connected components of links, found by spreading the least label and jumping along labels.
 """
@@ -36,8 +39,12 @@ BANDS = 12
 ROWS = 4
 COUNTERS = 1 << 20
 BLOCKS = 256
-LEADERS = 8
-_SAMPLES = BANDS * ROWS
+FINE_BANDS = 60
+FINE_ROWS = 10
+LEADERS = 4
+SKETCH = 9  # words of 64 bits
+SIGMAS = 4.5
+DAMPING = 0.25
 
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -98,7 +105,7 @@ def idf(counts: np.ndarray, n: int) -> np.ndarray:
     mean = counts.mean()
     stands_out = counts > mean + 4 * np.sqrt(mean) + 4
     df = np.where(stands_out, np.minimum(counts - mean, n), 1)
-    return (1 + np.log((n + 1) / (df + 1)) / np.log(n + 2)).astype(np.float32)
+    return (1 + DAMPING * np.log((n + 1) / (df + 1)) / np.log(n + 2)).astype(np.float32)
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -113,20 +120,20 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 
 
 _GAMMA, _LOG_GAMMA = _tables()
-_SEEDS = words.mix(np.arange(1, _SAMPLES + 1, dtype=np.uint64) * np.uint64(words.BASE))
+_SEEDS = words.mix(np.arange(1, BANDS * ROWS + FINE_BANDS * FINE_ROWS + 1, dtype=np.uint64) * np.uint64(words.BASE))
 
 
-def samples(text: np.ndarray, gram: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Texts that have shingles, and their samples (text, sample)."""
+def samples(text: np.ndarray, gram: np.ndarray, weight: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts that have shingles, and their samples (text, sample), one per seed."""
     first = np.flatnonzero(np.r_[True, text[1:] != text[:-1]]) if len(text) else np.zeros(0, np.int64)
     size = np.diff(np.r_[first, len(text)])
-    out = np.zeros((len(first), _SAMPLES), dtype=np.uint64)
+    out = np.zeros((len(first), len(seeds)), dtype=np.uint64)
     if not len(first):
         return text, out
     log_weight = np.log(weight).astype(np.float32)
     low = np.uint64(0xFFFF)
-    for k in range(_SAMPLES):
-        u = (gram ^ _SEEDS[k]) * np.uint64(0xBF58476D1CE4E5B9)
+    for k, seed in enumerate(seeds):
+        u = (gram ^ seed) * np.uint64(0xBF58476D1CE4E5B9)
         u ^= u >> np.uint64(29)
         u *= np.uint64(0x94D049BB133111EB)
         r = _GAMMA[(u >> np.uint64(48)).astype(np.int64)]
@@ -142,29 +149,38 @@ def samples(text: np.ndarray, gram: np.ndarray, weight: np.ndarray) -> tuple[np.
     return text[first], out
 
 
-def band_keys(drawn: np.ndarray) -> np.ndarray:
-    """Key of each band (text, band); equal in two texts where all samples of the band are."""
-    keys = np.zeros((len(drawn), BANDS), dtype=np.uint64)
-    for b in range(BANDS):
+def band_keys(drawn: np.ndarray, rows: int) -> np.ndarray:
+    """Key of each band of `rows` samples (text, band); equal in two texts where all samples of the band are."""
+    bands = drawn.shape[1] // rows
+    keys = np.zeros((len(drawn), bands), dtype=np.uint64)
+    for b in range(bands):
         key = np.full(len(drawn), b + 1, dtype=np.uint64)
-        for k in range(b * ROWS, (b + 1) * ROWS):
+        for k in range(b * rows, (b + 1) * rows):
             key = words.join_hash(key, drawn[:, k])
         keys[:, b] = key
     return keys
 
 
-def _sign(table):
+def _sign(table, seeds: np.ndarray, rows: int, sketch: bool = False):
+    """Band keys of each text, and a bit of each sample, in place of the text; null where it has no shingle."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             text, gram, count = shingles(batch.column("text"))
-            some, drawn = samples(text, gram, count * table.value[_counter(gram)])
-            keys = band_keys(drawn).view(np.int64).tolist()
+            some, drawn = samples(text, gram, count * table.value[_counter(gram)], seeds)
             bands: list = [None] * len(batch)
-            for i, k in zip(some.tolist(), keys, strict=True):
+            for i, k in zip(some.tolist(), band_keys(drawn, rows).view(np.int64).tolist(), strict=True):
                 bands[i] = k
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("row"), batch.column("sha"), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "row", "sha", "bands"]
-            )
+            kept = [c for c in batch.schema.names if c != "text"]
+            columns, names = [pa.array(bands, pa.list_(pa.int64()))], [*kept, "bands"]
+            if sketch:
+                bits: list = [None] * len(batch)
+                words_of = np.packbits((drawn[:, : SKETCH * 64] & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
+                for i, k in zip(some.tolist(), words_of.tolist(), strict=True):
+                    bits[i] = k
+                columns.append(pa.array(bits, pa.list_(pa.int64())))
+                names.append("sketch")
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *columns], names=names)
 
     return run
 
@@ -218,12 +234,11 @@ def signatures(spark: SparkSession, docs: DataFrame, scratch: Scratch, table) ->
     """Documents (doc_id, row, sha, v), `v` being the first row with an equal text, and (key, v) of shared bands."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     rows = rows.select("doc_id", F.monotonically_increasing_id().alias("row"), F.unhex(F.sha2("text", 256)).alias("sha"), "text")
-    signed = scratch.stage(rows.mapInArrow(_sign(table), "doc_id long, row long, sha binary, bands array<long>"), "signed")
+    signed = scratch.stage(rows.mapInArrow(_sign(table, _SEEDS[: BANDS * ROWS], ROWS), "doc_id long, row long, sha binary, bands array<long>"), "signed")
     nodes = signed.groupBy("sha").agg(F.min("row").alias("v"), F.count(F.lit(1)).alias("copies"))
     members = scratch.stage(signed.select("doc_id", "row", "sha").join(nodes, "sha"), "members")
     bands = signed.join(members.where("copies > 1 and row != v").select("row"), "row", "left_anti").select(F.col("row").alias("v"), F.explode("bands").alias("key"))
-    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    return members, scratch.stage(bands.join(shared, "key"), "bands")
+    return members, scratch.stage(_shared(bands), "bands")
 
 
 def _texts(docs: DataFrame, members: DataFrame, bands: DataFrame, scratch: Scratch) -> DataFrame:
@@ -231,14 +246,86 @@ def _texts(docs: DataFrame, members: DataFrame, bands: DataFrame, scratch: Scrat
     wanted = members.where("row = v").join(bands.select("v").distinct(), "v").select(F.col("sha").alias("_sha"), "v")
     wanted = scratch.stage(wanted, "wanted")
     texts = docs.select(text_of().alias("text")).withColumn("_sha", F.unhex(F.sha2("text", 256)))
-    return scratch.stage(texts.join(wanted, "_sha").groupBy("v").agg(F.first("text").alias("text")), "texts")
+    # candidates grow with the documents: the same join at every size
+    return scratch.stage(texts.join(wanted.hint("merge"), "_sha").groupBy("v").agg(F.first("text").alias("text")), "texts")
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """Of rows (key, v) those whose key has more than one, with the number of texts that v meets in all its keys.
+
+    A text that others are copies of meets more texts than the copies do, so leaders are taken in this order.
+    """
+    keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = rows.join(keys, "key").groupBy("v").agg(F.sum("n").alias("met"))
+    return rows.join(keys.select("key"), "key").join(met, "v").select("key", "v", "met")
+
+
+def _near_enough(least: float):
+    """Whether sketches leave room for a similarity of `least`: bits agree with a probability of (1 + similarity) / 2."""
+    n, p = 64 * SKETCH, (1 - least) / 2
+    most = n * p + SIGMAS * np.sqrt(n * p * (1 - p))
+    apart = sum((F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(SKETCH)), F.lit(0))
+    return apart <= F.lit(float(most))
+
+
+def _unlike(rows: DataFrame) -> DataFrame:
+    """Rows (key, v, c) of keys that hold more than one class."""
+    keys = rows.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("key")
+    return rows.join(keys, "key")
 
 
-def _leaders(open_rows: DataFrame, most: int) -> DataFrame:
-    if most == 1:
-        return open_rows.groupBy("key").agg(F.min("v").alias("b"))
-    place = F.row_number().over(Window.partitionBy("key").orderBy("v"))
-    return open_rows.withColumn("place", place).where(f"place <= {most}").select("key", F.col("v").alias("b"), F.col("x").alias("x_b"), F.col("c").alias("c_b"))
+class _Search:
+    """Classes found so far, and the comparisons that extend them."""
+
+    def __init__(self, scratch: Scratch, texts: DataFrame, table, least: float):
+        self.scratch, self.texts, self.table, self.least = scratch, texts, table, least
+        self.classes: DataFrame | None = None
+        self.turn = 0
+
+    def classed(self, rows: DataFrame, node: str = "v", label: str = "c") -> DataFrame:
+        if self.classes is None:
+            return rows.withColumn(label, F.col(node))
+        known = self.classes.select(F.col("v").alias(node), F.col("c").alias("_c"))
+        return rows.join(known, node, "left").withColumn(label, F.coalesce("_c", node)).drop("_c")
+
+    def compare(self, pairs: DataFrame) -> DataFrame:
+        """Similarities (a, b, j) of pairs (v, b), a the lesser; links among them join classes."""
+        self.turn += 1
+        pairs = pairs.select(F.least("v", "b").alias("a"), F.greatest("v", "b").alias("b")).distinct()
+        side = [self.texts.select(F.col("v").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab"]
+        rows = pairs.join(side[0], "a").join(side[1], "b").select("a", "b", "text_a", "text_b")
+        tested = self.scratch.stage(rows.mapInArrow(_compare(self.table), "a long, b long, j double"), f"tested-{self.turn}")
+        linked = tested.where(F.col("j") >= self.least).select("a", "b")
+        if not linked.isEmpty():
+            if self.classes is not None:  # each known class stands for the links that made it
+                linked = linked.unionByName(self.classes.where("v != c").select(F.col("c").alias("a"), F.col("v").alias("b")))
+            self.classes = components(self.scratch, linked, f"classes-{self.turn}")
+        return tested
+
+    def first_round(self, bands: DataFrame) -> DataFrame:
+        """Compare each band with its leader; the nodes (v) that are open after that."""
+        pairs = bands.join(bands.groupBy("key").agg(F.max(F.struct("met", "v"))["v"].alias("b")), "key").where("v != b")
+        tested = self.compare(pairs)
+        far = tested.select(F.col("a").alias("b"), F.col("b").alias("v"), (1 - F.col("j")).alias("x"))
+        far = far.unionByName(tested.select("b", F.col("a").alias("v"), (1 - F.col("j")).alias("x")))
+        rest = self.classed(self.classed(pairs.join(far, ["b", "v"]), "b", "c_b"))
+        outside = rest.where("c != c_b").groupBy("key").agg(F.min("x").alias("nearest"))
+        reach = F.col("x") >= F.col("nearest") - (1 - self.least) - 1e-9
+        rest = rest.join(outside, "key").where((F.col("c") != F.col("c_b")) | reach)
+        return self.scratch.stage(_unlike(rest.select("key", "v", "c")).select("v").distinct(), "open")
+
+    def rounds(self, bands: DataFrame, sketches: DataFrame) -> None:
+        """Compare ever more leaders of each band with texts of other classes, until no band is open."""
+        most, rows = 1, self.scratch.stage(_unlike(self.classed(bands)).join(sketches, "v"), "fine-0")
+        while not rows.isEmpty():
+            place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("met"), "v"))
+            lead = rows.withColumn("place", place).where(f"place <= {most}")
+            lead = lead.select("key", F.col("v").alias("b"), F.col("c").alias("c_b"), F.col("sketch").alias("sketch_b"))
+            unlike = (rows["key"] == lead["key"]) & (F.col("v") != F.col("b")) & (F.col("c") != F.col("c_b"))
+            self.compare(rows.join(lead, unlike & _near_enough(self.least)).select("v", "b"))
+            rest = rows.join(lead.select("key", F.col("b").alias("v")), ["key", "v"], "left_anti").select("key", "v", "met", "sketch")
+            rows = self.scratch.stage(_unlike(self.classed(rest)), f"fine-{self.turn}")
+            most *= LEADERS
 
 
 def links(spark: SparkSession, docs: DataFrame, bands: DataFrame, members: DataFrame, scratch: Scratch, table, least: float = LEAST) -> DataFrame | None:
@@ -246,37 +333,15 @@ def links(spark: SparkSession, docs: DataFrame, bands: DataFrame, members: DataF
     if bands.isEmpty():
         return None
     texts = _texts(docs, members, bands, scratch)
-    open_rows, found, classes, most, turn = bands, None, None, 1, 0
-    while True:
-        turn += 1
-        lead = _leaders(open_rows, most)
-        pairs = open_rows.join(lead, "key").where("v != b")
-        if turn > 1:
-            pairs = pairs.where((F.col("c") != F.col("c_b")) & (F.abs(F.col("x") - F.col("x_b")) <= 1 - least + 1e-9))
-        pairs = pairs.select(F.least("v", "b").alias("a"), F.greatest("v", "b").alias("b")).distinct()
-        with_a = pairs.join(texts.select(F.col("v").alias("a"), F.col("text").alias("text_a")), "a")
-        with_both = with_a.join(texts.select(F.col("v").alias("b"), F.col("text").alias("text_b")), "b")
-        tested = with_both.select("a", "b", "text_a", "text_b").mapInArrow(_compare(table), "a long, b long, j double")
-        tested = scratch.stage(tested, f"tested-{turn}")
-        linked = tested.where(F.col("j") >= least).select("a", "b")
-        if not linked.isEmpty():
-            # a class stands for all links found before: its members with its least one
-            old = classes.where("v != c").select(F.col("c").alias("a"), F.col("v").alias("b")) if classes is not None else None
-            classes = components(scratch, linked if old is None else linked.unionByName(old), f"classes-{turn}")
-        if turn == 1:
-            far = tested.select(F.col("a").alias("b"), F.col("b").alias("v"), (1 - F.col("j")).alias("x"))
-            rest = open_rows.join(lead, "key").where("v != b").join(far, ["b", "v"]).select("key", "v", "x")
-        else:
-            rest = open_rows.join(lead.select("key", F.col("b").alias("v")), ["key", "v"], "left_anti").select("key", "v", "x")
-        if classes is not None:
-            rest = rest.join(classes, "v", "left").select("key", "v", "x", F.coalesce("c", "v").alias("c"))
-        else:
-            rest = rest.withColumn("c", F.col("v"))
-        unlike = rest.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("key")
-        open_rows = scratch.stage(rest.join(unlike, "key"), f"open-{turn}")
-        if open_rows.isEmpty():
-            return classes
-        most = LEADERS ** turn
+    search = _Search(scratch, texts, table, least)
+    still = search.first_round(bands)
+    if not still.isEmpty():
+        sign = _sign(table, _SEEDS[BANDS * ROWS :], FINE_ROWS, sketch=True)
+        fine = texts.join(still, "v").select("v", "text").mapInArrow(sign, "v long, bands array<long>, sketch array<long>")
+        fine = scratch.stage(fine, "fine-signed")
+        bands = _shared(fine.select("v", F.explode("bands").alias("key")))
+        search.rounds(bands, fine.select("v", "sketch"))
+    return search.classes
 
 
 def classes(spark: SparkSession, docs: DataFrame, least: float = LEAST) -> DataFrame:
