@@ -183,7 +183,8 @@ def salvage(file) -> Iterator[tuple[int, int, str | None, Record | None]]:
     size = file.tell()
     file.seek(0)
     head = file.read(CHUNK)
-    plain = head.find(MAGIC) < 0 and VERSION.search(head) is not None
+    version, member = VERSION.search(head), head.find(MAGIC)
+    plain = version is not None and (member < 0 or version.start(1) < member)
     accept, pattern, keep = (_plain, VERSION, 12) if plain else (_accept, _MEMBER, 2)
     at = 0
     while at < size:
