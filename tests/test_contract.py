@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as contract
 from check import TABLES, normal
+from clusterlens.plans import catalog
 
 SMALL = "/root/testdata/sf0.001"
 WITHOUT_SQL = {"mod5_kmeans"}
@@ -19,7 +20,8 @@ needs_tables = pytest.mark.skipif(not os.path.isdir(SMALL), reason="test tables
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) - set(contract.oracle_sql()) == WITHOUT_SQL
+    assert set(catalog.QUERIES) - set(catalog.ORACLES) == WITHOUT_SQL
+    assert set(catalog.QUERIES) <= set(contract.queries())
     assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
