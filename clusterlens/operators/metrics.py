@@ -66,7 +66,7 @@ def _parsed(df: DataFrame, value: str) -> DataFrame:
         scalars.strict_timestamp(F.try_element_at(fields, F.lit(2))).alias("ts"),
         *numbers,
         F.when(
-            F.size(fields) >= MIN_FIELDS, parse_tags(F.slice(fields, 10, 1_000_000), base)
+            F.size(fields) >= MIN_FIELDS, parse_tags(F.slice(fields, F.lit(10), F.size(fields)), base)
         ).alias("tags"),
     )
 
@@ -168,9 +168,14 @@ def zero_fill_leading(
 ) -> DataFrame:
     """Prepend zero samples between a container's start and its first sample.
 
-    One per interval from the start on, at most `limit_ms / interval_ms` of them. `starts` has one row
-    per container (`container_id`, `ts`).
+    One per interval from the start on, at most `limit_ms / interval_ms` of them, so none where the interval is
+    longer than the limit. `starts` has one row per container (`container_id`, `ts`).
     """
+    real = samples.select(
+        "container_id", "ts", *[F.col(c).cast("double").alias(c) for c in columns], F.lit(False).alias("filled")
+    )
+    if interval_ms > limit_ms:
+        return real
     first = samples.groupBy("container_id").agg(F.min("ts").alias("_first"))
     steps = F.sequence(F.lit(0), F.lit(limit_ms // interval_ms - 1))
     filled = (
@@ -183,7 +188,4 @@ def zero_fill_leading(
         .where(F.col("_first").isNull() | (F.col("ts") < F.col("_first")))
         .select("container_id", "ts", *[F.lit(0.0).alias(c) for c in columns], F.lit(True).alias("filled"))
     )
-    real = samples.select(
-        "container_id", "ts", *[F.col(c).cast("double").alias(c) for c in columns], F.lit(False).alias("filled")
-    )
     return real.unionByName(filled)

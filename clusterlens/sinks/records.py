@@ -93,7 +93,7 @@ def http_post(url: str, body: str) -> str:
 
 def put_url(server: str) -> str:
     """Full put address of a time-series server given as host:port."""
-    url = server if server.startswith("http://") else f"http://{server}"
+    url = server if server.startswith(("http://", "https://")) else f"http://{server}"
     return url if url.endswith("/api/put") else f"{url}/api/put"
 
 

@@ -128,3 +128,17 @@ def test_active_containers(spark, rows):
         [(0, "a"), (0, "b"), (1000, "a"), (1000, "b"), (2000, "a")], "tick BIGINT, container_id STRING"
     )
     assert rows(cells.active_containers(df, 1000)) == [(0, 2), (2000, 1)]
+
+
+def test_zero_fill_longer_than_its_limit_adds_nothing(spark):
+    samples = spark.sql("SELECT 'c' AS container_id, timestamp'2020-01-01 00:00:05' AS ts, 1.0D AS cpu")
+    starts = spark.sql("SELECT 'c' AS container_id, timestamp'2020-01-01 00:00:00' AS ts")
+    out = metrics.zero_fill_leading(samples, starts, ["cpu"], interval_ms=2000, limit_ms=1000)
+    assert [(r.cpu, r.filled) for r in out.collect()] == [(1.0, False)]
+
+
+def test_put_address_keeps_its_scheme():
+    from clusterlens.sinks import records
+
+    assert records.put_url("https://h:1") == "https://h:1/api/put"
+    assert records.put_url("h:1") == "http://h:1/api/put"
