@@ -1,7 +1,7 @@
 """Cells: what one container reported in one tick, metrics and messages side by side.
 
-The long forms (`metric_cells`, `cell_messages`) are the working tables. Nested message maps exist for
-snapshots only and are cut into parts, so that a very chatty cell never becomes one huge row.
+The long forms (`metric_cells`, `cell_messages`) are the working tables: one row per cell, and one row per
+message. Nested message maps exist for snapshots only, on request.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ from clusterlens.operators.windows import tick
 from clusterlens.session import stage
 
 CELL = ["tick", "container_id"]
-MESSAGES_PER_PART = 100_000
 
 
 def _known(c: Column) -> Column:
@@ -134,25 +133,17 @@ def _by_arrival(a: Column, b: Column) -> Column:
     )
 
 
-def message_maps(long: DataFrame, per_part: int = MESSAGES_PER_PART) -> DataFrame:
-    """Period and instant maps (key -> list of messages) per (cell, part).
+def message_maps(long: DataFrame) -> DataFrame:
+    """Period and instant maps (key -> list of messages in order of arrival), one row per cell that has messages.
 
-    Ordinary cells have the single part 0. A cell with more than `per_part` messages is spread over as
-    many parts as it needs; every message is in exactly one part.
+    A list holds all messages of its cell and key, so ask for maps only where a snapshot in the nested form is
+    wanted; the table of messages is the form that grows without bound.
     """
-    long = long.where(F.col("kind").isNotNull())
-    crowded = (
-        long.groupBy(*CELL)
-        .count()
-        .where(F.col("count") > per_part)
-        .select(*CELL, F.ceil(F.col("count") / F.lit(per_part)).alias("_parts"))
-    )
-    spread = F.pmod(F.xxhash64("seq", "key", "value"), F.col("_parts"))
-    rows = long.join(crowded, CELL, "left").withColumn("part", F.coalesce(spread, F.lit(0)))
     message = F.struct("key", "identifiers", "value").alias("m")
     per_key = (
-        rows.withColumn("_ident", F.to_json(F.map_entries("identifiers")))
-        .groupBy(*CELL, "part", "kind", "key")
+        long.where(F.col("kind").isNotNull())
+        .withColumn("_ident", F.to_json(F.map_entries("identifiers")))
+        .groupBy(*CELL, "kind", "key")
         .agg(F.array_sort(F.collect_list(F.struct("seq", "_ident", message)), _by_arrival).alias("_list"))
         .withColumn("_list", F.transform("_list", lambda x: x["m"]))
     )
@@ -162,14 +153,12 @@ def message_maps(long: DataFrame, per_part: int = MESSAGES_PER_PART) -> DataFram
         ).alias(f"{kind}_messages")
         for kind in ("period", "instant")
     }
-    return per_key.groupBy(*CELL, "part").agg(*per_kind.values())
+    return per_key.groupBy(*CELL).agg(*per_kind.values())
 
 
 def nested(cells: DataFrame, maps: DataFrame) -> DataFrame:
-    """Cells with their message maps, the form snapshots are written in."""
-    return cells.drop("n_messages", "has_metrics").join(maps, CELL, "left").withColumn(
-        "part", F.coalesce("part", F.lit(0))
-    )
+    """Cells with their message maps, the form snapshots are written in: one row per cell."""
+    return segments.join_on(cells.drop("n_messages", "has_metrics"), maps, CELL, "left")
 
 
 def active_containers(cells: DataFrame, tick_ms: int) -> DataFrame:

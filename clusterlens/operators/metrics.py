@@ -153,7 +153,7 @@ def baseline(df: DataFrame, column: str, key: str, order: str, out: str, **cut)
     so_far = segments.inside([key], [order]).rowsBetween(Window.unboundedPreceding, 0)
     offset = F.coalesce("_offset", F.first(reading, ignorenulls=True).over(so_far), F.lit(0))
     return (
-        df.join(handed, [key, segments.SEGMENT], "left")
+        segments.join_on(df, handed, [key, segments.SEGMENT], "left")
         .withColumn(out, F.col(column) - offset)
         .drop("_offset", segments.SEGMENT)
     )

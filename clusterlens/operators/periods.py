@@ -62,12 +62,14 @@ def pair(messages: DataFrame, container_finish: DataFrame, **cut) -> DataFrame:
     by_container = segments.inside(["container_id"], latest_first).rowsBetween(*from_here)
     by_key = segments.inside(keys, latest_first).rowsBetween(*from_here)
     rows = (
-        rows.join(next_marker, ["container_id", segments.SEGMENT], "left")
+        segments.join_on(rows, next_marker, ["container_id", segments.SEGMENT], "left")
         .withColumn(
             "_marker", F.coalesce(F.min(F.when(is_marker, at)).over(by_container), F.col("_marker"))
         )
         .where(~is_marker)
-        .join(next_finish, [*keys, segments.SEGMENT], "left")
+    )
+    rows = (
+        segments.join_on(rows, next_finish, [*keys, segments.SEGMENT], "left")
         .withColumn("_finish", F.coalesce(F.min(F.when(is_close, at)).over(by_key), F.col("_finish")))
         .where(~is_close)
         .withColumn("_close", F.least("_finish", "_marker"))

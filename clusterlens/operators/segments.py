@@ -11,6 +11,8 @@ Each operator reads its input three times (count, summary, rows), so give it a s
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +24,13 @@ DAY_US = 86_400_000_000
 SPLIT_ROWS = 5_000_000
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys of which null is a value like any other, as it is to groups and windows."""
+    right = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(right, reduce(and_, same), how).drop(*[f"_right_{k}" for k in keys])
+
+
 def micros(ts: str = "ts") -> Column:
     return F.unix_micros(F.col(ts))
 
@@ -55,7 +64,7 @@ def assign(
             return df.drop("_axis")
         finer = at - F.pmod(at - F.col("_lo"), F.col("_step"))
         df = (
-            df.join(stage(crowded), [*keys, SEGMENT], "left")
+            join_on(df, stage(crowded), [*keys, SEGMENT], "left")
             .withColumn(SEGMENT, F.coalesce(finer, F.col(SEGMENT)))
             .drop("_lo", "_step")
         )
@@ -106,7 +115,7 @@ def lag(
     handed = carry(df, keys, _handed=(F.max_by(row, F.struct(*order)), "last"))
     window = inside(keys, order)
     return (
-        df.join(handed, [*keys, SEGMENT], "left")
+        join_on(df, handed, [*keys, SEGMENT], "left")
         .withColumn("_prev", F.coalesce(F.lag(row).over(window), F.col("_handed")))
         .select("*", "_prev.*")
         .drop("_prev", "_handed", SEGMENT)
@@ -132,7 +141,7 @@ def fill(
     window = window.rowsBetween(Window.unboundedPreceding, 0)
     filled = F.coalesce(F.last("_value", ignorenulls=True).over(window), F.col("_handed"))
     return (
-        df.join(handed, [*keys, SEGMENT], "left")
+        join_on(df, handed, [*keys, SEGMENT], "left")
         .withColumn(name, filled)
         .drop("_value", "_handed", SEGMENT)
     )
@@ -156,7 +165,7 @@ def running_count(
     window = inside(keys, order).rowsBetween(Window.unboundedPreceding, -1)
     here = F.coalesce(F.sum("_flag").over(window), F.lit(0))
     return (
-        df.join(carry(df, keys, **values), [*keys, SEGMENT], "left")
+        join_on(df, carry(df, keys, **values), [*keys, SEGMENT], "left")
         .withColumn(name, here + F.coalesce(F.col("_before"), F.lit(0)))
         .drop("_flag", "_before", SEGMENT)
     )
@@ -213,7 +222,7 @@ def islands(
     # Range frames: rows with the same axis value are peers and must agree in both directions.
     so_far = (Window.unboundedPreceding, Window.currentRow)
     return (
-        local.join(one, [*keys, SEGMENT])
+        join_on(local, one, [*keys, SEGMENT])
         .withColumn(
             "island_start",
             F.coalesce(F.max("_opens").over(ordered.rangeBetween(*so_far)), F.col("_start")),

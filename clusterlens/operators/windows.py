@@ -92,7 +92,7 @@ def windowed(
     cells: DataFrame, spec: WindowSpec, scope: Sequence[str] = (), upper: Column | None = None
 ) -> DataFrame:
     """Every cell once per window it is in. Give stored cells: their ticks are read first."""
-    return cells.join(gap_aware(cells, spec, scope, upper), [*scope, "tick"])
+    return segments.join_on(cells, gap_aware(cells, spec, scope, upper), [*scope, "tick"])
 
 
 def positional(

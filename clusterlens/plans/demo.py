@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from clusterlens.functions import scalars, states
 from clusterlens.operators import cells, extract
 from clusterlens.plans import flows
-from clusterlens.session import configure, spread, stage
+from clusterlens.session import configure, stage
 from clusterlens.sources import bundled
 from clusterlens.sources.rules import Group, Rule
 
@@ -29,11 +29,8 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with the container and application of their user and the text form of their time."""
     user = F.col("user_id")
     ts = F.col("ts").cast("timestamp")
-    rows = spread(
-        table(spark, sf_dir, "events").select(
-            "event_id", ts.alias("ts"), "user_id", "event_type", "value"
-        ),
-        "event_id",
+    rows = table(spark, sf_dir, "events").select(
+        "event_id", ts.alias("ts"), "user_id", "event_type", "value"
     )
     return (
         rows.withColumn(
@@ -276,7 +273,7 @@ PROSE_RULES = (
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All lines of all documents, stamped so that they can serve as log lines."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return lines.select(
         F.concat(F.lit("container_doc_"), F.col("doc_id").cast("string")).alias("container_id"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from functools import cache
@@ -47,13 +49,16 @@ def shared_folder(spark: SparkSession) -> str | None:
 
 @cache
 def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="clusterlens-")
+    folder = tempfile.mkdtemp(prefix="clusterlens-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Repartition a scan that has fewer splits than the session has cores; larger scans stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+def _run_folder(spark: SparkSession) -> str:
+    root = shared_folder(spark)
+    if root is None:
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{root.rstrip('/')}/clusterlens/{spark.sparkContext.applicationId}"
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -61,12 +66,15 @@ def stage(df: DataFrame) -> DataFrame:
 
     Operators that look at their input several times then scan a pruned columnar table instead of
     parsing raw text again, and a lost executor costs no recomputation. All tables of a run lie in one
-    folder named after the application. A cluster session that names no shared folder goes on unstaged.
+    folder named after the application; `clear_staged` removes it. A cluster session must name the folder.
     """
     spark = df.sparkSession
-    root = shared_folder(spark)
-    if root is None:
-        return df
-    path = f"{root.rstrip('/')}/clusterlens/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = f"{_run_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Remove all tables this application has staged, once no result is read from them any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_run_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

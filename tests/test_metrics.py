@@ -90,13 +90,13 @@ def test_message_maps(spark):
     assert row.instant_messages == {}
 
 
-def test_crowded_cell_is_cut_into_parts_and_stays_whole(spark):
+def test_crowded_cell_stays_one_cell(spark):
     data = [("c", "a", T0, "event", "k", {"n": str(i)}, float(i), i) for i in range(50)]
     long = cells.cell_messages(facts(spark, data), 1000)
-    maps = cells.message_maps(long, per_part=20)
-    lists = [r.instant_messages["k"] for r in maps.toLocalIterator()]
-    assert len(lists) == 3
-    assert sorted(m.value for part in lists for m in part) == [float(i) for i in range(50)]
+    cell = spark.createDataFrame([(long.first().tick, "c", "a", 8.0)], "tick BIGINT, container_id STRING, app_id STRING, memory DOUBLE")
+    row = cells.nested(cell, cells.message_maps(long)).collect()
+    assert [(r.container_id, r.memory) for r in row] == [("c", 8.0)]
+    assert [m.value for m in row[0].instant_messages["k"]] == [float(i) for i in range(50)]
 
 
 def test_build_aligns_both_sides(spark, rows):

@@ -286,23 +286,18 @@ def test_linear_fit_and_band(spark):
     assert given.high - given.y0 == pytest.approx(error)
 
 
-# 21 windows of running tasks and memory.
-TASKS = [1, 1, 1, 1, 3, 3, 3, 3, 3, 3, 3, 2, 2, 1, 1, 0, 0, 1, 1, 1, 1]
-MEMORY = [
-    0.4, 0.25, 0.25, 0.25, 1.38, 1.37, 1.4, 2.9, 1.8, 0.78, 0.25, 0.02, 0.15, 0.15, 0.03, 0.0, 0.0, 1.75, 0.0, 0.0, 0.0,
-]
-
-
-def test_regression_golden(spark):
-    data = [(float(x), y) for x, y in zip(TASKS, MEMORY, strict=True)]
+def test_regression_by_hand(spark):
+    """x 0..5 against 1 3 2 5 4 6: both squares sum to 17.5 about their means, the products to 15.5."""
+    data = [(float(x), float(y)) for x, y in enumerate([1, 3, 2, 5, 4, 6])]
     fit = models.linear_fit(spark.createDataFrame(data, "x DOUBLE, y DOUBLE"))
     row = models.interval(fit, 3.0).first()
-    assert (row.n, row.slope, row.intercept) == (21, pytest.approx(0.49308823529411766), pytest.approx(-0.1965756302521009))
-    assert (row.r2, row["corr"]) == (pytest.approx(0.4140830697805672), pytest.approx(0.6434928669228333))
-    assert (row.std_err, row.mse) == (pytest.approx(0.17801233109724657), pytest.approx(0.3713352841136454))
-    assert (row.low, row.high) == (pytest.approx(0.974882, abs=1e-6), pytest.approx(1.590496, abs=1e-6))
-    two_sided = models.interval(fit, 3.0, t=2.0930241).first()
-    assert (two_sided.low, two_sided.high) == (pytest.approx(0.910105, abs=1e-6), pytest.approx(1.655273, abs=1e-6))
+    assert (row.n, row.slope, row.intercept) == (6, pytest.approx(31 / 35), pytest.approx(9 / 7))
+    assert (row.r2, row["corr"]) == (pytest.approx((31 / 35) ** 2), pytest.approx(31 / 35))
+    assert (row.std_err, row.mse) == (pytest.approx((3.5 / 6) ** 0.5), pytest.approx(22 / 35))
+    half = 2.1318468 * (3.5 / 6) ** 0.5
+    assert (row.low, row.high) == (pytest.approx(138 / 35 - half, abs=1e-6), pytest.approx(138 / 35 + half, abs=1e-6))
+    two_sided = models.interval(fit, 3.0, t=2.0).first()
+    assert two_sided.high - two_sided.low == pytest.approx(4 * (3.5 / 6) ** 0.5)
 
 
 @pytest.mark.parametrize(
@@ -314,7 +309,22 @@ def test_student_quantile(p, degrees, t):
 
 
 def test_student_quantile_many_degrees():
-    assert models._quantile(0.95, 5001) == pytest.approx(models.student_quantile(0.95, 5001), abs=1e-9)
+    z = 1.6448536269514722
+    for n in (5000, 5001, 10**9):
+        assert models.student_quantile(0.95, n) == pytest.approx(z + (z**3 + z) / (4 * n), abs=1e-6)
+
+
+def test_null_keys_are_keys(spark, rows):
+    """Segment summaries and window joins treat null like any other key."""
+    df = spark.createDataFrame([(None, i, float(i)) for i in range(6)] + [("a", 0, 9.0)], "k STRING, t BIGINT, v DOUBLE")
+    before = segments.lag(df, ["k"], F.col("t"), ["t"], {"p": "v"}, width=2)
+    assert rows(before.where("k is null"), "t", "p") == [(0, None), *[(i, float(i - 1)) for i in range(1, 6)]]
+    sums = windows.positional(df, F.col("t"), ["t"], 4, 2, ["k"], [F.count("v").alias("n")], width=2)
+    assert rows(sums.where("k is null"), "window_no", "n") == [(0, 4), (1, 4)] + [(2, 2)]
+    ticks = df.select(F.col("k").alias("app_id"), (F.col("t") * 1000).alias("tick"))
+    spec = windows.WindowSpec(3, 3, 1000)
+    assert windows.gap_aware(ticks, spec, scope=["app_id"]).count() == 7
+    assert windows.windowed(ticks, spec, scope=["app_id"]).count() == 7
 
 
 def test_kmeans_separates(spark):
