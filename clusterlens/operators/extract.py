@@ -179,8 +179,19 @@ def _template(rule: Rule, group_id: int, role: str) -> dict | None:
     }
 
 
-def _facts(matched: DataFrame, rules: Sequence[Rule], line: str, role: str) -> DataFrame:
-    """Facts of (line, rule) rows.
+def _undefined(rule: Rule, group_id: int) -> dict:
+    """A group whose rule can never give it a value, as a template that only rejects use."""
+    group = rule.groups[group_id]
+    return {
+        "group_id": group_id, "type": group.type, "name": group.name, "is_finish": group.is_finish,
+        "literal": None, "capture": -1, "state_kind": None, "container": -1, "tag": [],
+    }
+
+
+def _facts(
+    matched: DataFrame, rules: Sequence[Rule], line: str, role: str, rejected: bool = False
+) -> DataFrame:
+    """Facts of (line, rule) rows, or with `rejected` the groups that give none and why.
 
     Only the captures differ per rule. The rest of the work is driven by one constant table of
     templates, so the expression, and the code generated for it, does not grow with the rule set.
@@ -190,6 +201,8 @@ def _facts(matched: DataFrame, rules: Sequence[Rule], line: str, role: str) -> D
     templates = []
     for number, rule in enumerate(rules):
         found = [_template(rule, i, role) for i in range(len(rule.groups))]
+        if rejected:
+            found = [t or _undefined(rule, i) for i, t in enumerate(found)]
         templates.append([t for t in found if t is not None])
         values = [rule.capture(text, name) for name in _captures(rule)]
         here = F.col("rule_id") == number
@@ -202,9 +215,10 @@ def _facts(matched: DataFrame, rules: Sequence[Rule], line: str, role: str) -> D
     # The time depends on the rule, so the optimizer cannot parse it before the lines are matched; a
     # missing one yields no templates, which spares a filter that would parse it a second time.
     us = F.unix_micros(scalars.parse_log_ts(text)) + F.get(offsets, F.col("rule_id"))
+    wanted = per_group if rejected else F.when(F.col("_us").isNotNull(), per_group)
     rows = (
         matched.select("seq", own.alias("_own"), "rule_id", captured.alias("_c"), us.alias("_us"))
-        .select("seq", "_own", "rule_id", "_c", "_us", F.inline(F.when(F.col("_us").isNotNull(), per_group)))
+        .select("seq", "_own", "rule_id", "_c", "_us", F.inline(wanted))
     )
     named = F.when(F.col("capture") > 0, F.get("_c", F.col("capture") - 1))
     value = F.coalesce(
@@ -221,6 +235,13 @@ def _facts(matched: DataFrame, rules: Sequence[Rule], line: str, role: str) -> D
         ),
     )
 
+    if rejected:
+        reason = F.when(F.col("_us").isNull(), "time").otherwise(F.when(value.isNull(), "value"))
+        return (
+            rows.select("seq", container.alias("container_id"), "rule_id", "group_id", "name", reason.alias("reason"))
+            .where(F.col("reason").isNotNull())
+        )
+
     def tag_value(tag: Column) -> Column:
         clean = scalars.sanitize_tag(F.get(F.col("_c"), tag["capture"] - 1))
         return F.when(tag["how"] == "attempt_app", ids.attempt_to_app(clean)).otherwise(clean)
@@ -277,3 +298,15 @@ def apply_manager_rules(
     if role not in ("nm", "rm"):
         raise ValueError(f"unknown daemon role: {role}")
     return _facts(_match(df, rules, line), rules, line, role)
+
+
+def rejected_facts(
+    df: DataFrame, rules: Sequence[Rule], role: str = "container", line: str = "line"
+) -> DataFrame:
+    """What matched lines fail to give: (seq, container_id, rule_id, group_id, name, reason).
+
+    The twin of `apply_rules` and `apply_manager_rules`: facts and rejects together are one row per group of each
+    matching rule. `reason` is `time` where the line has no readable time, else `value` where the group has no
+    value: an unreadable number, an unknown state or a capture its rule does not have.
+    """
+    return _facts(_match(df, rules, line), rules, line, role, rejected=True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from clusterlens.functions import ids
-from clusterlens.operators import cells, extract, metrics, periods, states
+from clusterlens.operators import cells, extract, metrics, periods, segments, states
 from clusterlens.plans import demo, flows
 from clusterlens.plans.catalog import query
 from clusterlens.plans.oracle import state_code
@@ -496,3 +496,36 @@ def emitted_counts(spark, sf_dir):
     return out.groupBy("type", "name").agg(F.count(F.lit(1)).alias("n"))
 
 
+
+
+@query(
+    "prj2_fact_rejects",
+    """SELECT event_id AS seq, container_id, 0 AS rule_id, g AS group_id, (['x', 'one', 'y'])[g + 1] AS name,
+      CASE WHEN event_id % 5 = 0 THEN 'time' ELSE 'value' END AS reason
+    FROM (SELECT *, unnest([0, 1, 2]) AS g FROM ev)
+    WHERE event_id % 5 = 0 OR g = 2 OR (g = 0 AND event_id % 3 = 0)""",
+)
+def fact_rejects(spark, sf_dir):
+    """Groups of matched lines without a readable time or value."""
+    e = F.col("event_id")
+    stamp = F.when(e % 5 == 0, F.lit("no time")).otherwise(F.col("ts_text"))
+    number = F.when(e % 3 == 0, F.lit("none")).otherwise(e.cast("string"))
+    lines = demo.events(spark, sf_dir).select(
+        "container_id", e.alias("seq"), F.concat(stamp, F.lit(" x="), number).alias("line")
+    )
+    groups = (demo.Group("x", "instant", "x"), demo.Group("one", "event", "1"), demo.Group("y", "instant", "missing"))
+    return extract.rejected_facts(lines, [demo.Rule(r".*x=(?<x>\S+).*", groups)])
+
+
+@query(
+    "win8_null_keys",
+    """SELECT event_id, CASE WHEN user_id % 7 <> 0 THEN container_id END AS container_id,
+      lag(value) OVER (PARTITION BY CASE WHEN user_id % 7 <> 0 THEN container_id END ORDER BY us, event_id) AS before
+    FROM ev""",
+)
+def null_key_lag(spark, sf_dir):
+    """The previous value per container, rows without a container being a series of their own."""
+    known = F.when(F.col("user_id") % 7 != 0, F.col("container_id"))
+    rows = stage(demo.events(spark, sf_dir).select("event_id", known.alias("container_id"), "ts", "value"))
+    out = segments.lag(rows, ["container_id"], segments.micros(), ["ts", "event_id"], {"before": "value"})
+    return out.select("event_id", "container_id", "before")

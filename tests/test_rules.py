@@ -54,6 +54,16 @@ def test_all_matching_rules_and_bad_facts(spark, rows):
     ]
 
 
+def test_facts_and_rejects_are_all_groups(spark, rows):
+    rule = Rule(r".*x=(?<x>\S+).*", (Group("x", "instant", "x"), Group("y", "instant", "missing")))
+    df = lines(spark, ["2020-01-01 00:00:00 x=5", "2020-01-01 00:00:00 x=KB", "no time x=5"])
+    rejects = extract.rejected_facts(df, [rule])
+    assert rows(rejects, "seq", "group_id", "reason") == [
+        (0, 1, "value"), (1, 0, "value"), (1, 1, "value"), (2, 0, "time"), (2, 1, "time"),
+    ]
+    assert extract.apply_rules(df, [rule]).count() + rejects.count() == 3 * 2
+
+
 def test_manager_roles(spark, rows):
     texts = [
         f"2017-07-25 23:57:16,1 INFO Container {C2} transitioned from A to RUNNING now",
