@@ -193,8 +193,8 @@ def _facts(
 ) -> DataFrame:
     """Facts of (line, rule) rows, or with `rejected` the groups that give none and why.
 
-    Only the captures differ per rule. The rest of the work is driven by one constant table of
-    templates, so the expression, and the code generated for it, does not grow with the rule set.
+    Only the captures and their branches differ per rule. The rest of the work is driven by one constant
+    table of templates.
     """
     text = F.col(line)
     captured = None
