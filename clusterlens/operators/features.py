@@ -43,20 +43,53 @@ def window_key_counts(
     `counts` is `cells.message_counts`; containers whose last tick has no period message give no row.
     """
     last = windowed.groupBy(*scope, "window_start", "container_id").agg(F.max("tick").alias("tick"))
-    return last.join(
-        counts.where(F.col("kind") == PERIOD).select(*CELL, "key", "n"), CELL
-    ).select(*scope, "window_start", "container_id", "tick", "key", "n")
+    return _counts_at(last, counts, scope)
+
+
+def _counts_at(last: DataFrame, counts: DataFrame, scope: Sequence[str]) -> DataFrame:
+    wanted = counts.where(F.col("kind") == PERIOD).select(*CELL, "key", "n")
+    return segments.join_on(last, wanted, list(CELL)).select(
+        *scope, "window_start", "container_id", "tick", "key", "n"
+    )
+
+
+def pane_mean(
+    cells: DataFrame, spec: windows.WindowSpec, column: str, scope: Sequence[str] = ()
+) -> DataFrame:
+    """`window_mean` of all windows of stored cells, by panes: no cell is copied to its windows."""
+    return windows.reduce_by_panes(
+        cells,
+        spec,
+        ["container_id"],
+        [F.sum(column).alias("_sum")],
+        [(F.sum("_sum") / F.max("n_ticks")).alias("mean")],
+        scope,
+    )
+
+
+def pane_key_counts(
+    cells: DataFrame, counts: DataFrame, spec: windows.WindowSpec, scope: Sequence[str] = ()
+) -> DataFrame:
+    """`window_key_counts` of all windows of stored cells, by panes."""
+    latest = [F.max("tick").alias("tick")]
+    last = windows.reduce_by_panes(cells, spec, ["container_id"], latest, latest, scope)
+    return _counts_at(last, counts, scope)
 
 
 def period_keys(long: DataFrame) -> DataFrame:
     return long.where(F.col("kind") == PERIOD).select("key").distinct()
 
 
-def reduce_messages(long: DataFrame, how: str) -> DataFrame:
-    """Value of a key in a cell: sum, count or avg of its messages."""
-    if how not in MESSAGE_REDUCERS:
-        raise ValueError(f"unknown message reducer: {how}")
-    return long.groupBy(*CELL, "kind", "key").agg(MESSAGE_REDUCERS[how]().alias("x"))
+def reduce_messages(long: DataFrame, how: str | Sequence[str]) -> DataFrame:
+    """Value of a key in a cell: sum, count or avg of its messages, as `x`.
+
+    Several reducers come from one aggregate, each as `x_` and its name.
+    """
+    names = {how: "x"} if isinstance(how, str) else {h: f"x_{h}" for h in how}
+    for h in names:
+        if h not in MESSAGE_REDUCERS:
+            raise ValueError(f"unknown message reducer: {h}")
+    return long.groupBy(*CELL, "kind", "key").agg(*[MESSAGE_REDUCERS[h]().alias(x) for h, x in names.items()])
 
 
 def key_range(long: DataFrame, key: str, kind: str = PERIOD) -> DataFrame:

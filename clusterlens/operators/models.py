@@ -117,13 +117,49 @@ def _t_quantile(degrees: pd.Series, p: pd.Series) -> pd.Series:
     return out
 
 
+def _nearest(columns: Sequence[str], centres: Sequence[Sequence[float]]) -> Column:
+    """Number of the nearest centre, the first of equals; null where a coordinate is."""
+    apart = [
+        sum(((F.col(c) - F.lit(v)) * (F.col(c) - F.lit(v)) for c, v in zip(columns, centre, strict=True)), F.lit(0.0))
+        for centre in centres
+    ]
+    known = F.lit(True)
+    for c in columns:
+        known = known & F.col(c).isNotNull()
+    return F.when(known, F.array_position(F.array(*apart), F.array_min(F.array(*apart))).cast("int") - 1)
+
+
 def kmeans(
-    df: DataFrame, columns: Sequence[str] = ("x", "y"), k: int = 2, seed: int = 0
+    df: DataFrame,
+    columns: Sequence[str] = ("x", "y"),
+    k: int = 2,
+    most_steps: int = 100,
+    close: float = 1e-9,
 ) -> DataFrame:
-    """Add `cluster`, the label of a k-means fit over the given columns."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
+    """Add `cluster`, the number of the nearest of k centres; rows with a null coordinate get null.
 
-    points = VectorAssembler(inputCols=list(columns), outputCol="_features").transform(df)
-    model = KMeans(k=k, seed=seed, featuresCol="_features", predictionCol="cluster").fit(points)
-    return model.transform(points).drop("_features")
+    The first centres lie evenly between the least and the greatest row, so a fit does not depend on how
+    rows are dealt. Each step is one aggregate of k rows; steps end when no centre moves by more than
+    `close` of its size. A centre without rows stays. Clusters are numbered by their centres. Give a
+    stored table: every step reads it.
+    """
+    columns = list(columns)
+    point = F.struct(*[F.col(c).cast("double").alias(c) for c in columns])
+    known = df.dropna(subset=columns)
+    ends = known.agg(F.min(point).alias("low"), F.max(point).alias("high")).first()
+    if ends is None or ends["low"] is None:
+        return df.withColumn("cluster", F.lit(None).cast("int"))
+    centres = [
+        [a + (b - a) * i / max(k - 1, 1) for a, b in zip(ends["low"], ends["high"], strict=True)] for i in range(k)
+    ]
+    for _ in range(most_steps):
+        means = known.groupBy(_nearest(columns, centres).alias("_c")).agg(*[F.avg(c).alias(c) for c in columns])
+        found = {r["_c"]: [r[c] for c in columns] for r in means.toLocalIterator()}
+        moved = [found.get(i, centre) for i, centre in enumerate(centres)]
+        still = all(
+            abs(a - b) <= close * max(1.0, abs(a)) for old, new in zip(centres, moved, strict=True) for a, b in zip(old, new, strict=True)
+        )
+        centres = moved
+        if still:
+            break
+    return df.withColumn("cluster", _nearest(columns, sorted(centres)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -63,31 +64,59 @@ def gap_aware(
     never cross a gap. Only distinct ticks are numbered, one row however many containers reported.
     `upper` (epoch ms) leaves out ticks that may still be filling.
     """
+    pos = _div(F.col("tick") - F.col("island_start"), spec.tick)
+    return _spread(_runs(cells, spec, scope, upper), spec, pos).select(*scope, "tick", "window_start", "n_ticks")
+
+
+def _runs(cells: DataFrame, spec: WindowSpec, scope: Sequence[str], upper: Column | None) -> DataFrame:
+    """Distinct ticks with the ends of their runs."""
     ticks = cells.select(*scope, "tick").distinct()
     if upper is not None:
         ticks = ticks.where(F.col("tick") <= tick(upper, spec.tick))
-    runs = segments.islands(
+    return segments.islands(
         stage(ticks), list(scope), "tick", spec.tick, width=spec.tick * TICKS_PER_SEGMENT
     )
-    pos = _div(F.col("tick") - F.col("island_start"), spec.tick)
+
+
+def _spread(rows: DataFrame, spec: WindowSpec, pos: Column) -> DataFrame:
+    """Rows of runs once per window that holds place `pos` of the run."""
     length = _div(F.col("island_end") - F.col("island_start"), spec.tick) + 1
     first = F.when(pos < spec.size, F.lit(0)).otherwise(
         _div(pos - spec.size + spec.stride, spec.stride)
     )
     return (
-        runs.withColumn("_k", F.explode(F.sequence(first.cast("bigint"), _div(pos, spec.stride))))
+        rows.withColumn("_k", F.explode(F.sequence(first.cast("bigint"), _div(pos, spec.stride))))
         .withColumn(
             "n_ticks", F.least(F.lit(spec.size), length - F.col("_k") * spec.stride).cast("bigint")
         )
-        .select(
-            *scope,
-            "tick",
-            (F.col("island_start") + F.col("_k") * spec.stride * spec.tick).alias("window_start"),
-            "n_ticks",
-        )
+        .withColumn("window_start", F.col("island_start") + F.col("_k") * spec.stride * spec.tick)
+        .drop("_k")
     )
 
 
+def reduce_by_panes(
+    cells: DataFrame,
+    spec: WindowSpec,
+    keys: Sequence[str],
+    partial: Sequence[Column],
+    final: Sequence[Column],
+    scope: Sequence[str] = (),
+    upper: Column | None = None,
+) -> DataFrame:
+    """One row per (window, keys): `partial` over each pane, then `final` over the panes of each window.
+
+    A pane is the greatest common divisor of length and stride, in ticks of a run, so windows hold whole
+    panes. Cells are reduced to panes before any row is copied to the windows it is in. `final` sees the
+    columns of `partial`, and `n_ticks` of the window. Give stored cells: their ticks are read first.
+    """
+    pane = math.gcd(spec.size, spec.stride)
+    runs = _runs(cells, spec, scope, upper)
+    rows = segments.join_on(cells, runs, [*scope, "tick"])
+    place = _div(F.col("tick") - F.col("island_start"), spec.tick * pane)
+    panes = rows.groupBy(*scope, *keys, "island_start", "island_end", place.alias("_pane")).agg(*partial)
+    return _spread(panes, spec, F.col("_pane") * pane).groupBy(*scope, "window_start", *keys).agg(*final)
+
+
 def windowed(
     cells: DataFrame, spec: WindowSpec, scope: Sequence[str] = (), upper: Column | None = None
 ) -> DataFrame:

@@ -200,4 +200,7 @@ def with_views(sql: str) -> str:
     if not views:
         return sql
     own = sql.lstrip()
-    return f"WITH {views},\n{own[5:]}" if own.startswith("WITH ") else f"WITH {views}\n{own}"
+    if not own.startswith("WITH "):
+        return f"WITH {views}\n{own}"
+    start = "WITH RECURSIVE " if own.startswith("WITH RECURSIVE ") else "WITH "
+    return f"{start}{views},\n{own[len(start):]}"

@@ -111,15 +111,9 @@ def period_keys(spark, sf_dir):
     FROM cf GROUP BY ALL""",
 )
 def message_reducers(spark, sf_dir):
-    long = cells.cell_messages(demo.stored_facts(spark, sf_dir), demo.HOUR)
-    reduced = {how: features.reduce_messages(long, how) for how in ("sum", "count", "avg")}
-    keys = ["tick", "container_id", "kind", "key"]
-    out = None
-    for how, df in reduced.items():
-        value = F.col("x") if how == "count" else F.round("x", 4)
-        df = df.select(*keys, value.alias(f"x_{how}"))
-        out = df if out is None else out.join(df, keys)
-    return out
+    long = cells.cell_messages(demo.container_facts(spark, sf_dir), demo.HOUR)
+    rows = features.reduce_messages(long, ("sum", "count", "avg"))
+    return rows.withColumns({c: F.round(c, 4) for c in ("x_sum", "x_avg")})
 
 
 @query(
@@ -173,8 +167,28 @@ def app_windows(spark, sf_dir):
     FROM mcell JOIN win USING (tick) GROUP BY ALL""",
 )
 def window_mean(spark, sf_dir):
-    windowed = windows.windowed(demo.stored_cells(spark, sf_dir), SPEC)
-    return features.window_mean(windowed, "memory").withColumn("mean", F.round("mean", 4))
+    rows = features.pane_mean(demo.stored_cells(spark, sf_dir), SPEC, "memory")
+    return rows.withColumn("mean", F.round("mean", 4))
+
+
+_SLIDING = """
+  b AS (SELECT DISTINCT tick, tick // 60000 AS t FROM mcell),
+  i AS (SELECT tick, t, t - row_number() OVER (ORDER BY t) AS g FROM b),
+  q AS (SELECT tick, t, row_number() OVER (PARTITION BY g ORDER BY t) - 1 AS p,
+      count(*) OVER (PARTITION BY g) AS n, min(t) OVER (PARTITION BY g) AS t0 FROM i),
+  sw AS (SELECT tick, (t0 + k) * 60000 AS window_start, least(60, n - k)::BIGINT AS n_ticks
+      FROM (SELECT *, unnest(range(greatest(0, p - 59), p + 1)) AS k FROM q))"""
+
+
+@query(
+    "agg4_sliding_mean",
+    f"""WITH {_SLIDING} SELECT window_start, container_id, round(sum(memory) / max(n_ticks), 4) AS mean
+    FROM mcell JOIN sw USING (tick) GROUP BY ALL""",
+)
+def sliding_mean(spark, sf_dir):
+    """Windows of an hour, one every minute: panes are single ticks."""
+    rows = features.pane_mean(demo.stored_cells(spark, sf_dir), WindowSpec(60, 1, demo.MINUTE), "memory")
+    return rows.withColumn("mean", F.round("mean", 4))
 
 
 @query(
@@ -195,9 +209,8 @@ def extractor(spark, sf_dir):
     SELECT window_start, container_id, tick, key, n FROM l JOIN n USING (tick, container_id)""",
 )
 def window_key_counts(spark, sf_dir):
-    windowed = windows.windowed(demo.stored_cells(spark, sf_dir), SPEC)
     counts = cells.message_counts(demo.task_messages(spark, sf_dir, demo.MINUTE))
-    return features.window_key_counts(windowed, counts)
+    return features.pane_key_counts(demo.stored_cells(spark, sf_dir), counts, SPEC)
 
 
 @query(

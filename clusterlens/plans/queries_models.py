@@ -123,6 +123,32 @@ def band(spark, sf_dir):
     return rows.select("container_id", *[F.round(c, 6).alias(c) for c in ("y0", "low", "high")])
 
 
+@query(
+    "mod3_band_default",
+    """WITH RECURSIVE f AS (SELECT container_id, count(*) AS n, regr_intercept(value, event_id) + 3 * regr_slope(value, event_id) AS y0,
+        stddev_samp(value) / sqrt(count(*)) AS se FROM ev GROUP BY container_id HAVING count(*) > 2),
+    deg AS (SELECT DISTINCT n, n - 2 AS v FROM f),
+    term AS (SELECT n, v, k, v % 2 + 2 * k AS p, CASE WHEN v % 2 = 0
+        THEN exp(lgamma(k + 0.5) - lgamma(k + 1)) / sqrt(pi()) ELSE sqrt(pi()) * exp(lgamma(k + 1) - lgamma(k + 1.5)) / 2 END AS w
+      FROM (SELECT n, v, unnest(range(0, (v - v % 2) // 2)) AS k FROM deg)),
+    ends AS (
+      SELECT 0 AS step, n, v, 0.0::DOUBLE AS low, pi() / 2 AS high FROM deg
+      UNION ALL
+      SELECT step + 1, n, v, CASE WHEN area < 0.9 THEN mid ELSE low END, CASE WHEN area < 0.9 THEN high ELSE mid END
+      FROM (SELECT step, e.n, e.v, low, high, (low + high) / 2 AS mid, CASE WHEN e.v % 2 = 0 THEN 1 ELSE 2 / pi() END
+              * (CASE WHEN e.v % 2 = 0 THEN 0 ELSE (low + high) / 2 END
+                 + sin((low + high) / 2) * coalesce(sum(w * pow(cos((low + high) / 2), p)), 0)) AS area
+            FROM ends e LEFT JOIN term ON term.n = e.n WHERE step < 50 GROUP BY step, e.n, e.v, low, high)),
+    q AS (SELECT n, sqrt(v) * tan((low + high) / 2) AS t FROM ends WHERE step = 50)
+    SELECT container_id, round(y0, 4) AS y0, round(y0 - t * se, 4) AS low, round(y0 + t * se, 4) AS high FROM f JOIN q USING (n)""",
+)
+def band_default(spark, sf_dir):
+    """Band by Student's quantile; the SQL form inverts the finite sums for whole degrees of freedom."""
+    fit = models.linear_fit(demo.events(spark, sf_dir), "event_id", "value", ["container_id"])
+    rows = models.interval(fit.where("n > 2"), 3.0)
+    return rows.select("container_id", *[F.round(c, 4).alias(c) for c in ("y0", "low", "high")])
+
+
 @query(
     "mod4_correlation",
     "SELECT container_id, round(corr(event_id, value), 9) AS corr FROM ev GROUP BY container_id",
@@ -132,7 +158,25 @@ def correlation(spark, sf_dir):
     return rows.select("container_id", F.round("corr", 9).alias("corr"))
 
 
-@query("mod5_kmeans")
+_NEAR = "(x - x0) * (x - x0) + (y - y0) * (y - y0) <= (x - x1) * (x - x1) + (y - y1) * (y - y1)"
+
+
+@query(
+    "mod5_kmeans",
+    f"""WITH RECURSIVE {_TRAINING},
+    pt AS MATERIALIZED (SELECT source, window_no, x, y FROM train),
+    mean AS (
+      SELECT 0 AS step, (SELECT x FROM pt ORDER BY x, y LIMIT 1) AS x0, (SELECT y FROM pt ORDER BY x, y LIMIT 1) AS y0,
+        (SELECT x FROM pt ORDER BY x DESC, y DESC LIMIT 1) AS x1, (SELECT y FROM pt ORDER BY x DESC, y DESC LIMIT 1) AS y1
+      UNION ALL
+      SELECT step + 1, coalesce(avg(x) FILTER (WHERE {_NEAR}), any_value(x0)), coalesce(avg(y) FILTER (WHERE {_NEAR}), any_value(y0)),
+        coalesce(avg(x) FILTER (WHERE NOT ({_NEAR})), any_value(x1)), coalesce(avg(y) FILTER (WHERE NOT ({_NEAR})), any_value(y1))
+      FROM mean, pt WHERE step < 100 GROUP BY step),
+    c AS (SELECT * FROM mean WHERE step = 100)
+    SELECT source, window_no, x, round(y, 6) AS y,
+      CASE WHEN ({_NEAR}) = ((x0, y0) <= (x1, y1)) THEN 0 ELSE 1 END AS cluster FROM pt, c""",
+)
 def kmeans(spark, sf_dir):
-    """Two clusters of (tasks, memory) windows; iterative, so no SQL form."""
-    return models.kmeans(stage(_training(spark, sf_dir))).select("source", "window_no", "x", "y", "cluster")
+    """Two clusters of (tasks, memory) windows."""
+    rows = models.kmeans(stage(_training(spark, sf_dir)))
+    return rows.select("source", "window_no", "x", F.round("y", 6).alias("y"), "cluster")

@@ -11,10 +11,11 @@ from check import TABLES, normal
 from clusterlens.plans import catalog
 
 SMALL = "/root/testdata/sf0.001"
-WITHOUT_SQL = {"mod5_kmeans"}
+WITHOUT_SQL: set[str] = set()
 COMPARED = [
     "prj1_route", "prj2_rejects", "jon1_container_facts", "jon1_document_facts", "jon3_rm_facts", "jon5_state_as_of",
-    "jon7_periods", "jon9_cells", "agg4_window_mean", "win7_baseline", "str8_idle_sessions", "fea2_training_set",
+    "jon7_periods", "jon9_cells", "agg4_window_mean", "agg4_sliding_mean", "agg5_window_key_counts", "agg7_message_reducers",
+    "mod3_band_default", "mod5_kmeans", "win7_baseline", "str8_idle_sessions", "fea2_training_set",
 ]
 needs_tables = pytest.mark.skipif(not os.path.isdir(SMALL), reason="test tables are not here")
 
