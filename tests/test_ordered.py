@@ -253,6 +253,26 @@ def test_window_mean_and_key_counts(spark, rows):
     assert rows(out, "container_id", "key", "n") == [("B", "task", 1)]
 
 
+@pytest.mark.parametrize(("size", "stride"), [(4, 4), (4, 2), (3, 2), (5, 1)])
+def test_panes_equal_copied_cells(spark, rows, size, stride):
+    """Runs with gaps, a null scope, a container that comes and goes."""
+    ticks = [0, 1, 2, 3, 4, 5, 6, 10, 11, 20]
+    data = [(a, t, c, float(t + i)) for a in ("x", None) for t in ticks for i, c in enumerate("AB") if c == "A" or t % 3]
+    cells = spark.createDataFrame(data, "app_id STRING, tick BIGINT, container_id STRING, memory DOUBLE")
+    spec = WindowSpec(size, stride)
+    copied = features.window_mean(windows.windowed(cells, spec, ["app_id"]), "memory", ["app_id"])
+    panes = features.pane_mean(cells, spec, "memory", ["app_id"])
+    assert panes.count() == copied.count() > 0
+    assert panes.exceptAll(copied.select(panes.columns)).isEmpty()
+
+
+def test_panes_reduce_before_copies(spark):
+    cells = spark.createDataFrame([(t, "A", 1.0) for t in range(9)], "tick BIGINT, container_id STRING, memory DOUBLE")
+    plan = features.pane_mean(cells, WindowSpec(6, 3), "memory")._jdf.queryExecution().optimizedPlan().toString()
+    copies = plan.index("Generate explode")
+    assert "Aggregate" in plan[:copies] and "sum(memory" in plan[copies:]
+
+
 def test_training_set(spark, rows):
     data = [(t, "c", float(t), t * 1e6) for t in range(1, 14)]
     series = spark.createDataFrame(data, "tick BIGINT, container_id STRING, x DOUBLE, y DOUBLE")
@@ -331,4 +351,13 @@ def test_kmeans_separates(spark):
     data = [(float(i % 2) * 100, float(i % 2) * 50 + i * 0.01) for i in range(20)]
     out = models.kmeans(spark.createDataFrame(data, "x DOUBLE, y DOUBLE"))
     groups = {r.cluster: r.xs for r in out.groupBy("cluster").agg(F.collect_set("x").alias("xs")).toLocalIterator()}
-    assert sorted(groups.values()) == [[0.0], [100.0]]
+    assert groups == {0: [0.0], 1: [100.0]}
+
+
+def test_kmeans_of_odd_rows(spark, rows):
+    data = spark.createDataFrame([(1.0, 1.0), (1.0, None), (9.0, 1.0), (8.0, 1.0), (2.0, 1.0)], "x DOUBLE, y DOUBLE")
+    assert rows(models.kmeans(data), "x", "cluster") == rows(
+        spark.createDataFrame([(1.0, 0), (1.0, None), (2.0, 0), (8.0, 1), (9.0, 1)], "x DOUBLE, cluster INT"), "x", "cluster"
+    )
+    assert models.kmeans(data.where("x > 100")).isEmpty()
+    assert {r.cluster for r in models.kmeans(data.where("x = 9"), k=3).toLocalIterator()} == {0}
