@@ -23,8 +23,35 @@ RULES = (
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 )
-STRICT = ("porn", "porno", "xxx", "sex", "nude", "escort", "casino", "poker", "viagra", "cialis", "warez", "torrent", "malware", "phishing")
-SOFT = ("ad", "ads", "adult", "affiliate", "banner", "bet", "betting", "bonus", "buy", "cheap", "click", "dating", "deal", "discount", "download", "free", "loan", "lottery", "pills", "promo", "spam", "sponsored", "track", "tracker", "tracking", "win")
+# A strict term decides alone. A soft one has everyday senses as well and needs a second beside it; everyday words with
+# two forms are listed in one form, so that a page does not count one word twice.
+STRICT = tuple(
+    """
+    porn porno pornos porns porntube pornhub pornstar pornstars pornographic xxx xxxtube sex sexo sexe sexy sexcam sexcams sexchat
+    sexshop sexvideo sexvideos sextape sextapes sextube sextoy sextoys nude nudes nsfw adult adults hentai milf milfs camgirl
+    camgirls upskirt blowjob blowjobs handjob handjobs gangbang gangbangs bukkake creampie cumshot cumshots deepthroat bdsm erotic
+    erotica erotik erotique erotico softcore threesome threesomes orgy orgies dildo dildos striptease stripclub stripclubs escort
+    escorts callgirl callgirls call-girl call-girls onlyfans hookup hookups swingers xvideos xnxx xhamster redtube youporn brazzers
+    casino casinos kasino kasinos poker pokerstars pokies blackjack baccarat sportsbook sportsbooks bookie bookies freespins
+    free-spins slot-machine slot-machines slotmachine slotmachines
+    viagra cialis levitra kamagra sildenafil tadalafil vardenafil phentermine online-pharmacy onlinepharmacy canadian-pharmacy
+    no-prescription penis-enlargement
+    warez torrent torrents keygen keygens piratebay thepiratebay rapidgator
+    malware phishing ransomware spyware keylogger keyloggers botnet botnets
+    spam-farm spam-farms spamfarm spamfarms link-farm link-farms linkfarm linkfarms buy-backlinks buy-followers payday-loan
+    payday-loans paydayloan paydayloans essay-mill essay-mills
+    """.split()
+)
+SOFT = tuple(
+    """
+    ad ads adserver affiliate affiliates banner banners popunder sponsored bet bets betting bettor bettors wager wagers gamble
+    gambling gambler gamblers roulette jackpot jackpots lotto lottery lotteries bingo slots bonus bonuses buy cheap cheapest click
+    clickbait coupon coupons deal deals discount discounts dating singles flirt download free freebie freebies giveaway giveaways
+    loan loans payday pill pills meds pharmacy tramadol valium xanax ambien weightloss enlargement promo promos spam spammer
+    spammers track tracker trackers tracking win prize prizes forex replica replicas crack cracks cracked serials nulled backlinks
+    unlimited guaranteed naked nudity stripper strippers fetish webcam
+    """.split()
+)
 STRICT_WEIGHT = 1.0
 SOFT_WEIGHT = 0.5
 LEAST_SOFT = 2

@@ -111,6 +111,23 @@ def test_url_rules_and_terms(spark):
     assert urls.judge(pages.limit(0)).count() == 0
 
 
+SPAM = "adult-x free-bets spam-farm cheap-pills ads-track casino-win best-casinos erotica-club payday-loans hentai-tube cheap-meds link-farms".split()
+PLAIN = "essex middlesex-news adultery-law winter-tracks free-software download-manual better-life credit-union saddle scunthorpe-times".split()
+
+
+def test_spam_hosts_are_found_where_no_rule_decides(spark):
+    urls_of = [(f"https://{w}{h}.example.{top}/{path}/12.html", h) for top, path in (("net", "de"), ("net", "en"), ("org", "fr")) for h in SPAM + PLAIN for w in ("", "www.", "blog.")]
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(urls_of)], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.judge(pages).collect()}
+    assert [(u, *got[i]) for i, (u, h) in enumerate(urls_of) if got[i] != (None, "block" if h in SPAM else "allow")] == []
+
+
+def test_terms_fit_the_sql_form():
+    terms = [*urls.STRICT, *urls.SOFT]
+    assert len(set(terms)) == len(terms)
+    assert all(set(t) <= set("abcdefghijklmnopqrstuvwxyz-") and t.strip("-") == t for t in terms)
+
+
 def test_token_files_round_trip(spark, odd_docs, tmp_path):
     path = public_tokenizers.path("byte_bpe_50k.json")
     plain = Tokenizer.from_file(path)
