@@ -5,9 +5,10 @@ the others are revisits that refer to it. Equal payloads are found by SHA-256 in
 combine, and only payloads that occur more than once are joined back. Every record is a gzip member of its own.
 
 Reading. A member is accepted when its gzip checksum holds, its version line, headers and length parse, and the
-payload digest of a response agrees. After a failed check the reader looks for the next gzip magic from the byte
-after the failed start on (in plain archives: the next version line at the start of a line) that starts an
-acceptable record, goes on there, and logs the bytes between as a quarantined gap with the reason.
+payload digest of a response agrees. After a failed check the reader looks, from the byte after the failed start on,
+for the next gzip magic or version line at the start of a line that starts an acceptable record, goes on there, and
+logs the bytes between as a quarantined gap with the reason. Whether a record is plain or a member is told by its own
+first bytes, never by those of the archive.
 """
 
 from __future__ import annotations
@@ -30,7 +31,9 @@ ARCHIVE_BYTES = 32 << 20
 LEVEL = 2
 CHUNK = 1 << 16
 MAGIC = b"\x1f\x8b\x08"
-VERSION = re.compile(rb"(?:^|\n)(WARC/1\.[01]\r\n)")
+VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+START = re.compile(rb"\x1f\x8b\x08|(?<=\n)WARC/1\.[01]\r\n")
+KEEP = 10  # bytes of a start, with the line end before it, that a chunk may cut off
 ID = "urn:page:"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FILES = "path string, records long, bytes long"
@@ -92,7 +95,7 @@ def _fields(head: bytes) -> dict[str, str]:
 def parse_record(raw: bytes) -> tuple[Record, int]:
     """The record at the start of `raw` and its length."""
     version = VERSION.match(raw)
-    if not version or raw[:5] != b"WARC/":
+    if not version:
         raise Damaged("no version line")
     stop = raw.find(b"\r\n\r\n")
     if stop < 0:
@@ -115,12 +118,10 @@ def parse_record(raw: bytes) -> tuple[Record, int]:
     return Record(headers, http, payload), end + 4
 
 
-def _member(file, start: int) -> tuple[bytes, int]:
-    """Content of the gzip member at `start`, and where it ends."""
-    file.seek(start)
+def _member(file, start: int, raw: bytes) -> tuple[bytes, int]:
+    """Content of the gzip member at `start`, and where it ends; `raw` is its first chunk, already read."""
     inflate, parts, at = zlib.decompressobj(31), [], start
     while not inflate.eof:
-        raw = file.read(CHUNK)
         if not raw:
             raise Damaged("the member has no end")
         try:
@@ -130,43 +131,23 @@ def _member(file, start: int) -> tuple[bytes, int]:
         at += len(raw)
         if not b"WARC/".startswith(parts[0][:5]):
             raise Damaged("no version line")
+        raw = b"" if inflate.eof else file.read(CHUNK)
     return b"".join(parts), at - len(inflate.unused_data)
 
 
-def _accept(file, start: int) -> tuple[Record, int]:
-    raw, end = _member(file, start)
+def _gzipped(file, start: int, raw: bytes) -> tuple[Record, int]:
+    """The record in the member at `start` of an archive."""
+    raw, end = _member(file, start, raw)
     record, length = parse_record(raw)
     if length != len(raw):
         raise Damaged("bytes after the record in its member")
     return record, end
 
 
-def _find(file, at: int, pattern: re.Pattern, keep: int) -> Iterator[int]:
-    """Places of a pattern's group from `at` on, reading chunk by chunk."""
-    tail = b""
-    while True:
-        file.seek(at)
-        raw = file.read(CHUNK)
-        if not raw:
-            return
-        text = tail + raw
-        base = at - len(tail)
-        for m in pattern.finditer(text):
-            yield base + m.start(1)
-        at += len(raw)
-        tail = text[-keep:]
-
-
-_MEMBER = re.compile(b"(" + re.escape(MAGIC) + b")")
-
-
-def _plain(file, start: int) -> tuple[Record, int]:
-    """The record at `start` of a plain archive; reads until its stated end."""
-    file.seek(start)
-    raw = b""
+def _plain(file, start: int, raw: bytes) -> tuple[Record, int]:
+    """The plain record at `start`; reads on after its first chunk until its stated end."""
+    more = raw
     while True:
-        more = file.read(CHUNK)
-        raw += more
         try:
             record, length = parse_record(raw)
             return record, start + length
@@ -175,27 +156,45 @@ def _plain(file, start: int) -> tuple[Record, int]:
             need = re.search(rb"\r\nContent-Length: *(\d+)\r\n", raw[: stop + 2]) if stop >= 0 else None
             if not more or raw[:5] != b"WARC/" or (stop < 0 and len(raw) > CHUNK) or (need and len(raw) >= stop + 8 + int(need[1])) or (stop >= 0 and not need):
                 raise
+        more = file.read(CHUNK)
+        raw += more
+
+
+def _accept(file, start: int) -> tuple[Record, int]:
+    """The record at `start`, plain or a member, and where it ends."""
+    file.seek(start)
+    raw = file.read(CHUNK)
+    return (_gzipped if raw.startswith(MAGIC) else _plain)(file, start, raw)
+
+
+def _starts(file, at: int) -> Iterator[int]:
+    """Places after `at` that look like the start of a member or record, reading chunk by chunk."""
+    last, tail = at, b""
+    while True:
+        file.seek(at)
+        raw = file.read(CHUNK)
+        if not raw:
+            return
+        text, base = tail + raw, at - len(tail)
+        for m in START.finditer(text):
+            if base + m.start() > last:
+                last = base + m.start()
+                yield last
+        at += len(raw)
+        tail = text[-KEEP:]
 
 
 def salvage(file) -> Iterator[tuple[int, int, str | None, Record | None]]:
     """Of an archive, in order: (start, end, None, record) of records, (start, end, reason, None) of gaps."""
-    file.seek(0, 2)
-    size = file.tell()
-    file.seek(0)
-    head = file.read(CHUNK)
-    version, member = VERSION.search(head), head.find(MAGIC)
-    plain = version is not None and (member < 0 or version.start(1) < member)
-    accept, pattern, keep = (_plain, VERSION, 12) if plain else (_accept, _MEMBER, 2)
+    size = file.seek(0, 2)
     at = 0
     while at < size:
         try:
-            record, end = accept(file, at)
+            record, end = _accept(file, at)
         except Damaged as e:
-            for place in _find(file, at + 1 if not plain else at, pattern, keep):
-                if place <= at:
-                    continue
+            for place in _starts(file, at):
                 try:
-                    record, end = accept(file, place)
+                    record, end = _accept(file, place)
                 except Damaged:
                     continue
                 yield at, place, str(e), None
@@ -287,8 +286,10 @@ def round_trip(spark: SparkSession, pages: DataFrame, least_bytes: int = 0, arch
 
     A null html is an empty payload. Rows that repeat the largest page id of their payload are responses all of
     them; null ids rank below all others, and where all ids of a payload are null all are responses. Other columns
-    are not read. An empty table writes no archive and gives no rows.
+    are not read. An empty table writes no archive and gives no rows. A gap in an archive read back is an error.
     """
     scratch = Scratch(spark, "warc")
-    out = read(write(pages, scratch, least_bytes, archive_bytes)).where("reason is null")
+    out = read(write(pages, scratch, least_bytes, archive_bytes))
+    gap = F.format_string("gap in %s from %d to %d: %s", "path", "start", "end", "reason")
+    out = out.where(F.when(F.col("reason").isNull(), True).otherwise(F.raise_error(gap).cast("boolean")))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

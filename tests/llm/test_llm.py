@@ -232,6 +232,47 @@ def test_salvage_logs_the_gap(plain, harm):
     assert [(s, e) for s, e, reason, _ in got if reason] == [gap]
 
 
+@pytest.mark.parametrize("plain", [False, True])
+@pytest.mark.parametrize("inside", [b"", warc.MAGIC + b"\0 no member"])
+@pytest.mark.parametrize("size", [100, 70_000, 300_000])
+def test_salvage_of_a_damaged_first_record(plain, inside, size):
+    parts = _archive(plain)
+    noise = random.Random(size).randbytes(size)
+    raw = warc.record_bytes(9, "http://x/9", noise[: size // 2] + inside + noise[size // 2 :], None)
+    press = zlib.compressobj(2, zlib.DEFLATED, 31)
+    first = raw if plain else press.compress(raw) + press.flush()
+    first = b"X" + first[1:]
+    got = list(warc.salvage(io.BytesIO(b"".join([first, *parts]))))
+    assert [(s, e) for s, e, reason, _ in got if reason] == [(0, len(first))]
+    assert [int(r.headers["WARC-Record-ID"][len("<urn:page:") : -1]) for *_, r in got if r] == list(range(6))
+
+
+def test_salvage_finds_starts_at_every_offset_of_a_chunk():
+    one, two = _archive(True)[0], _archive(False)[1]
+    for n in [*range(warc.CHUNK - 14, warc.CHUNK + 3), *range(2 * warc.CHUNK - 14, 2 * warc.CHUNK + 3)]:
+        for part in (one, two):
+            got = list(warc.salvage(io.BytesIO(b"x" * (n - 1) + b"\n" + part + two)))
+            assert [(s, e, r is None) for s, e, _, r in got] == [(0, n, True), (n, n + len(part), False), (n + len(part), n + len(part) + len(two), False)]
+
+
+def test_round_trip_raises_on_a_gap(spark, monkeypatch):
+    def damaged(*a, write=warc.write):
+        files = write(*a)
+        path = files.first().path.removeprefix("file://")
+        with open(path, "r+b") as file:
+            file.seek(os.path.getsize(path) // 2)
+            byte = file.read(1)[0]
+            file.seek(-1, 1)
+            file.write(bytes([byte ^ 0x55]))
+        return files
+
+    pages = spark.createDataFrame([(i, "u", f"page {i} " * 200) for i in range(5)], "page_id long, url string, html string")
+    assert warc.round_trip(spark, pages).count() == 5
+    monkeypatch.setattr(warc, "write", damaged)
+    with pytest.raises(Exception, match="gap in .* from"):
+        warc.round_trip(spark, pages).collect()
+
+
 def brute_figures(text):
     found = text.encode().split()
     lines = [x for x in text.split("\n") if x.encode().split()]
