@@ -11,8 +11,9 @@ first. A document is encoded by pieces that no merge crosses (a space before a n
 distinct piece once per task; a table that holds `TABLE_ENTRIES` pieces takes no more, and further
 pieces are encoded once per batch.
 
-The dictionary only affects the size of files, never what they hold. It is trained on the `SAMPLE_DOCS` documents
-of the whole table with the least hash, `SAMPLE_IDS` ids of each.
+The dictionary only affects the size of files, never what they hold. It is trained on `SAMPLE_DOCS` documents of the
+whole table, shared evenly among sources as far as these have documents, those with the least hash in each, and on
+`SAMPLE_IDS` ids of each around a hashed place of its text.
 """
 
 from __future__ import annotations
@@ -156,12 +157,48 @@ def unpack(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, dtype="<u2" if raw[:1] == b"\x02" else "<u4", offset=1).astype("<u4")
 
 
+def _around(place: int, n: int, most: int) -> slice:
+    """Of `n` things, `most` around a place, as far as the ends allow."""
+    start = max(0, min(place - most // 2, n - most))
+    return slice(start, start + most)
+
+
+def shares(counts: dict[int, int], most: int) -> dict[int, int]:
+    """`most` documents dealt evenly to sources, each up to its count; what small ones leave goes to the others."""
+    out = {}
+    for left, (source, n) in zip(range(len(counts), 0, -1), sorted(counts.items(), key=lambda x: (x[1], x[0])), strict=True):
+        out[source] = min(n, (most - sum(out.values())) // left)
+    return out
+
+
+def sample(docs: DataFrame) -> DataFrame:
+    """Pieces of the sample (source, text, place); `source` is a hash, `place` a random number for the ids."""
+    source = F.xxhash64("source") if "source" in docs.columns else F.lit(0).cast("long")
+    known = [F.col("doc_id"), F.octet_length("text")]
+    rows = docs.select(source.alias("source"), text_of().alias("text"), *(F.xxhash64(F.lit(x), *known).alias(x) for x in ("dictionary", "piece", "place")))
+    # no more sources than documents can be in the sample
+    counts = rows.groupBy("source").count().orderBy(F.xxhash64("source"), "source").limit(SAMPLE_DOCS).collect()
+    if not counts:
+        return rows.select("source", "text", "place").limit(0)
+    counts = {r["source"]: r["count"] for r in counts}
+    share = shares(counts, SAMPLE_DOCS)
+    # hashes that hold the share of a source but for bad luck, so that few rows are sorted
+    enough = {k: min(1.0, (n + 6 * n**0.5 + 10) / counts[k]) for k, n in share.items()}
+    bound = {k: min(2**63 - 1, int(p * 2**64) - 2**63) for k, p in enough.items()}
+    of = lambda known: F.create_map(*(F.lit(x).cast("long") for kv in known.items() for x in kv))[F.col("source")]
+    rows = rows.where(F.col("dictionary") <= of(bound))
+    n, most = F.char_length("text"), 8 * SAMPLE_IDS
+    start = F.greatest(F.lit(0), F.least(F.pmod("piece", F.greatest(n, F.lit(1))) - most // 2, n - most)).cast("int")
+    rows = rows.select("source", "dictionary", F.substring("text", start + 1, F.lit(most)).alias("text"), F.pmod("place", F.lit(1 << 31)).alias("place"))
+    order = Window.partitionBy("source").orderBy("dictionary", "place", "text")
+    return rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= of(share)).select("source", "text", "place")
+
+
 def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
     """Dictionary from id arrays of the sample; empty where the sample is too small to train on."""
-    order = F.xxhash64(F.lit("dictionary"), F.col("doc_id"))
-    sample = docs.select("doc_id", "text").orderBy(order, "doc_id").limit(SAMPLE_DOCS)
-    texts = sample.select(F.substring(text_of(), 1, 8 * SAMPLE_IDS).alias("text")).toLocalIterator()
-    samples = [pack(np.frombuffer(i, "<u4")[:SAMPLE_IDS]) for i in encoder(tokenizer).encode([r.text for r in texts]) if i]
+    rows = sorted(sample(docs).toLocalIterator())
+    ids = [np.frombuffer(i, "<u4") for i in encoder(tokenizer).encode([r.text for r in rows])]
+    samples = [pack(i[_around(r.place % len(i), len(i), SAMPLE_IDS)]) for i, r in zip(ids, rows, strict=True) if len(i)]
     encoder.cache_clear()
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
@@ -294,7 +331,7 @@ def _read(dictionary_path: str):
 def write(spark: SparkSession, docs: DataFrame, tokenizer: str, scratch: Scratch, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, str]:
     """The table of shards (part, seq, path, n_docs, n_ids, bytes) and the path of the dictionary."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    dictionary = train_dictionary(rows, tokenizer)
+    dictionary = train_dictionary(docs.withColumn("text", text_of()), tokenizer)
     path = f"{scratch.folder('ids')}/{hashlib.sha256(dictionary).hexdigest()}.dict"
     with create(path) as f:
         f.write(dictionary)
@@ -308,7 +345,8 @@ def round_trip(spark: SparkSession, docs: DataFrame, tokenizer: str, shard_bytes
 
     `start` counts the ids of all documents before it, `n_tokens` includes the end id. A null text is empty and
     has the end id alone; null ids come first; repeated rows stay, in any order among themselves where id and text
-    are equal. Other columns are not read. An empty table writes no shard and gives no rows.
+    are equal. Other columns are not read, but `source`, where there is one, for the dictionary. An empty table writes
+    no shard and gives no rows.
     """
     scratch = Scratch(spark, "token-files")
     shards, dictionary = write(spark, docs, tokenizer, scratch, shard_bytes)

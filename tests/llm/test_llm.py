@@ -159,6 +159,21 @@ def test_token_files_round_trip(spark, odd_docs, tmp_path):
     assert token_files.round_trip(spark, docs.limit(0), path).count() == 0
 
 
+def test_dictionary_knows_late_parts_and_small_sources(spark):
+    path, rng = public_tokenizers.path("byte_bpe_50k.json"), random.Random(8)
+    late = [" ".join(rng.choice("river stone amber velvet harvest lantern orchard thunder".split()) for _ in range(30)) for _ in range(40)]
+    body = lambda: " ".join(rng.choice(late) for _ in range(60))
+    rows = [(i, prose(rng, 2500) + " " + body(), "a") for i in range(120)]
+    raw = token_files.train_dictionary(documents(spark, rows), path)
+    ids = token_files.pack(np.frombuffer(token_files.encoder(path).encode([" ".join(late[:20])])[0], "<u4"))
+    sizes = [len(token_files._compressor(d).compress(ids)) for d in (b"", raw)]
+    assert sizes[1] < 0.5 * sizes[0], sizes
+    rows = [(i, f"text {i}", "a") for i in range(5000)] + [(None, f"none {i}" * i, None) for i in range(1, 6)] + [(9000, "few", "b")]
+    got = [r.text for r in token_files.sample(documents(spark, rows)).collect()]
+    assert len(got) == token_files.SAMPLE_DOCS and {r[1] for r in rows[5000:]} <= set(got)
+    assert token_files.shares({1: 5, 2: 900, 3: 900}, 1000) == {1: 5, 2: 497, 3: 498}
+
+
 def test_pieces_of_odd_texts():
     encoder = token_files.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
     model_path = public_tokenizers.path("piece_bpe_32k.model")
