@@ -42,7 +42,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("exact", exact), ("near", near), ("mix", mixture), ("pieces", encoded)]
 
-# Training, Viterbi decoding and tokenization have no SQL form; tests hold the stages against brute force.
+# Training, Viterbi decoding and tokenization have no SQL form; a test computes the rows anew from those of the first stage.
 ORACLE_SQL = None
 
 

@@ -4,11 +4,15 @@ import base64
 import collections
 import hashlib
 import io
+import math
 import os
 import random
+import re
 import zlib
 
+import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -498,6 +502,43 @@ def test_pipeline_stages(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "exact", "near", "mix", "pieces"]
 
 
+def all_pairs_classes(texts):
+    """The least id of each text's class: weighted Jaccard of all pairs in plain Python, with counted document frequencies."""
+    found = {d: re.findall(r"[^\x20\x09-\x0D]+", t) for d, t in texts.items()}
+    grams = {d: collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for d, w in found.items()}
+    df, n = collections.Counter(g for c in grams.values() for g in c), len(texts)
+    idf = {g: 1 + near_dedup.DAMPING * math.log((n + 1) / (k + 1)) / math.log(n + 2) for g, k in df.items()}
+    total = {d: sum(m * idf[g] for g, m in c.items()) for d, c in grams.items()}
+    label = {d: d for d in texts}
+    for a in sorted(texts):
+        for b in sorted(x for x in texts if x < a):
+            if min(total[a], total[b]) >= 0.8 * max(total[a], total[b]) > 0:
+                common = sum(min(m, grams[b][g]) * idf[g] for g, m in grams[a].items() if g in grams[b])
+                if common >= 0.8 * (total[a] + total[b] - common):
+                    low, high = sorted((label[a], label[b]))
+                    label = {d: low if c == high else c for d, c in label.items()}
+    return label
+
+
+@needs_tables
+def test_pipeline_rows_against_independent_computation(spark):
+    docs = table(spark, SMALL, "documents")
+    good = corpus_pipeline.quality(spark, docs, SMALL).select("doc_id", "text", "source").collect()
+    last = {r.text: r for r in sorted(good, key=lambda r: r.doc_id)}
+    exact = {r.doc_id: r for r in last.values()}
+    classes = all_pairs_classes({d: r.text for d, r in exact.items()})
+    assert 1 < len(set(classes.values())) < len(classes)
+    documents = pd.DataFrame([exact[d].asDict() for d in sorted(set(classes.values()))])  # noqa: F841  the SQL reads it
+    plan = duckdb.sql(queries.ORACLES["op1_mixing"]).fetchall()
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(corpus_pipeline.PIECES))
+    want = []
+    for d, size, _, _, taken in plan:
+        ids = model.encode(exact[d].text)
+        digests = (hashlib.sha256(x.encode()).hexdigest() for x in (",".join(map(str, ids)), model.decode(ids)))
+        want += [(d, len(ids), *digests)] * (taken // max(size, 1))
+    assert sorted(tuple(r) for r in corpus_pipeline.run(spark, SMALL).collect()) == sorted(want)
+
+
 def test_every_operator_is_registered():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
     assert set(queries.ORACLES) <= set(queries.QUERIES)
