@@ -98,4 +98,54 @@ SELECT a.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
 FROM words a LEFT JOIN lost b ON a.doc_id IS NOT DISTINCT FROM b.doc_id
 """
 
-ORACLES = {"op1_mixing": OP1, "op2_url_filter": OP2, "op6_exact_dedup": OP6, "op9_repeats": OP9}
+OP12 = rf"""
+WITH worded AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '{WORDS}') AS w
+  FROM documents),
+firsts AS (SELECT text, min(doc_id) AS least FROM worded GROUP BY text),
+failed AS (
+  SELECT doc_id, part,
+         {{'A': len(w) < 200, 'B': 100 * len(list_distinct(w)) < 50 * len(w),
+           'C': 100 * len(regexp_replace(d.text, '[^A-Z]', '', 'g')) > 3 * len(d.text),
+           'D': regexp_matches(d.text, '[#$%&*|]'), 'E': coalesce(least < doc_id, false)}} AS f
+  FROM worded d JOIN firsts USING (text)),
+good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
+toxic AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1),
+judged AS (
+  SELECT part, f.A AS a, f.B AS b, f.C AS c, f.D AS d, f.E AS e, count(*) AS n,
+         count(*) FILTER (doc_id IN (FROM good)) AS good, count(*) FILTER (doc_id IN (FROM toxic)) AS toxic
+  FROM failed GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT p.x || q.x || r.x || s.x || t.x AS filter_order
+  FROM letters p, letters q, letters r, letters s, letters t
+  WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+steps AS (SELECT filter_order, unnest(range(1, 6))::INT AS step FROM orders),
+laid AS (
+  SELECT j.*, filter_order, step, filter_order[step] AS x,
+         concat(CASE WHEN a THEN 'A' ELSE '' END, CASE WHEN b THEN 'B' ELSE '' END, CASE WHEN c THEN 'C' ELSE '' END,
+                CASE WHEN d THEN 'D' ELSE '' END, CASE WHEN e THEN 'E' ELSE '' END) AS bad
+  FROM judged j, steps),
+told AS (
+  SELECT *, contains(bad, x) AS fails,
+         step > 1 AND len(list_intersect(string_split(bad, ''), string_split(filter_order[1 : step - 1], ''))) > 0 AS gone
+  FROM laid),
+summed AS (
+  SELECT part, filter_order, step, x, coalesce(sum(n) FILTER (NOT fails AND NOT gone), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER (fails AND NOT gone), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (fails AND gone), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (bad = x), 0)::BIGINT AS unique_fails,
+         coalesce(sum(good) FILTER (fails AND NOT gone), 0)::BIGINT AS good_lost,
+         coalesce(sum(toxic) FILTER (fails AND NOT gone), 0)::BIGINT AS toxic_lost
+  FROM told GROUP BY ALL)
+SELECT * EXCLUDE (x), (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley FROM summed
+"""
+
+ORACLES = {
+    "op1_mixing": OP1,
+    "op2_url_filter": OP2,
+    "op6_exact_dedup": OP6,
+    "op9_repeats": OP9,
+    "op12_filter_audit": OP12,
+}

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from clusterlens.llm import (
     exact_dedup,
+    filter_audit,
     line_quality,
     mixing,
     near_dedup,
@@ -67,6 +68,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(spark, docs, table(spark, sf_dir, "labels")))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -80,6 +85,7 @@ QUERIES = {
         op8_pieces,
         op9_repeats,
         op10_toxicity,
+        op12_filter_audit,
     )
 }
 __all__ = ["ORACLES", "QUERIES"]
