@@ -11,6 +11,7 @@ from clusterlens.llm import (
     line_quality,
     mixing,
     near_dedup,
+    neighbours,
     pieces,
     repeats,
     token_files,
@@ -72,6 +73,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(spark, table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -86,6 +91,7 @@ QUERIES = {
         op9_repeats,
         op10_toxicity,
         op12_filter_audit,
+        op13_neighbours,
     )
 }
 __all__ = ["ORACLES", "QUERIES"]
