@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from clusterlens.llm import (
+    conversations,
     exact_dedup,
     filter_audit,
     line_quality,
@@ -69,6 +70,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(spark, docs, table(spark, sf_dir, "labels")))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.damage_and_repair(spark, table(spark, sf_dir, "conversations"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -90,6 +95,7 @@ QUERIES = {
         op8_pieces,
         op9_repeats,
         op10_toxicity,
+        op11_conversations,
         op12_filter_audit,
         op13_neighbours,
     )
