@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from clusterlens.functions import ids, scalars
 from clusterlens.functions.states import any_state_code
-from clusterlens.sources.rules import Rule
+from clusterlens.sources.rules import Rule, RuleSet
 
 # Fixed patterns and names of record routes.
 FINISH_PATTERN = r"\Acontainer.* is finished\.\z"
@@ -29,13 +29,18 @@ PERIOD = "period"
 def route(df: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
     """Add `route`; the first rule that fits wins."""
     k, v = F.col(key), F.col(value)
+
+    def fits(text: Column, pattern: str, end: str) -> Column:
+        """A plain test of both ends spares the regex on records of other routes."""
+        return text.startswith("container") & text.endswith(end) & text.rlike(pattern)
+
     return df.withColumn(
         "route",
         F.when(k.isNull() | v.isNull(), "drop")
-        .when(v.rlike(FINISH_PATTERN), "container_finish")
+        .when(fits(v, FINISH_PATTERN, " is finished."), "container_finish")
         .when(k == "testlog-log", "probe")
-        .when(k.rlike(METRIC_KEY), "metric")
-        .when(k.rlike(CONTAINER_LOG_KEY), "container_log")
+        .when(fits(k, METRIC_KEY, "-metric"), "metric")
+        .when(fits(k, CONTAINER_LOG_KEY, "-log"), "container_log")
         .when(k == "nodemanager-log", "nm_log")
         .when(k == "resourcemanager-log", "rm_log")
         .otherwise("unrecognized"),
@@ -103,17 +108,44 @@ def with_ids(df: DataFrame, container: str = "container_id", tags: str = "tags")
     )
 
 
-def _match(df: DataFrame, rules: Sequence[Rule], line: str) -> DataFrame:
-    """One row per (line, matching rule).
+# Stands before each capture in the text one run of a pattern gives; lines that hold it are read capture by capture.
+SEPARATOR = "\x1f"
+
+# One rule as it is asked of the lines of one role: (role, number in its rule list, rule).
+Asked = tuple[str, int, Rule]
+
+
+def _asked(role: str, rules: Sequence[Rule]) -> list[Asked]:
+    return [(role, i, rule) for i, rule in enumerate(rules)]
+
 
-    Most lines match nothing and already fail the substring tests of the filter, which is compiled code;
-    lines no rule matches are gone before any extraction.
+def _caught(rule: Rule, line: Column) -> Column:
+    """All captures of a rule's facts from one run of its pattern; text without a leading separator is no match."""
+    parts = "".join(f"{SEPARATOR}${rule.group_index[name]}" for name in _captures(rule)) or SEPARATOR
+    once = F.regexp_replace(line, F.lit(rule.full_pattern), F.lit(parts))
+    odd = F.contains(line, F.lit(SEPARATOR))
+    return F.when(odd, F.when(line.rlike(rule.full_pattern), F.lit(SEPARATOR))).otherwise(once)
+
+
+def _match(df: DataFrame, asked: Sequence[Asked], line: str) -> DataFrame:
+    """One row per (line, matching rule): `_no`, the place of the rule in `asked`, and `_caught`.
+
+    Most lines match nothing and already fail the substring tests of the filter, which is compiled code. On the others
+    a rule's pattern runs once, where its substring occurs. With several roles, `role` says which rules a line is read by.
     """
-    if all(r.literal for r in rules):
-        maybe = reduce(or_, [F.contains(F.col(line), F.lit(r.literal)) for r in rules])
-        df = df.where(maybe)
-    numbers = F.array(*[F.when(r.matches(F.col(line)), F.lit(i)) for i, r in enumerate(rules)])
-    return df.select("*", F.explode(F.array_compact(numbers)).alias("rule_id"))
+    roles = {role for role, _, _ in asked}
+    text = F.col(line)
+
+    def maybe(role: str, rule: Rule) -> Column:
+        plain = F.contains(text, F.lit(rule.literal)) if rule.literal else text.isNotNull()
+        return (F.col("role") == role) & plain if len(roles) > 1 else plain
+
+    hits = [
+        F.when(maybe(role, rule), F.struct(F.lit(i).alias("_no"), _caught(rule, text).alias("_caught")))
+        for i, (role, _, rule) in enumerate(asked)
+    ]
+    df = df.where(reduce(or_, [maybe(role, rule) for role, _, rule in asked]))
+    return df.select("*", F.inline(F.array_compact(F.array(*hits)))).where(F.col("_caught").startswith(SEPARATOR))
 
 
 # What a rule group asks for, as data: which captures to use and how. `capture` -1 means none.
@@ -188,39 +220,38 @@ def _undefined(rule: Rule, group_id: int) -> dict:
     }
 
 
-def _facts(
-    matched: DataFrame, rules: Sequence[Rule], line: str, role: str, rejected: bool = False
-) -> DataFrame:
-    """Facts of (line, rule) rows, or with `rejected` the groups that give none and why.
+def _outcomes(matched: DataFrame, asked: Sequence[Asked], line: str, keep: str) -> DataFrame:
+    """Facts of (line, rule) rows, or the groups that give none and why, or both; `keep` is facts, rejects or all.
 
-    Only the captures and their branches differ per rule. The rest of the work is driven by one constant
-    table of templates.
+    Only the captures differ per rule, and they come as one text. The rest of the work is driven by one constant table
+    of templates.
     """
     text = F.col(line)
-    captured = None
+    one_by_one = None
     templates = []
-    for number, rule in enumerate(rules):
+    for number, (role, _, rule) in enumerate(asked):
         found = [_template(rule, i, role) for i in range(len(rule.groups))]
-        if rejected:
+        if keep != "facts":
             found = [t or _undefined(rule, i) for i, t in enumerate(found)]
         templates.append([t for t in found if t is not None])
-        values = [rule.capture(text, name) for name in _captures(rule)]
-        here = F.col("rule_id") == number
-        parts = F.array(*values) if values else F.array().cast("array<string>")
-        captured = F.when(here, parts) if captured is None else captured.when(here, parts)
+        parts = F.array(F.lit(""), *[rule.capture(text, name) for name in _captures(rule)])
+        here = F.col("_no") == number
+        one_by_one = F.when(here, parts) if one_by_one is None else one_by_one.when(here, parts)
+    odd = F.contains(text, F.lit(SEPARATOR))
+    captured = F.when(odd, one_by_one).otherwise(F.split("_caught", SEPARATOR, -1))
     table = F.from_json(F.lit(json.dumps(templates)), TEMPLATE_SCHEMA)
-    per_group = F.element_at(table, F.col("rule_id") + 1)
-    own = F.lit(None).cast("string") if role != "container" else F.col("container_id")
-    offsets = F.array(*[F.lit(r.date_offset * 1000).cast("bigint") for r in rules])
+    per_group = F.element_at(table, F.col("_no") + 1)
+    own = F.col("container_id") if any(role == "container" for role, _, _ in asked) else F.lit(None).cast("string")
+    offsets = F.array(*[F.lit(r.date_offset * 1000).cast("bigint") for _, _, r in asked])
+    numbers = F.array(*[F.lit(i) for _, i, _ in asked])
     # The time depends on the rule, so the optimizer cannot parse it before the lines are matched; a
     # missing one yields no templates, which spares a filter that would parse it a second time.
-    us = F.unix_micros(scalars.parse_log_ts(text)) + F.get(offsets, F.col("rule_id"))
-    wanted = per_group if rejected else F.when(F.col("_us").isNotNull(), per_group)
-    rows = (
-        matched.select("seq", own.alias("_own"), "rule_id", captured.alias("_c"), us.alias("_us"))
-        .select("seq", "_own", "rule_id", "_c", "_us", F.inline(wanted))
-    )
-    named = F.when(F.col("capture") > 0, F.get("_c", F.col("capture") - 1))
+    us = F.unix_micros(scalars.parse_log_ts(text)) + F.get(offsets, F.col("_no"))
+    wanted = F.when(F.col("_us").isNotNull(), per_group) if keep == "facts" else per_group
+    rows = matched.select(
+        "seq", own.alias("_own"), "_no", F.get(numbers, F.col("_no")).alias("rule_id"), captured.alias("_c"), us.alias("_us")
+    ).select("seq", "_own", "rule_id", "_c", "_us", F.inline(wanted))
+    named = F.when(F.col("capture") > 0, F.get("_c", F.col("capture")))
     value = F.coalesce(
         F.col("literal"),
         F.when(
@@ -231,52 +262,41 @@ def _facts(
         "_own",
         F.when(
             F.col("container") > 0,
-            F.nullif(scalars.sanitize_tag(F.get("_c", F.col("container") - 1)), F.lit("")),
+            F.nullif(scalars.sanitize_tag(F.get("_c", F.col("container"))), F.lit("")),
         ),
     )
 
-    if rejected:
-        reason = F.when(F.col("_us").isNull(), "time").otherwise(F.when(value.isNull(), "value"))
-        return (
-            rows.select("seq", container.alias("container_id"), "rule_id", "group_id", "name", reason.alias("reason"))
-            .where(F.col("reason").isNotNull())
-        )
+    reason = F.when(F.col("_us").isNull(), "time").otherwise(F.when(value.isNull(), "value"))
+    if keep == "rejects":
+        rows = rows.select("seq", container.alias("container_id"), "rule_id", "group_id", "name", reason.alias("reason"))
+        return rows.where(F.col("reason").isNotNull())
 
     def tag_value(tag: Column) -> Column:
-        clean = scalars.sanitize_tag(F.get(F.col("_c"), tag["capture"] - 1))
+        clean = scalars.sanitize_tag(F.get(F.col("_c"), tag["capture"]))
         return F.when(tag["how"] == "attempt_app", ids.attempt_to_app(clean)).otherwise(clean)
 
     tags = F.map_from_arrays(F.col("tag.name"), F.transform("tag", tag_value))
-    return (
-        rows.withColumns({"value": value, "container_id": container, "tags": tags})
-        .where(F.col("value").isNotNull())
-        .withColumn("_app", ids.container_to_app(F.col("container_id")))
-        .select(
-            "container_id",
-            F.coalesce("_app", F.col("tags")["app"]).alias("app_id"),
-            F.timestamp_micros("_us").alias("ts"),
-            "type",
-            "name",
-            F.when(F.col("container_id").isNull(), F.col("tags"))
-            .when(
-                F.col("_app").isNull(),
-                F.map_concat("tags", F.create_map(F.lit("container"), F.col("container_id"))),
-            )
-            .otherwise(
-                F.map_concat(
-                    "tags",
-                    F.create_map(
-                        F.lit("container"), F.col("container_id"), F.lit("app"), F.col("_app")
-                    ),
-                )
-            )
-            .alias("tags"),
-            "value",
-            "is_finish",
-            "rule_id",
-            "group_id",
-            "seq",
-        )
+    ids_of = F.create_map(F.lit("container"), F.col("container_id"))
+    with_app = F.create_map(F.lit("container"), F.col("container_id"), F.lit("app"), F.col("_app"))
+    rows = rows.withColumns({"value": value, "container_id": container, "tags": tags, "reason": reason})
+    if keep == "facts":
+        rows = rows.where(F.col("value").isNotNull())
+    return rows.withColumn("_app", ids.container_to_app(F.col("container_id"))).select(
+        "container_id",
+        F.coalesce("_app", F.col("tags")["app"]).alias("app_id"),
+        F.timestamp_micros("_us").alias("ts"),
+        "type",
+        "name",
+        F.when(F.col("container_id").isNull(), F.col("tags"))
+        .when(F.col("_app").isNull(), F.map_concat("tags", ids_of))
+        .otherwise(F.map_concat("tags", with_app))
+        .alias("tags"),
+        "value",
+        "is_finish",
+        "rule_id",
+        "group_id",
+        "seq",
+        *(["reason"] if keep == "all" else []),
     )
 
 
@@ -285,7 +305,7 @@ def apply_rules(df: DataFrame, rules: Sequence[Rule], line: str = "line") -> Dat
 
     Needs columns `container_id`, `line` and `seq` (arrival order).
     """
-    return _facts(_match(df, rules, line), rules, line, "container")
+    return extract(df, _asked("container", rules), line)
 
 
 def apply_manager_rules(
@@ -297,7 +317,33 @@ def apply_manager_rules(
     """
     if role not in ("nm", "rm"):
         raise ValueError(f"unknown daemon role: {role}")
-    return _facts(_match(df, rules, line), rules, line, role)
+    return extract(df, _asked(role, rules), line)
+
+
+def extract(df: DataFrame, asked: Sequence[Asked], line: str = "line", keep: str = "facts") -> DataFrame:
+    """Facts (or `rejects`, or with `reason` as well `all`) of lines, each read by the rules of its role."""
+    return _outcomes(_match(df, asked, line), asked, line, keep)
+
+
+def role_lines(routed: DataFrame) -> DataFrame:
+    """Lines of container and daemon logs (seq, role, container_id, line) from routed records, in one scan."""
+    route_of = F.col("route")
+    role = F.when(route_of == "container_log", "container").when(route_of == "nm_log", "nm").when(route_of == "rm_log", "rm")
+    rows = split_container_line(routed.select("seq", "value", role.alias("role")).where(F.col("role").isNotNull()))
+    own = F.col("role") == "container"
+    line = F.when(own, F.col("line")).otherwise(F.col("value"))
+    return rows.select("seq", "role", F.when(own, F.col("container_id")).alias("container_id"), line.alias("line")).where(
+        F.col("line").isNotNull()
+    )
+
+
+def apply_rule_set(lines: DataFrame, rules: RuleSet, keep: str = "facts") -> DataFrame:
+    """Facts of `role_lines` of all roles in one pass; with `keep="all"` also the rejects, told by `reason`.
+
+    `reason` is null for a fact. Store the result where both are wanted: the lines are then read once.
+    """
+    asked = [*_asked("container", rules.container), *_asked("nm", rules.manager), *_asked("rm", rules.manager)]
+    return extract(lines, asked, keep=keep)
 
 
 def rejected_facts(
@@ -309,4 +355,4 @@ def rejected_facts(
     matching rule. `reason` is `time` where the line has no readable time, else `value` where the group has no
     value: an unreadable number, an unknown state or a capture its rule does not have.
     """
-    return _facts(_match(df, rules, line), rules, line, role, rejected=True)
+    return extract(df, _asked(role, rules), line, keep="rejects")

@@ -19,6 +19,7 @@ from clusterlens.sources.rules import Group, Rule
 MINUTE = 60_000
 HOUR = 3_600_000
 RECORDS_PER_EVENT = 4
+TASKS = 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +33,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(
         "event_id", ts.alias("ts"), "user_id", "event_type", "value"
     )
+    rows = rows.repartition(TASKS, "event_id")  # a test table is one row group; log text would be cut by the file system
     return (
         rows.withColumn(
             "container_id",
@@ -273,7 +275,7 @@ PROSE_RULES = (
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All lines of all documents, stamped so that they can serve as log lines."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").repartition(TASKS, "doc_id")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return lines.select(
         F.concat(F.lit("container_doc_"), F.col("doc_id").cast("string")).alias("container_id"),

@@ -19,13 +19,8 @@ def samples(routed: DataFrame) -> DataFrame:
 
 
 def facts(routed: DataFrame, rules: RuleSet) -> DataFrame:
-    """Facts of container and daemon logs from routed records (key, value, seq, route)."""
-    container = extract.split_container_line(routed.where(F.col("route") == "container_log"))
-    out = extract.apply_rules(container.where(F.col("line").isNotNull()), rules.container)
-    for role in ("nm", "rm"):
-        lines = routed.where(F.col("route") == f"{role}_log").select("seq", F.col("value").alias("line"))
-        out = out.unionByName(extract.apply_manager_rules(lines, rules.manager, role))
-    return out
+    """Facts of container and daemon logs from routed records (key, value, seq, route), read once."""
+    return extract.apply_rule_set(extract.role_lines(routed), rules)
 
 
 def emitted(messages: DataFrame, finishes: DataFrame, tick_ms: int, horizon: Column) -> DataFrame:

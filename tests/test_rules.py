@@ -1,6 +1,7 @@
 import pytest
 
 from clusterlens.operators import extract, states
+from clusterlens.plans import flows
 from clusterlens.sources import bundled
 from clusterlens.sources.rules import Group, Rule, RuleSet, load_rules, scan_pattern
 
@@ -187,3 +188,36 @@ def test_routing(spark, rows):
         ("container_1-log", "nobody 2017-"), ("other", "x"),
     ]
     assert rows(extract.container_finishes(routed), "container_id") == [("container_1",)]
+
+
+def test_all_roles_are_read_in_one_scan(spark, tmp_path):
+    records = [
+        ("container_5_0003_01_000002-log", "container_5_0003_01_000002 2020-01-01 10:00:00 INFO Executor: Running task 1.0 in stage 0.0 (TID 7)"),
+        ("nodemanager-log", "2020-01-01 10:00:01 INFO ContainerImpl: Container container_5_0003_01_000002 transitioned from NEW to RUNNING"),
+        ("resourcemanager-log", "2020-01-01 10:00:02 INFO RMAppImpl: application_5_0003 State change from NEW to FINISHED"),
+        ("container_5_0003_01_000002-log", "nobody 2020-01-01 10:00:00 x"),
+    ]
+    path = str(tmp_path / "records")
+    spark.createDataFrame([(i, k, v) for i, (k, v) in enumerate(records)], "seq BIGINT, key STRING, value STRING").write.parquet(path)
+    routed = extract.route(spark.read.parquet(path))
+    facts = flows.facts(routed, bundled.DEFAULT)
+    plan = facts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan
+    apart = extract.apply_rules(extract.split_container_line(routed.where("route = 'container_log'")).where("line is not null"), bundled.DEFAULT.container)
+    for role in ("nm", "rm"):
+        lines = routed.where(f"route = '{role}_log'").selectExpr("seq", "value AS line")
+        apart = apart.unionByName(extract.apply_manager_rules(lines, bundled.MANAGER, role))
+    got, want = (sorted(map(str, df.collect())) for df in (facts, apart))
+    assert got == want and len(got) >= 4
+
+
+def test_facts_and_rejects_of_one_pass(spark):
+    rule = Rule(r".*x=(?<x>\S*) y=(?<y>\S*)", (Group("x", "instant", "x", ("y",)), Group("y", "instant", "y")))
+    lines = ["2020-01-01 00:00:00 x=1 y=2", "2020-01-01 00:00:00 x=a y=3", "bad x=1 y=2", "2020-01-01 00:00:00 x=4 y=\x1f5", "x", ""]
+    df = spark.createDataFrame([(i, "c", x, "container") for i, x in enumerate(lines)], "seq BIGINT, container_id STRING, line STRING, role STRING")
+    both = extract.apply_rule_set(df, RuleSet((rule,), ()), keep="all")
+    facts = sorted((r.seq, r.name, r.value, r.tags.get("y")) for r in both.where("reason is null").collect())
+    assert facts == [(0, "x", 1.0, "2"), (0, "y", 2.0, None), (1, "y", 3.0, None), (3, "x", 4.0, "_5"), (3, "y", 5.0, None)]
+    assert sorted((r.seq, r.name, r.reason) for r in both.where("reason is not null").collect()) == [(1, "x", "value"), (2, "x", "time"), (2, "y", "time")]
+    alone = extract.apply_rules(df, [rule])
+    assert sorted(map(str, alone.collect())) == sorted(map(str, both.where("reason is null").drop("reason").collect()))
