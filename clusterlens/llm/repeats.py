@@ -39,7 +39,10 @@ WINDOW = 20
 GRAM = 8
 PLACES = WINDOW - GRAM + 1
 GROUP = 4096
+WINDOWS_AT_ONCE = 1 << 17
 FOLD_BYTES = 32 << 20
+ENTRY_BYTES = 450  # of two tuples, their numbers and a place in the table
+FLUSH_ROWS = 8192
 CHUNK_ROWS = 40_000
 NULL_ID = -(1 << 63)
 ROW = "d long, t long"
@@ -47,12 +50,18 @@ ROW = "d long, t long"
 
 def _spans(w: words.Words) -> tuple[np.ndarray, ...]:
     """text, lo, n, off, gram of every span: windows lo..lo+n-1 share the gram at lo + off (word numbers within the text)."""
-    hashes = w.hashes()
-    gram, _ = words.grams(hashes, w.first, GRAM)
+    hashes, text = w.hashes(), w.text
+    parts = [(np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)]
+    for begin in range(0, len(hashes) - WINDOW + 1, WINDOWS_AT_ONCE):
+        part = slice(begin, begin + WINDOWS_AT_ONCE + WINDOW - 1)
+        parts.append(_spans_of(hashes[part], text[part], begin, w.first))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _spans_of(hashes: np.ndarray, text: np.ndarray, begin: int, first: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Spans of consecutive words, of which the first is number `begin` of the batch."""
+    gram, _ = words.grams(hashes, np.array([0, len(hashes)]), GRAM)
     total = len(hashes) - WINDOW + 1
-    if total <= 0:
-        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)
-    text = w.text
     inside = text[:total] == text[WINDOW - 1 :]
     best, place = gram[:total].copy(), np.zeros(total, dtype=np.int64)
     for k in range(1, PLACES):
@@ -62,11 +71,11 @@ def _spans(w: words.Words) -> tuple[np.ndarray, ...]:
     start = np.flatnonzero(inside)
     at = start + place[start]
     new = np.r_[True, (at[1:] != at[:-1]) | (np.diff(start) != 1)] if len(start) else np.zeros(0, bool)
-    begin = np.flatnonzero(new)
-    lo = start[begin]
-    n = np.diff(np.r_[begin, len(start)])
+    opens = np.flatnonzero(new)
+    lo = start[opens]
+    n = np.diff(np.r_[opens, len(start)])
     which = text[lo]
-    return which, lo - w.first[which], n, at[begin] - lo, gram[at[begin]]
+    return which, lo + begin - first[which], n, at[opens] - lo, gram[at[opens]]
 
 
 def _minimizers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,14 +122,14 @@ class _Fold:
         known = self.seen.get(key)
         if known is None:
             self.seen[key] = start
-            self.held += size + 150
+            self.held += size + ENTRY_BYTES
         elif start < known:
             self.seen[key] = start
         return self.held > FOLD_BYTES
 
     def flush(self) -> Iterator[pa.RecordBatch]:
-        if self.seen:
-            rows = [(*k, *s) for k, s in self.seen.items()]
+        while self.seen:
+            rows = [(*k, *s) for k, s in (self.seen.popitem() for _ in range(min(FLUSH_ROWS, len(self.seen))))]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=self.names)
         self.seen, self.held = {}, 0
 

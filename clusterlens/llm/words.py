@@ -12,19 +12,10 @@ import numpy as np
 import pyarrow as pa
 
 BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(BASE, -1, 1 << 64)
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_powers = {BASE: np.ones(1, dtype=np.uint64), _INVERSE: np.ones(1, dtype=np.uint64)}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    have = _powers[base]
-    if len(have) < n:
-        full = np.full(max(n, 2 * len(have)), base, dtype=np.uint64)
-        full[0] = 1
-        have = _powers[base] = np.cumprod(full, dtype=np.uint64)
-    return have[:n]
+BLOCK = 1 << 18  # bytes that are looked at at once, so that working arrays do not grow with a text
+_POWERS = np.cumprod(np.r_[np.ones(1, np.uint64), np.full(BLOCK - 1, BASE, dtype=np.uint64)], dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -53,11 +44,22 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
     def hashes(self) -> np.ndarray:
-        n = len(self.data)
-        total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * _power(BASE, n), out=total[1:])
-        raw = (total[self.end] - total[self.start]) * _power(_INVERSE, n + 1)[self.start]
-        return mix(raw ^ (self.end - self.start).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+        out = np.zeros(len(self.start), dtype=np.uint64)
+        for lo in range(0, len(self.data), BLOCK):
+            hi = min(lo + BLOCK, len(self.data))
+            a, b = np.searchsorted(self.end, lo, "right"), np.searchsorted(self.start, hi)
+            if a == b:
+                continue
+            start = np.maximum(self.start[a:b], lo) - lo
+            size = np.minimum(self.end[a:b], hi) - lo - start
+            before = np.cumsum(size) - size
+            place = np.arange(size.sum()) - np.repeat(before, size)  # of each byte within its word, as far as it is in the block
+            terms = self.data[lo:hi][place + np.repeat(start, size)].astype(np.uint64) + np.uint64(1)
+            sums = np.add.reduceat(terms * _POWERS[place], before)
+            if self.start[a] < lo:
+                sums[:1] *= np.uint64(pow(BASE, int(lo - self.start[a]), 1 << 64))
+            out[a:b] += sums
+        return mix(out ^ (self.end - self.start).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 def split(texts: pa.Array) -> Words:
@@ -68,14 +70,17 @@ def split(texts: pa.Array) -> Words:
     body = texts.buffers()[2]
     data = np.frombuffer(body, dtype=np.uint8)[at[0] : at[-1]] if body is not None and at[-1] > at[0] else np.zeros(0, np.uint8)
     at = at - at[0]
-    word = ~SPACE[data]
-    new = np.zeros(len(data) + 1, dtype=bool)
-    new[at] = True
-    begins = word.copy()
-    begins[1:] &= ~word[:-1] | new[1:-1]
-    ends = word.copy()
-    ends[:-1] &= ~word[1:] | new[1:-1]
-    start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for lo in range(0, len(data), BLOCK):
+        hi = min(lo + BLOCK, len(data))
+        word = ~SPACE[data[lo:hi]]
+        new = np.zeros(hi - lo + 1, dtype=bool)  # where a text begins
+        new[at[np.searchsorted(at, lo) : np.searchsorted(at, hi, "right")] - lo] = True
+        before = np.r_[lo > 0 and not SPACE[data[lo - 1]], word[:-1]]
+        behind = np.r_[word[1:], hi < len(data) and not SPACE[data[hi]]]
+        starts.append(np.flatnonzero(word & (~before | new[:-1])) + lo)
+        ends.append(np.flatnonzero(word & (~behind | new[1:])) + lo + 1)
+    start, end = np.concatenate(starts), np.concatenate(ends)
     return Words(data, at, start, end, np.searchsorted(start, at))
 
 
