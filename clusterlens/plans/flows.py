@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from clusterlens.operators.windows import WindowSpec
 from clusterlens.sinks import snapshots
 from clusterlens.sources import logs
 from clusterlens.sources.rules import RuleSet
+from clusterlens.streaming import live
 
 MODES = ("storage", "training", "detection")
 
@@ -23,6 +26,12 @@ def facts(routed: DataFrame, rules: RuleSet) -> DataFrame:
     return extract.apply_rule_set(extract.role_lines(routed), rules)
 
 
+def live_cells(records: DataFrame, rules: RuleSet, tick_ms: int, lateness: str = "1 second") -> DataFrame:
+    """Cells of a stream of keyed records (key, value, seq), as they are consumed: `live.cells` of its samples and facts."""
+    routed = extract.route(records)
+    return live.cells(samples(routed), facts(routed, rules), tick_ms, lateness)
+
+
 def emitted(messages: DataFrame, finishes: DataFrame, tick_ms: int, horizon: Column) -> DataFrame:
     """What reaches the outputs: instant facts as they are, periods once per tick."""
     instant = messages.where(F.col("type") == extract.INSTANT)
@@ -51,19 +60,28 @@ def run(
     path: str,
     spec: WindowSpec,
     nested_cells: DataFrame | None = None,
-) -> DataFrame | str | None:
-    """`storage` writes cells as the next snapshot, `training` cuts windows over all stored snapshots,
-    `detection` cuts windows over the given cells."""
+    fmt: str = "parquet",
+    checkpoints: str | None = None,
+    trigger: str | None = "1 second",
+    scope: Sequence[str] = (),
+) -> DataFrame | str | live.Detection | None:
+    """`storage` writes cells as the next snapshot, in either format. `training` cuts windows over all stored snapshots
+    of both formats. `detection` cuts windows over the given cells: live where they are a stream (`live.detect`), with
+    actions to be registered on the result; at once where they are a table.
+    """
     if mode not in MODES:
         raise ValueError(f"unknown mode: {mode}")
     if mode == "storage":
-        return snapshots.write_snapshot(nested_cells, path)
+        return snapshots.write_snapshot(nested_cells, path, fmt)
+    if mode == "detection" and nested_cells.isStreaming:
+        if checkpoints is None:
+            raise ValueError("a live detection needs a checkpoint folder")
+        return live.detect(spark, nested_cells, path, spec, checkpoints, scope, trigger=trigger)
     if mode == "detection":
-        return windows.windowed(nested_cells, spec)
-    stored = spark.read.option("recursiveFileLookup", "true").parquet(path)
-    number = logs.snapshot_number(F.col("_file"))
-    merged = logs.merge_snapshots(stored.withColumn("_file", F.col("_metadata.file_path")), number)
-    return windows.windowed(merged.drop("_file"), spec)
+        return windows.windowed(nested_cells, spec, scope)
+    stored = logs.read_store(spark, path)
+    merged = logs.merge_snapshots(stored, logs.snapshot_number(F.col("source"))).drop("source")
+    return windows.windowed(merged, spec, scope)
 
 
 def tasks_against_memory(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from clusterlens.functions.ids import container_to_app
 from clusterlens.functions.scalars import parse_log_ts
@@ -127,7 +128,11 @@ def read_snapshots(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     A file may hold the whole store in one line or, as `write_snapshot_json` writes it, one cell per
     line; the second form splits over tasks.
     """
-    lines = spark.read.text(paths).select(
+    return _snapshot_cells(spark.read.text(paths))
+
+
+def _snapshot_cells(lines: DataFrame) -> DataFrame:
+    lines = lines.select(
         F.col("_metadata.file_path").alias("source"),
         F.from_json("value", f"MAP<STRING, MAP<STRING, {SNAPSHOT_CELL}>>").alias("ticks"),
     )
@@ -145,6 +150,16 @@ def read_snapshots(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     )
 
 
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    """Cells of all snapshots below `path`, Parquet and JSON alike, with the file they come from as `source`."""
+    files = spark.read.option("recursiveFileLookup", "true")
+    json = _snapshot_cells(files.option("pathGlobFilter", "*.{txt,json}").text(path))
+    columns = [c for c in json.columns if c != "source"]
+    schema = StructType([json.schema[c] for c in columns])
+    parquet = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").schema(schema).parquet(path)
+    return json.unionByName(parquet.select(F.col("_metadata.file_path").alias("source"), *columns))
+
+
 def snapshot_number(source: Column) -> Column:
     """Number in a snapshot's name `sliding_window<N>`."""
     return F.regexp_extract(source, r"sliding_window(\d+)", 1).try_cast("bigint")

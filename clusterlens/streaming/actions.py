@@ -38,15 +38,24 @@ def resolve(info: ActionInfo) -> Action:
 
 
 class Registry:
-    """Running actions. The first registration of a name wins; every action sees all windows."""
+    """Running actions. The first registration of a name wins; every action sees all windows.
 
-    def __init__(self, windows: DataFrame, checkpoints: str | None = None):
+    `windows` is a stream; give one over a stored table of windows, so that it is not parsed anew for each action. A
+    `drained` registry starts its actions in `drain`, where each sees what is there and stops.
+    """
+
+    def __init__(self, windows: DataFrame, checkpoints: str | None = None, drained: bool = False):
         self.windows = windows
         self.checkpoints = checkpoints
+        self.drained = drained
         self.running: dict[str, StreamingQuery] = {}
+        self.waiting: dict[str, Action] = {}
 
-    def register(self, name: str, action: Action, interval_ms: int | None = 1000) -> StreamingQuery:
+    def register(self, name: str, action: Action, interval_ms: int | None = 1000) -> StreamingQuery | None:
         """Start an action; `interval_ms=None` lets it see what is there and stop."""
+        if self.drained:
+            self.waiting.setdefault(name, action)
+            return None
         if name not in self.running:
             trigger = None if interval_ms is None else f"{interval_ms} milliseconds"
             self.running[name] = start(self.windows, action, name, self.checkpoints, trigger)
@@ -56,7 +65,15 @@ class Registry:
         for info in parse(text):
             self.register(f"{info.module}.{info.function}", resolve(info), info.interval_ms)
 
+    def drain(self, seconds: int = 600) -> None:
+        """Let all waiting actions see what is there."""
+        for name, action in self.waiting.items():
+            query = start(self.windows, action, name, self.checkpoints, None)
+            if not query.awaitTermination(seconds):
+                raise TimeoutError(f"action {name} did not end")
+
     def unregister(self, name: str) -> None:
+        self.waiting.pop(name, None)
         query = self.running.pop(name, None)
         if query is not None:
             query.stop()

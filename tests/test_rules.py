@@ -217,7 +217,7 @@ def test_facts_and_rejects_of_one_pass(spark):
     df = spark.createDataFrame([(i, "c", x, "container") for i, x in enumerate(lines)], "seq BIGINT, container_id STRING, line STRING, role STRING")
     both = extract.apply_rule_set(df, RuleSet((rule,), ()), keep="all")
     facts = sorted((r.seq, r.name, r.value, r.tags.get("y")) for r in both.where("reason is null").collect())
-    assert facts == [(0, "x", 1.0, "2"), (0, "y", 2.0, None), (1, "y", 3.0, None), (3, "x", 4.0, "_5"), (3, "y", 5.0, None)]
+    assert facts == [(0, "x", 1.0, "2"), (0, "y", 2.0, None), (1, "y", 3.0, None), (3, "x", 4.0, "\x1f5"), (3, "y", 5.0, None)]
     assert sorted((r.seq, r.name, r.reason) for r in both.where("reason is not null").collect()) == [(1, "x", "value"), (2, "x", "time"), (2, "y", "time")]
     alone = extract.apply_rules(df, [rule])
     assert sorted(map(str, alone.collect())) == sorted(map(str, both.where("reason is null").drop("reason").collect()))
