@@ -7,6 +7,7 @@ they equal those of the batch operators.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,6 +20,7 @@ from clusterlens.operators.windows import WindowSpec
 
 # A container's periods are spread over this many state keys; its finish marker goes to all of them.
 SLOTS = 16
+ROWS_PER_FRAME = 5000
 
 PERIOD_INPUT = (
     "us BIGINT, seq BIGINT, rule_id INT, group_id INT, kind STRING, "
@@ -40,7 +42,10 @@ def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
 class PeriodProcessor(StatefulProcessor):
     """Emits one row per grid tick of every open period of a (container, slot).
 
-    Facts wait in the buffer until the watermark has passed them and are then applied in order.
+    Facts wait until the watermark has passed them and are then applied in order. They lie in the store by grid step, one
+    entry each, so that a timer reads the steps that are due, one after another, and leaves the others alone. An open
+    period is written once: up to which tick all of them have been emitted is one value. Rows leave in frames of bounded size
+    as they are made, so neither many open periods nor a long leap of the watermark is ever held in memory.
     """
 
     def __init__(self, tick_ms: int):
@@ -48,20 +53,27 @@ class PeriodProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.buffer = handle.getListState("buffer", PERIOD_INPUT)
+        self.steps = handle.getMapState("steps", "step BIGINT", "facts INT")
+        self.facts = handle.getMapState("facts", "step BIGINT, number INT", PERIOD_INPUT)
         self.open = handle.getMapState(
-            "open",
-            "name STRING, tag_key STRING",
-            "app_id STRING, type STRING, value DOUBLE, next_tick BIGINT, emitted BOOLEAN",
+            "open", "name STRING, tag_key STRING", "app_id STRING, type STRING, value DOUBLE, first_tick BIGINT"
         )
+        self.clock = handle.getValueState("clock", "tick BIGINT")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
         earliest = None
         for part in rows:
-            records = [_clean(r) for r in part[_COLUMNS].itertuples(index=False, name=None)]
-            self.buffer.appendList(records)
-            first = min(r[0] for r in records)
-            earliest = first if earliest is None else min(first, earliest)
+            by_step: dict[int, list[tuple]] = {}
+            for r in part[_COLUMNS].itertuples(index=False, name=None):
+                record = _clean(r)
+                by_step.setdefault(record[0] // self.tick, []).append(record)
+            for step, records in by_step.items():
+                held = self.steps.getValue((step,))[0] if self.steps.containsKey((step,)) else 0
+                for number, record in enumerate(records, held):
+                    self.facts.updateValue((step, number), record)
+                self.steps.updateValue((step,), (held + len(records),))
+                first = min(r[0] for r in records)
+                earliest = first if earliest is None else min(first, earliest)
         if earliest is not None:
             self.handle.registerTimer(max(earliest // 1000, timerValues.getCurrentWatermarkInMs()) + 1)
         yield pd.DataFrame()
@@ -69,48 +81,70 @@ class PeriodProcessor(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         watermark_ms = timerValues.getCurrentWatermarkInMs()
         now = watermark_ms * 1000
-        waiting = list(self.buffer.get()) if self.buffer.exists() else []
-        ready = sorted((r for r in waiting if r[0] <= now), key=lambda r: tuple(r[:4]))
-        later = [r for r in waiting if r[0] > now]
-        if later:
-            self.buffer.put([tuple(r) for r in later])
-        elif waiting:
-            self.buffer.clear()
-        out: list[tuple] = []
-        for row in ready:
-            self._apply(key[0], row, out)
+        last = self.clock.get()[0] if self.clock.exists() else None
+        held = {k[0]: v[0] for k, v in self.steps.iterator()}
+        due = sorted(s for s in held if s * self.tick <= now)
+        if due or last is None or last < now // self.tick:
+            yield from self._in_frames(self._advance(key[0], held, due, last, now))
+        else:
+            self.waiting = False  # another timer of this batch has done all and set the next one
+        if self.waiting:
+            self.handle.registerTimer(watermark_ms + 1)
+        yield pd.DataFrame()
+
+    def _in_frames(self, rows: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in PERIOD_OUTPUT.split(", ")]
+        while out := list(islice(rows, ROWS_PER_FRAME)):
+            yield _frame(out, names)
+
+    def _advance(self, container: str, held: dict[int, int], due: list[int], last: int | None, now: int) -> Iterator[tuple]:
+        later = len(held) > len(due)
+        for step in due:
+            records = [tuple(self.facts.getValue((step, n))) for n in range(held[step])]
+            early = sorted((r for r in records if r[0] <= now), key=lambda r: r[:4])
+            rest = [r for r in records if r[0] > now]
+            for row in early:
+                yield from self._apply(container, row, last)
+            for number in range(len(rest), len(records)):
+                self.facts.removeKey((step, number))
+            for number, row in enumerate(rest):
+                self.facts.updateValue((step, number), row)
+            if rest:
+                self.steps.updateValue((step,), (len(rest),))
+                later = True
+            else:
+                self.steps.removeKey((step,))
         still_open = False
-        for (name, tags), period in list(self.open.iterator()):
+        until = now // self.tick
+        for (name, tags), (app, type_, value, first) in self.open.iterator():
             still_open = True
-            app, type_, value, tick, emitted = period
-            while tick * self.tick <= now:
-                out.append((key[0], app, tick * self.tick, type_, name, tags, value))
-                tick, emitted = tick + 1, True
-            self.open.updateValue((name, tags), (app, type_, value, tick, emitted))
-        if still_open or later:
-            self.handle.registerTimer(watermark_ms + 1)
-        yield _frame(out, [c.split()[0] for c in PERIOD_OUTPUT.split(", ")])
+            for t in range(first if last is None else max(first, last + 1), until + 1):
+                yield (container, app, t * self.tick, type_, name, tags, value)
+        self.clock.update((until,))
+        self.waiting = still_open or later
 
-    def _apply(self, container: str, row, out: list[tuple]) -> None:
+    def _apply(self, container: str, row: tuple, last: int | None) -> Iterator[tuple]:
         us, _, _, _, kind, name, type_, app, tags, value = row
         if kind == "start":
             if not self.open.containsKey((name, tags)):
-                self.open.updateValue((name, tags), (app, type_, value, -(-us // self.tick), False))
+                self.open.updateValue((name, tags), (app, type_, value, -(-us // self.tick)))
         elif kind == "finish":
             if self.open.containsKey((name, tags)):
-                self._close(container, name, tags, us, out, at_least_once=True)
+                period = self.open.getValue((name, tags))
+                self.open.removeKey((name, tags))
+                yield from self._closed(container, name, tags, period, us, last, at_least_once=True)
         else:
-            for name, tags in [tuple(k) for k in self.open.keys()]:
-                self._close(container, name, tags, us, out, at_least_once=False)
+            for (name, tags), period in self.open.iterator():
+                yield from self._closed(container, name, tags, period, us, last, at_least_once=False)
+            self.open.clear()
 
-    def _close(self, container, name, tags, us, out, at_least_once: bool) -> None:
-        app, type_, value, tick, emitted = self.open.getValue((name, tags))
+    def _closed(self, container, name, tags, period, us: int, last: int | None, at_least_once: bool) -> Iterator[tuple]:
+        app, type_, value, first = period
         end = -(-us // self.tick) - 1
-        if at_least_once and not emitted:
-            end = max(end, tick)
-        for t in range(tick, end + 1):
-            out.append((container, app, t * self.tick, type_, name, tags, value))
-        self.open.removeKey((name, tags))
+        if at_least_once and (last is None or first > last):
+            end = max(end, first)
+        for t in range(first if last is None else max(first, last + 1), end + 1):
+            yield (container, app, t * self.tick, type_, name, tags, value)
 
     def close(self) -> None:
         pass
@@ -124,11 +158,14 @@ def _clean(record: tuple) -> tuple:
     return (int(us), int(seq), int(rule_id), int(group_id), *texts)
 
 
-def period_input(messages: DataFrame, container_finish: DataFrame) -> DataFrame:
-    """Facts and finish markers in the form `PeriodProcessor` takes; the marker goes to every slot."""
+def period_input(messages: DataFrame, container_finish: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """Facts and finish markers in the form `PeriodProcessor` takes; the marker goes to every slot.
+
+    `slots` spreads a container over that many state keys. It is part of the state of a query: a restarted one must keep it.
+    """
     facts = messages.where(F.col("type") != INSTANT).select(
         "container_id",
-        F.pmod(F.xxhash64("name", tag_key(F.col("tags"))), F.lit(SLOTS)).alias("slot"),
+        F.pmod(F.xxhash64("name", tag_key(F.col("tags"))), F.lit(slots)).alias("slot"),
         "ts",
         F.unix_micros("ts").alias("us"),
         "seq",
@@ -143,7 +180,7 @@ def period_input(messages: DataFrame, container_finish: DataFrame) -> DataFrame:
     )
     markers = container_finish.select(
         "container_id",
-        F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1)).cast("array<bigint>")).alias("slot"),
+        F.explode(F.sequence(F.lit(0), F.lit(slots - 1)).cast("array<bigint>")).alias("slot"),
         "ts",
         F.unix_micros("ts").alias("us"),
         "seq",

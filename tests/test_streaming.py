@@ -144,3 +144,96 @@ def test_actions_see_all_windows(spark, tmp_path, rows):
     assert not (tmp_path / "never").exists()
     registry.unregister("one")
     assert list(registry.running) == ["two"]
+
+
+class Store:
+    """State in memory, with the calls a processor makes."""
+
+    def __init__(self):
+        self.maps, self.values, self.timers = {}, {}, []
+
+    def getMapState(self, name, *_):  # noqa: N802
+        return MapOf(self.maps.setdefault(name, {}))
+
+    def getValueState(self, name, *_):  # noqa: N802
+        return ValueOf(self.values, name)
+
+    def registerTimer(self, ms):  # noqa: N802
+        self.timers.append(ms)
+
+
+class MapOf:
+    def __init__(self, rows):
+        self.rows = rows
+        self.getValue, self.removeKey, self.clear = rows.__getitem__, rows.__delitem__, rows.clear
+        self.updateValue = rows.__setitem__
+
+    def containsKey(self, key):  # noqa: N802
+        return key in self.rows
+
+    def iterator(self):
+        return iter(self.rows.items())
+
+
+class ValueOf:
+    def __init__(self, values, name):
+        self.values, self.name = values, name
+
+    def exists(self):
+        return self.name in self.values
+
+    def get(self):
+        return self.values[self.name]
+
+    def update(self, value):
+        self.values[self.name] = value
+
+
+class Clock:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = lambda: ms
+
+
+def test_many_open_periods_and_a_long_leap_stay_within_bounds():
+    import tracemalloc
+
+    import pandas as pd
+
+    periods_open, ticks = 100_000, 40
+    processor, store = processors.PeriodProcessor(1000), Store()
+    processor.init(store)
+    columns = processors._COLUMNS
+    for part in range(0, periods_open, 10_000):
+        facts = [(1 + i, i, 0, 0, "start", "task", "period", "a", f'[{{"TID":"{i}"}}]', 1.0) for i in range(part, part + 10_000)]
+        list(processor.handleInputRows(("c",), iter([pd.DataFrame(facts, columns=columns)]), Clock(0)))
+    tracemalloc.start()
+    rows, largest = 0, 0
+    for frame in processor.handleExpiredTimer(("c",), Clock(ticks * 1000), None):
+        rows, largest = rows + len(frame), max(largest, len(frame))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == periods_open * ticks and largest <= processors.ROWS_PER_FRAME
+    assert len(store.maps["open"]) == periods_open and not store.maps["facts"] and not store.maps["steps"]
+    assert peak < 200 << 20
+    again = sum(len(f) for f in processor.handleExpiredTimer(("c",), Clock(ticks * 1000), None))
+    assert again == 0
+    finish = pd.DataFrame([(ticks * 1_000_000 + 1_500_000, 0, -1, -1, "container", None, None, None, None, None)], columns=columns)
+    list(processor.handleInputRows(("c",), iter([finish]), Clock(ticks * 1000)))
+    assert sum(len(f) for f in processor.handleExpiredTimer(("c",), Clock(ticks * 1000 + 5000), None)) == periods_open
+    assert not store.maps["open"]
+
+
+def test_open_periods_of_one_container_equal_the_batch(spark, tmp_path, rows):
+    data = [fact("c1", str(i), 1 + i % 7, False, i) for i in range(3000)]
+    ends = [fact("c1", str(i), 31 + i % 50, True, 10_000 + i) for i in range(0, 3000, 3)]
+    marks = [("c1", at(95), 50_000)]
+    facts = as_stream(spark, tmp_path / "in", [data, ends, [fact("far", "1", FAR, False, 99_999)]], FACTS)
+    marks_df = spark.createDataFrame(marks, "container_id STRING, ts TIMESTAMP, seq BIGINT")
+    marks_df.coalesce(1).write.parquet(str(tmp_path / "marks"))
+    live = spark.readStream.schema(marks_df.schema).parquet(str(tmp_path / "marks"))
+    out = processors.expand_periods(processors.period_input(facts, live, slots=3), 10_000, "60 seconds")
+    drain(out, queries.append_table(str(tmp_path / "out")), "many", tmp_path)
+    batch = spark.createDataFrame([*data, *ends], FACTS)
+    expected = periods.expand(periods.pair(batch, marks_df), 10_000, F.lit(at(FAR - 1)))
+    columns = ["container_id", "ts", "name", "value", "tags"]
+    assert rows(collected(spark, tmp_path / "out"), *columns) == rows(expected, *columns)
