@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clusterlens.operators import segments
@@ -124,6 +124,18 @@ def windowed(
     return segments.join_on(cells, gap_aware(cells, spec, scope, upper), [*scope, "tick"])
 
 
+def flag_late(rows: DataFrame, batch: str, delay_ms: int, ts: str = "ts") -> DataFrame:
+    """Batch twin of `queries.split_late`: rows with `is_late`, `batch` being the number of the batch each came in.
+
+    Only one row per batch is ordered. Rows without a time are not late.
+    """
+    per_batch = rows.groupBy(batch).agg(F.max(F.unix_micros(ts)).alias("_latest"))
+    before = Window.orderBy(batch).rowsBetween(Window.unboundedPreceding, -1)
+    limits = per_batch.select(batch, (F.max("_latest").over(before) - delay_ms * 1000).alias("_limit"))
+    out = segments.join_on(rows, limits, [batch], "left")
+    return out.withColumn("is_late", F.coalesce(F.unix_micros(ts) < F.col("_limit"), F.lit(False))).drop("_limit")
+
+
 def positional(
     df: DataFrame,
     axis: Column,

@@ -9,6 +9,7 @@ from pyspark.sql.types import StructType
 from clusterlens.functions.ids import container_to_app
 from clusterlens.functions.scalars import parse_log_ts
 from clusterlens.operators.cells import CELL
+from clusterlens.sources import tail
 
 RECORD_SCHEMA = "key STRING, value STRING, timestamp TIMESTAMP, offset BIGINT"
 # Directory name of a container in a log path.
@@ -31,9 +32,8 @@ def read_messages(
     )
 
 
-def _lines(spark: SparkSession, path, encoding: str, streaming: bool, **options) -> DataFrame:
-    reader = spark.readStream if streaming else spark.read
-    reader = reader.options(recursiveFileLookup="true", **options)
+def _lines(spark: SparkSession, path, encoding: str, **options) -> DataFrame:
+    reader = spark.read.options(recursiveFileLookup="true", **options)
     if encoding.lower().replace("-", "") == "utf8":
         return reader.text(path).withColumnRenamed("value", "line")
     # The text source reads UTF-8 only; CSV with no separator and no quoting decodes other charsets
@@ -45,24 +45,26 @@ def _lines(spark: SparkSession, path, encoding: str, streaming: bool, **options)
     )
 
 
-def _in_file_order(lines: DataFrame, *columns: Column) -> DataFrame:
-    """Add `seq`, the arrival order: the row's place in a batch scan, the file's age in a stream."""
-    if lines.isStreaming:
-        seq = F.unix_micros("_metadata.file_modification_time")
-    else:
-        seq = F.monotonically_increasing_id()
-    return lines.select(*columns, "line", seq.alias("seq"))
-
-
 def read_container_logs(
-    spark: SparkSession, root: str, streaming: bool = False, encoding: str = "utf-8"
+    spark: SparkSession,
+    root: str,
+    streaming: bool = False,
+    encoding: str = "utf-8",
+    from_end: bool = False,
 ) -> DataFrame:
-    """Every line below the container directories under `root`; the directory names the container."""
-    path = F.col("_metadata.file_path")
-    lines = _in_file_order(
-        _lines(spark, root, encoding, streaming),
-        F.regexp_extract(path, CONTAINER_DIR, 1).alias("container_id"),
-        path.alias("path"),
+    """Every line below the container directories under `root`; the directory names the container.
+
+    `seq` orders the lines of a file: the row's place in a batch scan, the line's first byte in a stream. A stream delivers a
+    line when it is complete; with `from_end` it skips what is there when it first starts.
+    """
+    if streaming:
+        lines = tail.scan(spark, root, True, encoding=encoding, startingOffsets="latest" if from_end else "earliest")
+        path, seq = F.col("path"), F.col("seq")
+    else:
+        lines = _lines(spark, root, encoding)
+        path, seq = F.col("_metadata.file_path"), F.monotonically_increasing_id()
+    lines = lines.select(
+        F.regexp_extract(path, CONTAINER_DIR, 1).alias("container_id"), path.alias("path"), "line", seq.alias("seq")
     )
     return lines.where(F.col("container_id") != "")
 
@@ -74,14 +76,23 @@ def read_daemon_log(
     since: str | None = None,
     streaming: bool = False,
     encoding: str = "utf-8",
+    from_end: bool = False,
+    **options,
 ) -> DataFrame:
-    """Lines of a daemon log; with `since` (timestamp text) only lines of that time or later."""
-    lines = _in_file_order(
-        _lines(spark, path, encoding, streaming), F.lit(source).alias("source")
-    )
-    if since is None:
-        return lines
-    return lines.where(parse_log_ts(F.col("line")) >= F.lit(since).cast("timestamp"))
+    """Lines (source, line, seq) of a daemon log; with `since` (timestamp text) only lines of that time or later.
+
+    A line without a time has that of the last line before it in its file that has one, so a stack trace goes with the line
+    it follows; what comes before the first time in a file is left out by `since`. A batch scan without `since` numbers rows
+    by their place, all others by the line's first byte. `from_end` lets a stream skip what is there when it first starts.
+    """
+    if since is None and not streaming:
+        lines = _lines(spark, path, encoding)
+        return lines.select(F.lit(source).alias("source"), "line", F.monotonically_increasing_id().alias("seq"))
+    start = {"startingOffsets": "latest" if from_end else "earliest"}
+    lines = tail.scan(spark, path, streaming, encoding=encoding, **start, **options)
+    if since is not None:
+        lines = lines.where(parse_log_ts(F.col("dated")) >= F.lit(since).cast("timestamp"))
+    return lines.select(F.lit(source).alias("source"), "line", "seq")
 
 
 def containers_of_new_apps(

@@ -71,6 +71,34 @@ def with_lateness(df: DataFrame, delay: str, ts: str = "ts") -> DataFrame:
     return df.withWatermark(ts, delay)
 
 
+def split_late(kept: Channel, late: Channel, delay_ms: int, marks: str, ts: str = "ts") -> Channel:
+    """Channel that hands late rows to one channel and all others to another, none is lost.
+
+    A row is late if it is older than the latest time of all earlier batches less `delay_ms`, which is the watermark a
+    stateful operator would drop it by. That time is one value per batch, kept in a file of its own under `marks`, so a batch
+    that is repeated is split in the same way. Rows without a time are not late.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before = None
+        if batch_id > 0:
+            before = spark.read.parquet(f"{marks}/batch_id={batch_id - 1}").first()["latest"]
+        batch.persist()
+        try:
+            latest = batch.agg(F.max(F.unix_micros(ts)).alias("latest"))
+            latest = latest.select(F.greatest("latest", F.lit(before).cast("bigint")).alias("latest"))
+            latest.write.mode("overwrite").parquet(f"{marks}/batch_id={batch_id}")
+            limit = F.lit(before).cast("bigint") - delay_ms * 1000
+            is_late = F.coalesce(F.unix_micros(ts) < limit, F.lit(False))
+            late(batch.where(is_late), batch_id)
+            kept(batch.where(~is_late), batch_id)
+        finally:
+            batch.unpersist()
+
+    return write
+
+
 def tick_counts(df: DataFrame, tick: str, delay: str, keys: Sequence[str] = ()) -> DataFrame:
     """Facts per tick; a fact that arrives after its tick was closed is dropped."""
     return (

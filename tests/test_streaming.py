@@ -104,6 +104,20 @@ def test_late_facts_are_dropped(spark, tmp_path, rows):
     ]
 
 
+def test_late_rows_reach_a_table_of_their_own(spark, tmp_path, rows):
+    batches = [[(at(50), "a"), (at(5), "first")], [(at(44), "kept"), (at(45), "kept"), (at(39), "late"), (at(90), "a")], [(None, "none"), (at(79), "late")], [(at(80), "kept")]]
+    stream = as_stream(spark, tmp_path / "in", batches, "ts TIMESTAMP, k STRING")
+    kept, late = (queries.append_table(str(tmp_path / n)) for n in ("kept", "late"))
+    channel = queries.split_late(kept, late, 10_000, str(tmp_path / "marks"))
+    drain(stream, channel, "split", tmp_path)
+    channel(spark.createDataFrame(batches[1], "ts TIMESTAMP, k STRING"), 1)  # a repeated batch is split alike
+    assert rows(collected(spark, tmp_path / "late"), "ts", "k") == [(at(39), "late"), (at(79), "late")]
+    table = spark.createDataFrame([(*r, i) for i, b in enumerate(batches) for r in b], "ts TIMESTAMP, k STRING, batch INT")
+    flagged = windows.flag_late(table, "batch", 10_000)
+    assert rows(flagged.where("is_late"), "ts", "k") == rows(collected(spark, tmp_path / "late"), "ts", "k")
+    assert rows(flagged.where("not is_late"), "ts", "k") == rows(collected(spark, tmp_path / "kept"), "ts", "k")
+
+
 def test_idle_sessions(spark, tmp_path, rows):
     data = [(at(s), "a") for s in (0, 5, 8, 30, 38)]
     batches = [data[:3], data[3:], [(at(FAR), "z")]]
