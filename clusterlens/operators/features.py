@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ MESSAGE_REDUCERS = {
     "count": lambda: F.count(F.lit(1)).cast("double"),
     "avg": lambda: F.avg("value"),
 }
-_extractors: dict[str, Callable[[DataFrame], DataFrame]] = {}
+_extractors: dict[str, Extractor | Callable[[DataFrame], DataFrame]] = {}
 
 
 def worker_containers(df: DataFrame) -> DataFrame:
@@ -154,30 +155,57 @@ def union_sources(series: dict[str, DataFrame]) -> DataFrame:
 
 
 def training_set(series: DataFrame, size: int, stride: int, **cut) -> DataFrame:
-    """Windowed (x, y) per source: x summed, y the maximum in MB, in (tick, container) order."""
-    return windows.positional(
+    """Windowed (x, y) per source: x summed, y the maximum in MB, in (tick, container) order.
+
+    A tick of so many containers that it is crowded is cut by container, so no task gets a whole tick.
+    """
+    out = windows.positional_reduce(
         stage(series),
         F.col("tick"),
         ["tick", "container_id"],
         size,
         stride,
         ["source"],
-        [F.sum("x").alias("x"), scalars.to_megabytes(F.max("y")).alias("y")],
+        {"x": ("sum", "x"), "y": ("max", "y")},
+        minor="container_id",
         **cut,
     )
+    return out.withColumn("y", scalars.to_megabytes(F.col("y")))
 
 
-def register_extractor(name: str, extractor: Callable[[DataFrame], DataFrame]) -> None:
-    """A named function from windowed cells to (window_start, container_id, value)."""
-    _extractors[name] = extractor
+@dataclass(frozen=True)
+class Extractor:
+    """A value per window and container: `partial` aggregates over the cells of a pane, `final` over the panes of a window.
 
+    Both are asked for when the extractor runs. `final` sees the columns of `partial` and the window's `n_ticks`, and names
+    its result `value`.
+    """
 
-def run_extractor(name: str, windowed: DataFrame) -> DataFrame:
-    return _extractors[name](windowed)
+    partial: Callable[[], Sequence[Column]]
+    final: Callable[[], Column]
 
 
-def memory_mean(windowed: DataFrame) -> DataFrame:
-    return window_mean(windowed, "memory").withColumnRenamed("mean", "value")
+def register_extractor(name: str, extractor: Extractor | Callable[[DataFrame], DataFrame]) -> None:
+    """A named extractor; a function from windowed cells to (window_start, container_id, value) is the form for what does
+    not come from parts."""
+    _extractors[name] = extractor
 
 
-register_extractor("memory", memory_mean)
+def run_extractor(name: str, cells: DataFrame, spec: windows.WindowSpec | None = None, scope: Sequence[str] = ()) -> DataFrame:
+    """Values of an extractor over stored cells. One of parts runs by panes, so no cell is copied to its windows; a function
+    gets the windowed cells. Without `spec` the cells are windowed already."""
+    extractor = _extractors[name]
+    if isinstance(extractor, Extractor):
+        if spec is None:
+            grouped = cells.groupBy(*scope, "window_start", "container_id", "n_ticks").agg(*extractor.partial())
+            return grouped.groupBy(*scope, "window_start", "container_id").agg(extractor.final())
+        return windows.reduce_by_panes(cells, spec, ["container_id"], extractor.partial(), [extractor.final()], scope)
+    return extractor(cells if spec is None else windows.windowed(cells, spec, scope))
+
+
+register_extractor(
+    "memory",
+    Extractor(
+        lambda: [F.sum("memory").alias("_sum")], lambda: (F.sum("_sum") / F.max("n_ticks")).alias("value")
+    ),
+)

@@ -41,6 +41,7 @@ def assign(
     axis: Column,
     width: int = DAY_US,
     split_rows: int = SPLIT_ROWS,
+    minor: str | None = None,
 ) -> DataFrame:
     """Add the segment (start on the axis) of each row; `axis` is the BIGINT leading sort key.
 
@@ -48,6 +49,9 @@ def assign(
     more than `split_rows` rows; they are cut into equal stretches, and again while a burst keeps one
     crowded, down to rows of one and the same instant. There are at most rows / split_rows of them, and
     the list is stored, so that the optimizer knows its size when it chooses the join.
+
+    `minor` names a STRING column that orders rows of one instant. An instant that is crowded is then cut by prefixes of
+    it, each as long as it takes, and the segment is a pair (start on the axis, prefix).
     """
     at = F.col("_axis")
     df = df.withColumn("_axis", axis).withColumn(SEGMENT, at - F.pmod(at, F.lit(width)))
@@ -61,7 +65,7 @@ def assign(
             .select(*keys, SEGMENT, "_lo", "_step")
         )
         if crowded.isEmpty():
-            return df.drop("_axis")
+            return (df if minor is None else _cut_instants(df, keys, split_rows, minor)).drop("_axis")
         finer = at - F.pmod(at - F.col("_lo"), F.col("_step"))
         df = (
             join_on(df, stage(crowded), [*keys, SEGMENT], "left")
@@ -70,6 +74,32 @@ def assign(
         )
 
 
+def _cut_instants(df: DataFrame, keys: Sequence[str], split_rows: int, minor: str) -> DataFrame:
+    """Cut crowded segments of one instant by prefixes of `minor`, which keep its order.
+
+    All rows of a crowded piece share what its least and greatest text share, so one character more parts them.
+    """
+    text = F.coalesce(F.col(minor), F.lit(""))
+    df = df.withColumn(SEGMENT, F.struct(F.col(SEGMENT).alias("start"), F.lit("").alias("prefix")))
+    while True:
+        shortest = F.least(F.length("_lo"), F.length("_hi"))
+        alike = F.filter(F.sequence(F.lit(1), shortest), lambda n: F.left("_lo", n) == F.left("_hi", n))
+        crowded = (
+            df.groupBy(*keys, SEGMENT)
+            .agg(F.count(F.lit(1)).alias("_n"), F.min(text).alias("_lo"), F.max(text).alias("_hi"))
+            .where((F.col("_n") > split_rows) & (F.col("_hi") > F.col("_lo")))
+            .select(*keys, SEGMENT, (F.when(shortest > 0, F.size(alike)).otherwise(0) + 1).alias("_length"))
+        )
+        if crowded.isEmpty():
+            return df
+        longer = F.struct(F.col(SEGMENT)["start"].alias("start"), F.left(text, F.col("_length")).alias("prefix"))
+        df = (
+            join_on(df, stage(crowded), [*keys, SEGMENT], "left")
+            .withColumn(SEGMENT, F.when(F.col("_length").isNotNull(), longer).otherwise(F.col(SEGMENT)))
+            .drop("_length")
+        )
+
+
 def _key_window(keys: Sequence[str]):
     return Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -165,6 +165,73 @@ def positional(
     )
 
 
+# Mergeable parts of the reducers below, each as (aggregate of values, aggregate of parts), and how they make the value.
+PARTS = {"sum": (F.sum, F.sum), "count": (F.count, F.sum), "min": (F.min, F.min), "max": (F.max, F.max)}
+MERGED: dict[str, tuple[tuple[str, ...], Callable[..., Column]]] = {
+    "avg": (("sum", "count"), lambda s, n: s / n),
+    "max": (("max",), lambda x: x),
+    "min": (("min",), lambda x: x),
+    "delta": (("max", "min"), lambda high, low: high - low),
+    "sum": (("sum",), lambda x: x),
+    "count": (("count",), lambda n: n),
+}
+
+
+def positional_reduce(
+    df: DataFrame,
+    axis: Column,
+    order: Sequence[str],
+    size: int,
+    stride: int,
+    scope: Sequence[str],
+    reductions: dict[str, tuple[str, str]],
+    **cut,
+) -> DataFrame:
+    """`positional` for reducers by name, without copying a row: `reductions` maps an output to (reducer, column).
+
+    Positions lie in blocks of `size` rows. Each row gets the parts of its block up to it and from it on. A window is the end of
+    the block it starts in and the beginning of the next, so it takes two rows, merged: at most 2 / `stride` of the rows
+    go on, whatever `size` is.
+    """
+    for how, _ in reductions.values():
+        if how not in MERGED:
+            raise ValueError(f"unknown window reducer: {how}")
+    cut.setdefault("width", segments.DAY_US)
+    rows = segments.running_count(df, list(scope), axis, list(order), F.lit(True), "_pos", total="_n", **cut)
+    parts = list(dict.fromkeys((part, column) for how, column in reductions.values() for part in MERGED[how][0]))
+    name = {pair: f"_part{i}" for i, pair in enumerate(parts)}
+    n, pos = F.col("_n"), F.col("_pos")
+    rows = rows.withColumn("_block", _div(pos, size))
+    block = Window.partitionBy(*scope, "_block")
+    frame = (Window.unboundedPreceding, 0)
+    ahead, back = block.orderBy("_pos").rowsBetween(*frame), block.orderBy(F.desc("_pos")).rowsBetween(*frame)
+    both = {"_head": ahead, "_tail": back}
+    rows = rows.select(
+        *scope, "_pos", "_n",
+        *[PARTS[p][0](c).over(w).alias(f"{side}{name[p, c]}") for side, w in both.items() for p, c in parts],
+    )
+    last = F.when(n < size, F.lit(0)).otherwise(_div(n - size, stride) + 1).cast("bigint")
+
+    def halves(which: Column, side: str, window_no: Column) -> DataFrame:
+        columns = [F.col(f"{side}{name[x]}").alias(name[x]) for x in parts]
+        return rows.where(which).select(*scope, window_no.alias("window_no"), *columns)
+
+    # a window opens with the tail of its first row; the head of its last row joins it where that lies in the next block
+    opens = (F.pmod(pos, F.lit(stride)) == 0) & (_div(pos, stride) <= last)
+    start = pos - F.lit(size - 1)
+    closes = (start >= 0) & (F.pmod(start, F.lit(stride)) == 0) & (F.pmod(start, F.lit(size)) != 0)
+    # only the last window can be cut short by the end of the series
+    short = last * stride
+    cut_off = (pos == n - 1) & (short > n - size) & (short < pos - F.pmod(pos, F.lit(size)))
+    tails, heads = halves(opens, "_tail", _div(pos, stride)), halves(closes, "_head", _div(F.greatest(start, F.lit(0)), stride))
+    ends = halves(cut_off, "_head", last)
+    merged = tails.unionByName(heads).unionByName(ends).groupBy(*scope, "window_no").agg(
+        *[PARTS[p][1](name[p, c]).alias(name[p, c]) for p, c in parts]
+    )
+    values = [MERGED[how][1](*[F.col(name[p, c]) for p in MERGED[how][0]]).alias(out) for out, (how, c) in reductions.items()]
+    return merged.select(*scope, "window_no", *values)
+
+
 # Reducers of a window of values, by name.
 REDUCERS = {
     "avg": F.avg,

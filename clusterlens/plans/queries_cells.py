@@ -9,6 +9,7 @@ from clusterlens.operators.metrics import METRIC_COLUMNS
 from clusterlens.operators.windows import WindowSpec
 from clusterlens.plans import demo, flows
 from clusterlens.plans.catalog import query
+from clusterlens.session import new_folder, stage
 from clusterlens.sinks import snapshots
 from clusterlens.sources import logs
 
@@ -197,8 +198,8 @@ def sliding_mean(spark, sf_dir):
     FROM mcell JOIN win USING (tick) GROUP BY ALL""",
 )
 def extractor(spark, sf_dir):
-    windowed = windows.windowed(demo.stored_cells(spark, sf_dir), SPEC)
-    return features.run_extractor("memory", windowed).withColumn("value", F.round("value", 4))
+    stored = demo.stored_cells(spark, sf_dir)
+    return features.run_extractor("memory", stored, SPEC).withColumn("value", F.round("value", 4))
 
 
 @query(
@@ -247,20 +248,30 @@ def positional(spark, sf_dir):
     FROM w WHERE p >= k * 2 AND p < k * 2 + 4 GROUP BY ALL""",
 )
 def positional_reducers(spark, sf_dir):
-    def agg(how):
-        column = windows.reducer(how, "value")
-        column = F.round(column, 4) if how in ("avg", "delta", "sum") else column
-        return column.alias(f"w_{how}")
+    return _reduced(spark, sf_dir, 4, 2)
+
+
+@query(
+    "agg8_long_windows",
+    """WITH s AS (SELECT user_id % 10 AS app, value, row_number() OVER (PARTITION BY user_id % 10 ORDER BY us, event_id) - 1 AS p,
+        count(*) OVER (PARTITION BY user_id % 10) AS n FROM ev),
+    b AS (SELECT *, CASE WHEN n < 60 THEN 0 ELSE n - 59 END AS last FROM s)
+    SELECT app, p AS window_no, round(avg(value) OVER w, 4) AS w_avg, max(value) OVER w AS w_max, min(value) OVER w AS w_min,
+      round(max(value) OVER w - min(value) OVER w, 4) AS w_delta, round(sum(value) OVER w, 4) AS w_sum, count(*) OVER w AS w_count
+    FROM b WINDOW w AS (PARTITION BY app ORDER BY p ROWS BETWEEN CURRENT ROW AND 59 FOLLOWING) QUALIFY p <= last""",
+)
+def long_windows(spark, sf_dir):
+    """Sixty events, one on at a time: each row goes on twice, not sixty times."""
+    return _reduced(spark, sf_dir, 60, 1, (F.col("user_id") % 10).alias("app"))
 
-    return windows.positional(
-        demo.events(spark, sf_dir),
-        segments.micros(),
-        ["ts", "event_id"],
-        4,
-        2,
-        ["container_id"],
-        [agg(how) for how in windows.REDUCERS],
-    )
+
+def _reduced(spark, sf_dir, size, stride, scope=None):
+    scope = F.col("container_id") if scope is None else scope
+    rows = stage(demo.events(spark, sf_dir).select(scope, "ts", "event_id", "value"))
+    how = {f"w_{h}": (h, "value") for h in windows.MERGED}
+    order, name = ["ts", "event_id"], rows.columns[0]
+    out = windows.positional_reduce(rows, segments.micros(), order, size, stride, [name], how)
+    return out.withColumns({c: F.round(c, 4) for c in ("w_avg", "w_delta", "w_sum")})
 
 
 _COUNTERS = """c AS (SELECT event_id, container_id, us, (event_id * 7) % 1009 + event_id * 3 AS used,
@@ -416,3 +427,95 @@ def merge_snapshots(spark, sf_dir):
         windows.tick(F.unix_millis("ts"), demo.HOUR).alias("tick"), "container_id", (F.col("user_id") % 3).alias("n")
     ).agg(F.max("event_id").alias("v"))
     return logs.merge_snapshots(rows, F.col("n")).select("tick", "container_id", "v")
+
+
+@query(
+    "src7_json_snapshots",
+    """WITH s AS (SELECT ms - ms % 3600000 AS tick, container_id, app_id, user_id % 3 AS n, max(value) AS memory,
+        max_by(event_id, (us, event_id)) AS last FROM ev GROUP BY ALL)
+    SELECT tick, container_id, app_id, memory, 'k' || (last % 2) AS key, last::VARCHAR AS tid, last + 0.5 AS value
+    FROM s WHERE n = (SELECT max(n) FROM s b WHERE b.tick = s.tick)""",
+)
+def json_snapshots(spark, sf_dir):
+    """Three JSON snapshots and what a reload of the store gives: cells, and the messages in their maps."""
+    rows = demo.events(spark, sf_dir).groupBy(
+        windows.tick(F.unix_millis("ts"), demo.HOUR).alias("tick"), "container_id", "app_id", (F.col("user_id") % 3).alias("n")
+    ).agg(F.max("value").alias("memory"), F.max_by("event_id", F.struct("ts", "event_id")).alias("last"))
+    key = F.concat(F.lit("k"), (F.col("last") % 2).cast("string"))
+    ids = F.create_map(F.lit("TID"), F.col("last").cast("string"))
+    message = F.struct(key.alias("key"), ids.alias("identifiers"), (F.col("last") + 0.5).alias("value"))
+    maps = {"period_messages": F.create_map(key, F.array(message)), "instant_messages": F.lit(None).cast("map<string, array<struct<key:string, identifiers:map<string,string>, value:double>>>")}
+    rest = [c for c in logs.SNAPSHOT_FIELDS.values() if c not in (*rows.columns, *maps)]
+    rows = stage(rows.withColumns({**maps, **{c: F.lit(0.25) for c in rest}}))
+    folder = new_folder(spark)
+    for n in range(3):
+        snapshots.write_snapshot(rows.where(F.col("n") == n).drop("n", "last"), folder, "json")
+    store = logs.read_store(spark, folder)
+    merged = logs.merge_snapshots(store, logs.snapshot_number(F.col("source")))
+    messages = logs.snapshot_messages(merged).select(*cells.CELL, "key", F.col("identifiers")["TID"].alias("tid"), "value")
+    return merged.select(*cells.CELL, "app_id", "memory").join(messages, cells.CELL)
+
+
+@query(
+    "ord1_tick_order",
+    "SELECT tick, container_id, row_number() OVER (ORDER BY tick, container_id) - 1 AS place FROM hcell",
+)
+def tick_order(spark, sf_dir):
+    """Cells numbered in order of tick, as a number, and container; a crowded tick is cut by container."""
+    hourly = demo.stored_cells(spark, sf_dir, demo.HOUR).select(*cells.CELL)
+    cut = {"width": 24 * demo.HOUR, "minor": "container_id"}
+    return segments.running_count(hourly, [], F.col("tick"), list(cells.CELL), F.lit(True), "place", **cut)
+
+
+@query(
+    "win2_options",
+    """SELECT tick, (t0 + k * 4) * 60000 AS window_start, least(4, n - k * 4) AS n_ticks, 'cut stride' AS options
+    FROM (SELECT *, p // 4 AS k FROM pos)
+    UNION ALL
+    SELECT tick, (t0 + k * 1000) * 60000, least(1000, n - k * 1000), 'short without ms' FROM (SELECT *, p // 1000 AS k FROM pos)""",
+)
+def window_options(spark, sf_dir):
+    """Windows by options that are not taken as given: a stride above the length, a length below 1000 without ms resolution."""
+    stored = demo.stored_cells(spark, sf_dir)
+    specs = {
+        "cut stride": WindowSpec.from_options(4, 9, demo.MINUTE, ms_resolution=True),
+        "short without ms": WindowSpec.from_options(4, 2, demo.MINUTE),
+    }
+    out = None
+    for name, spec in specs.items():
+        one = windows.gap_aware(stored, spec).withColumn("options", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_ARRIVAL = 21_600_000_000
+
+
+@query(
+    "str5_late_rows",
+    f"""WITH a AS (SELECT event_id, us, us // {_ARRIVAL} + CASE WHEN event_id % 11 = 0 THEN 3 ELSE 0 END AS batch FROM ev),
+    m AS (SELECT batch, max(max(us)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest
+      FROM a GROUP BY batch)
+    SELECT event_id, batch, coalesce(us < latest - 43200000000, false) AS is_late FROM a JOIN m USING (batch)""",
+)
+def late_rows(spark, sf_dir):
+    """Events in quarters of days, every eleventh three quarters late: those beyond half a day are told apart."""
+    quarter = F.floor(_us() / _ARRIVAL) + F.when(F.col("event_id") % 11 == 0, 3).otherwise(0)
+    rows = stage(demo.events(spark, sf_dir).select("event_id", "ts", quarter.alias("batch")))
+    return windows.flag_late(rows, "batch", 12 * demo.HOUR).select("event_id", "batch", "is_late")
+
+
+@query(
+    "src3_since",
+    """SELECT event_id, part FROM (SELECT event_id, us, unnest(['line', 'at', 'by']) AS part FROM ev)
+    WHERE us >= epoch_us(TIMESTAMP '2024-01-20 12:00:00')""",
+)
+def since(spark, sf_dir):
+    """A daemon log with a stack trace of two undated lines behind each line, read from a time on."""
+    e = F.col("event_id").cast("string")
+    text = F.concat(F.col("ts_text"), F.lit(" ERROR line "), e, F.lit("\n\tat at "), e, F.lit("\n\tby by "), e)
+    folder = new_folder(spark)
+    demo.events(spark, sf_dir).select(text.alias("value")).write.text(folder)
+    kept = logs.read_daemon_log(spark, folder, "nodemanager", since="2024-01-20 12:00:00")
+    part, number = (F.regexp_extract("line", r"(line|at|by) (\d+)$", k) for k in (1, 2))
+    return kept.select(number.cast("bigint").alias("event_id"), part.alias("part"))

@@ -457,13 +457,58 @@ def points(spark, sf_dir):
     )
 
 
-@query("snk3_payloads", "SELECT count(*)::BIGINT AS points FROM cf")
+@query(
+    "snk3_payloads",
+    """SELECT name AS metric, us // 1000 AS timestamp, round(value, 6) AS value,
+      string_split(container_id, '_')[4] || '_' || string_split(container_id, '_')[5] AS container,
+      string_split(container_id, '_')[2] || '_' || string_split(container_id, '_')[3] AS app, tag_value FROM cf""",
+)
 def payloads(spark, sf_dir):
-    """Points packed into JSON arrays; the packing depends on partitions, the points do not."""
+    """Points packed into JSON arrays, unpacked again; the packing depends on partitions, the points do not."""
     facts = demo.container_facts(spark, sf_dir)
     keyed = facts.withColumn("key", extract.qualify(F.col("type"), F.col("name")))
     packed = sinks.payloads(sinks.to_points(keyed))
-    return packed.agg(F.sum(F.json_array_length("payload")).cast("bigint").alias("points"))
+    point = "array<struct<metric: string, timestamp: bigint, value: double, tags: map<string, string>>>"
+    points = packed.select(F.inline(F.from_json("payload", point)))
+    tags = F.col("tags")
+    return points.select(
+        "metric", "timestamp", F.round("value", 6).alias("value"), tags["container"].alias("container"),
+        tags["app"].alias("app"), F.coalesce(tags["stageID"], tags["TID"]).alias("tag_value"),
+    )
+
+
+# A line for each container rule, as text around the event's number and value, and the facts it gives (rule, group, name, value).
+_RULE_LINES = (
+    ("Running task 1.0 in stage 2.0 (TID {n})", ((0, 0, "stage", "2.0"), (0, 1, "task", "1.0"))),
+    ("Finished task 1.0 in stage 2.0 (TID {n}). {n} bytes", ((1, 0, "stage", "1.0"), (1, 1, "task", "1.0"), (1, 2, "byte.transferred", "{n}"))),
+    ("Executor killed task 3.0 in stage 2.0 (TID {n})", ((2, 0, "task", "1.0"),)),
+    ("Block b stored as bytes in memory (estimated size 7.5 KB, free 1 MB)", ((3, 0, "byte.stored", "7680.0"),)),
+    ("Task {n} force spilling in-memory map to disk and it will release 2.5 MB memory", ((4, 0, "byte.spill", "2621440.0"),)),
+    ("Thread 1 spilling in-memory map of 1.5 KB to disk (1 time so far)", ((5, 0, "byte.spill", "1536.0"),)),
+    ("Don't have map outputs for shuffle {n}, fetching them", ((6, 0, "shuffle", "1.0"),)),
+    ("Started {n} remote fetches in 5 ms", ((7, 0, "shuffle", "1.0"),)),
+    ("Down to the last merge-pass, with 2 segments left of total size: {n}", ((8, 0, "merge", "{n}"),)),
+    ("kvstart = 26214396; kvend = 1; length = {n}/6553600", ((9, 0, "spill.key", "{n}"), (9, 1, "spill.value", "6553600"))),
+    ("fetcher#3 about to shuffle output of map m decomp: 1 len: {n} to MEMORY", ((10, 0, "fetcher", "{n}"),)),
+    ("h:1 freed by fetcher#3 in 12ms", ((11, 0, "fetcher", "1.0"),)),
+)
+_RULE_FACTS = " UNION ALL ".join(
+    f"SELECT event_id AS seq, container_id, ms * 1000 - 7200000000 AS us, {rule} AS rule_id, {group} AS group_id, '{name}' AS name, "
+    f"{value.replace('{n}', 'event_id')}::DOUBLE AS value FROM ev WHERE event_id % 13 = {i}"
+    for i, (_, facts) in enumerate(_RULE_LINES)
+    for rule, group, name, value in facts
+)
+
+
+@query("src6_all_container_rules", _RULE_FACTS)
+def all_container_rules(spark, sf_dir):
+    """A line for each of the bundled container rules, and one for none of them."""
+    n = F.col("event_id")
+    texts = F.array(*[F.replace(F.lit(text), F.lit("{n}"), n.cast("string")) for text, _ in _RULE_LINES], F.lit("nothing to see"))
+    body = F.get(texts, (n % 13).cast("int"))
+    lines = demo.events(spark, sf_dir).select("container_id", n.alias("seq"), F.concat("ts_text", F.lit(" INFO "), body).alias("line"))
+    facts = extract.apply_rules(lines, bundled.DEFAULT.container)
+    return facts.select("seq", "container_id", _us().alias("us"), "rule_id", "group_id", "name", "value")
 
 
 @query(

@@ -69,11 +69,16 @@ def stage(df: DataFrame) -> DataFrame:
     folder named after the application; `clear_staged` removes it. A cluster session must name the folder.
     """
     spark = df.sparkSession
-    path = f"{_run_folder(spark)}/{uuid.uuid4().hex}"
+    path = new_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A name below the folder of this run, for files in a form of their own; `clear_staged` removes them too."""
+    return f"{_run_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def clear_staged(spark: SparkSession) -> None:
     """Remove all tables this application has staged, once no result is read from them any more."""
     path = spark._jvm.org.apache.hadoop.fs.Path(_run_folder(spark))

@@ -161,6 +161,60 @@ def test_positional_equals_simulation(spark, rows, cut, size, stride):
     assert rows(out, "source", "window_no", "lo", "hi", "n") == sorted(expected, key=repr)
 
 
+@pytest.mark.parametrize("cut", CUTS)
+@pytest.mark.parametrize("size, stride", [(1, 1), (2, 1), (4, 2), (4, 4), (6, 5), (5, 7), (3, 2), (60, 1)])
+def test_merged_halves_equal_simulation(spark, rows, cut, size, stride):
+    scopes = {f"n{n}": [(7 * v) % 11 for v in range(1, n + 1)] for n in (1, 2, 4, 5, 6, 7, 13, 20, 130)}
+    data = [(s, at(i), i, v) for s, values in scopes.items() for i, v in enumerate(values)]
+    df = spark.createDataFrame(data, "source STRING, ts TIMESTAMP, i BIGINT, v BIGINT")
+    how = {name: (name, "v") for name in windows.MERGED}
+    out = windows.positional_reduce(df, segments.micros(), ["ts", "i"], size, stride, ["source"], how, **cut)
+    expected = [
+        (s, k, sum(w) / len(w), max(w), min(w), max(w) - min(w), sum(w), len(w))
+        for s, values in scopes.items()
+        for k, w in enumerate(positional_loop(values, size, stride))
+    ]
+    assert rows(out, "source", "window_no", *how) == sorted(expected, key=repr)
+
+
+def test_long_windows_copy_no_rows(spark):
+    df = spark.createDataFrame([("a", at(i), i) for i in range(300)], "k STRING, ts TIMESTAMP, v BIGINT")
+    out = windows.positional_reduce(df, segments.micros(), ["ts"], 60, 1, ["k"], {"x": ("sum", "v")})
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.count() == 242
+    with pytest.raises(ValueError):
+        windows.positional_reduce(df, segments.micros(), ["ts"], 60, 1, ["k"], {"x": ("median", "v")})
+
+
+def test_a_hot_tick_is_cut_by_container(spark, rows):
+    """One tick of one source in several tasks, with the same windows."""
+    ids = [f"container_15_0001_01_{n:06d}" for n in range(300)] + ["", "x"]
+    data = [("s", 1000, c, float(i), float(i % 7)) for i, c in enumerate(ids)] + [("s", 2000, c, 1.0, 2.0) for c in ids[:5]]
+    df = spark.createDataFrame(data, "source STRING, tick BIGINT, container_id STRING, x DOUBLE, y DOUBLE")
+    cut = segments.assign(df, ["source"], F.col("tick"), width=1000, split_rows=40, minor="container_id")
+    sizes = [r["n"] for r in cut.where("tick = 1000").groupBy(segments.SEGMENT).agg(F.count("x").alias("n")).collect()]
+    assert len(sizes) > 7 and max(sizes) <= 40
+    whole = features.training_set(df, 6, 5)
+    split = features.training_set(df, 6, 5, split_rows=40, width=1000)
+    assert rows(split, "source", "window_no", "x", "y") == rows(whole, "source", "window_no", "x", "y")
+    ordered = sorted(data, key=lambda r: (r[1], r[2]))
+    loops = positional_loop(ordered, 6, 5)
+    want = [("s", k, sum(r[3] for r in w), max(r[4] for r in w) / 1e6) for k, w in enumerate(loops)]
+    assert rows(split, "source", "window_no", "x", "y") == sorted(want, key=repr)
+
+
+def test_extractors_of_parts_and_of_windows_agree(spark, rows):
+    data = [(f"c{c}", t * 1000, float(t + c)) for c in range(3) for t in (1, 2, 3, 5, 6, 7, 8) if (c + t) % 3]
+    cells = spark.createDataFrame(data, "container_id STRING, tick BIGINT, memory DOUBLE")
+    spec = windows.WindowSpec(4, 2, 1000)
+    features.register_extractor("whole", lambda w: features.window_mean(w, "memory").withColumnRenamed("mean", "value"))
+    got = [features.run_extractor(name, cells, spec) for name in ("memory", "whole")]
+    columns = ["window_start", "container_id", "value"]
+    assert rows(got[0], *columns) == rows(got[1], *columns)
+    plan = got[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.rindex("Aggregate")
+
+
 def test_unknown_reducers():
     with pytest.raises(ValueError):
         windows.reducer("median", "v")
