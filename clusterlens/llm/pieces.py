@@ -3,16 +3,16 @@
 Text is normalised to one marker per space with a marker in front, as the model does. Where no piece has a marker
 behind another character, no merge crosses the start of a run of markers, so a text is cut there into marked words
 (markers and the characters up to the next marker). Each distinct word is segmented once per task by the model
-and its ids are put back by position. Words longer than `LONG_WORD` are not kept; a text under a model that does
-not keep the condition is encoded as one by the library. A table that holds
-`TABLE_ENTRIES` words takes no more, and further words are segmented once per batch.
+and its ids are put back by position. Words longer than `LONG_WORD` are not kept, and a table of `TABLE_BYTES` takes no
+more; such words are segmented once per batch. A text under a model that does not keep the condition is encoded as
+one by the library.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections import ChainMap
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -25,7 +25,8 @@ from sentencepiece import sentencepiece_model_pb2
 from clusterlens.llm.shared import slices, text_of
 
 MARK = "▁"
-TABLE_ENTRIES = 1 << 20
+TABLE_BYTES = 32 << 20
+ENTRY_BYTES = 220  # of a key, its ids and a place in the table, besides two bytes a character
 LONG_WORD = 1000
 _WORD = re.compile(f"{MARK}+[^{MARK}]*")
 
@@ -45,7 +46,8 @@ class Pieces:
             and not normal.remove_extra_whitespaces
             and not trainer.treat_whitespace_as_suffix
         )
-        self.table: dict[str, tuple[int, ...]] = {MARK: (self.model.piece_to_id(MARK),)}
+        self.table: dict[str, bytes] = {MARK: array("i", [self.model.piece_to_id(MARK)]).tobytes()}
+        self.room = TABLE_BYTES
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         if not self.by_words:
@@ -55,13 +57,21 @@ class Pieces:
         seen.difference_update(self.table, {MARK})
         new = list(seen)
         marked = [w[1:].replace(MARK, " ") for w in new]  # the model puts the first marker in front itself
-        found = dict(zip(new, map(tuple, self.model.encode(marked, num_threads=1)), strict=True))
-        if len(self.table) + len(new) > TABLE_ENTRIES or any(len(w) > LONG_WORD for w in new):
-            get = ChainMap(found, self.table)
+        found = {w: array("i", ids).tobytes() for w, ids in zip(new, self.model.encode(marked, num_threads=1), strict=True)}
+        size = sum(ENTRY_BYTES + 2 * len(w) for w in new)
+        if size > self.room or any(len(w) > LONG_WORD for w in new):
+            for w in new:  # as many as there is room for; the others serve this batch
+                if len(w) <= LONG_WORD and self.room >= (size := ENTRY_BYTES + 2 * len(w)):
+                    self.table[w] = found.pop(w)
+                    self.room -= size
         else:
             self.table |= found
-            get = self.table
-        return [[i for w in c for i in get[w]] for c in cut]
+            self.room -= size
+            found = {}
+        table = self.table
+        if found:
+            return [array("i", b"".join([table.get(w) or found[w] for w in c])).tolist() for c in cut]
+        return [array("i", b"".join([table[w] for w in c])).tolist() for c in cut]
 
     def decode(self, ids: list[int]) -> str:
         return self.model.decode(ids)
