@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clusterlens.llm.shared import Scratch, text_of
+from clusterlens.llm.shared import Scratch, text_of, whole_row
 
 CAPACITY = 64 << 10
 MOST_BUCKETS = 1 << 18
@@ -211,18 +211,22 @@ def keep_decided(scratch: Scratch, docs: DataFrame, decided: DataFrame) -> DataF
     identical in id and text, and one of them is taken.
     """
     by = decided.groupBy("doc_id", "sha").agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n"))
-    by = scratch.stage(by.where("not stays or n > 1").withColumnsRenamed({"doc_id": "_id", "sha": "_sha"}), "touched")
-    keyed = docs.withColumn("_digest", F.unhex(F.sha2(text_of(), 256)))
-    same = keyed["doc_id"].eqNullSafe(by["_id"]) & (keyed["_digest"] == by["_sha"])
-    rest = keyed.join(by, same, "left_anti").drop("_digest")
+    by = scratch.stage(by.where("not stays or n > 1"), "touched")
+    keyed = whole_row(docs, doc_id=F.col("doc_id"), digest=F.unhex(F.sha2(text_of(), 256)))
+    same = keyed["doc_id"].eqNullSafe(by["doc_id"]) & (keyed["digest"] == by["sha"])
+    # one plan at every size: what grows with the table is not sent to all tasks while it is still small
+    rest = keyed.join(by.hint("merge"), same, "left_anti").select("row.*")
     if by.where("stays").isEmpty():
         return rest
-    repeated = keyed.join(by.where("stays"), same, "left_semi").dropDuplicates(["doc_id", "_digest"]).drop("_digest")
-    return rest.unionByName(repeated)
+    repeated = keyed.join(by.where("stays").hint("merge"), same, "left_semi").dropDuplicates(["doc_id", "digest"])
+    return rest.unionByName(repeated.select("row.*"))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Of rows with equal texts the one with the largest id, all columns unchanged."""
+    """Of rows with equal texts the one with the largest id, all columns unchanged, whatever their names.
+
+    Null counts as the empty text; null ids go last; of rows that repeat id and text one stays. An empty table gives no rows.
+    """
     scratch = Scratch(spark, "exact-rows")
     decided = groups(spark, docs).where("group_size > 1").select("doc_id", F.unhex("text_sha256").alias("sha"), "kept")
     return keep_decided(scratch, docs, scratch.stage(decided, "decided"))

@@ -15,9 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from clusterlens.llm import words
-from clusterlens.llm.shared import slices, table, text_of
+from clusterlens.llm.shared import slices, table, text_of, whole_row
 
 SAMPLE_DOCS = 2000
 LEAST_CONTENT = 0.5
@@ -241,13 +242,14 @@ def _judge(weights: np.ndarray, moves: np.ndarray):
 
 
 def _filter(weights: np.ndarray, moves: np.ndarray):
+    """Rows of (row, text) that are kept."""
     judge = _judge(weights, moves)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text"):
-            plain = pa.RecordBatch.from_arrays([pa.nulls(len(batch), pa.int64()), batch.column("_text")], names=["doc_id", "text"])
+        for batch in slices(batches):
+            plain = pa.RecordBatch.from_arrays([pa.nulls(len(batch), pa.int64()), batch.column("text")], names=["doc_id", "text"])
             kept = pa.concat_arrays([b.column("kept") for b in judge([plain])])
-            yield batch.drop_columns(["_text"]).filter(kept)
+            yield batch.select(["row"]).filter(kept)
 
     return run
 
@@ -264,10 +266,13 @@ def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of `docs` that are kept, all columns unchanged."""
+    """The rows of `docs` that are kept, all columns unchanged, whatever their names.
+
+    Null and empty texts go. Repeated rows get one verdict and stay or go together. An empty table gives no rows.
+    """
     model = fit(spark, docs, labels)
-    rows = docs.withColumn("_text", text_of())
-    return rows.mapInArrow(_filter(*model), docs.schema)
+    rows = whole_row(docs, text=text_of())
+    return rows.mapInArrow(_filter(*model), StructType([rows.schema["row"]])).select("row.*")
 
 
 def load_labels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from clusterlens.llm.shared import Scratch, text_of
+from clusterlens.llm.shared import Scratch, text_of, whole_row
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -129,7 +129,12 @@ def summary(spark: SparkSession, docs: DataFrame, weights: tuple = WEIGHTS, shar
 
 
 def mix(spark: SparkSession, docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, seed: str = "mix") -> DataFrame:
-    """The rows of the mix, all columns of `docs`, each as often as it is taken."""
+    """The rows of the mix, all columns of `docs`, whatever their names, each as often as it is taken.
+
+    Null texts have size 0 and are taken by their key like any other; null sources are a source. Rows equal in id and text
+    are taken together. An empty table gives no rows.
+    """
     _, cuts = plan(spark, docs, weights, share, seed)
-    rows = _with_cut(docs, cuts, docs["source"]).withColumn("_times", _times(key_of(seed)).cast("int")).where("_times > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[docs[c] for c in docs.columns])
+    rows = whole_row(docs, source=F.col("source"), key=key_of(seed))
+    rows = _with_cut(rows, cuts, F.col("source")).withColumn("times", _times(F.col("key")).cast("int")).where("times > 0")
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

@@ -373,7 +373,10 @@ def classes(spark: SparkSession, docs: DataFrame, least: float = LEAST) -> DataF
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """One row of each class, that with the smallest id, all columns unchanged."""
+    """One row of each class, that with the smallest id, all columns unchanged, whatever their names.
+
+    Null counts as the empty text; null ids go last; of rows that repeat id and text one stays. An empty table gives no rows.
+    """
     scratch = Scratch(spark, "near-rows")
     decided = classes(spark, docs, least).where("class_size > 1").select("doc_id", F.unhex("text_sha256").alias("sha"), "kept")
     return keep_decided(scratch, docs, scratch.stage(decided, "decided"))

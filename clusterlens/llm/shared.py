@@ -83,6 +83,12 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def whole_row(docs: DataFrame, **more: Column) -> DataFrame:
+    """All columns of `docs` as one struct `row`, beside columns of an operator's own, so that no names can clash."""
+    columns = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+    return docs.select(F.struct(*columns).alias("row"), *[c.alias(name) for name, c in more.items()])
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each holds about `most` bytes of a text column, or one longer text."""
     for batch in batches:

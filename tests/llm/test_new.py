@@ -241,3 +241,24 @@ def test_forest_files_vectors_where_the_search_begins():
         assert len(set(found)) == 64 == len(found)
         assert {(t, leaf[k, t]) for t in range(4)} == set(found[:4])
     assert np.bincount(leaf[:, 0]).max() < 2 * 500 / 16 + 8
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Columns named as the operators name their own, in tables that are filtered, deduplicated and mixed."""
+    from clusterlens.llm import exact_dedup, line_quality, mixing, near_dedup
+
+    names = ["_times", "_copy", "_cut_source", "_cut_cut", "_text", "_digest", "_id", "_sha", "row", "times", "copy", "digest", "key", "sha", "stays", "a.b"]
+    rng = random.Random(8)
+    words = [" ".join("".join(rng.choice("abcdef") for _ in range(4)) for _ in range(120)) for _ in range(6)]
+    rows = [(i, words[i % 6] if i % 3 else words[0], "a", *[f"{n}{i}" for n in names]) for i in range(18)]
+    rows += [(99, None, None, *names), (99, None, None, *names)]
+    schema = "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names)
+    docs = spark.createDataFrame(rows, schema)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(18)], "doc_id long, quality int, toxic int")
+    whole = {str(r) for r in docs.collect()}
+    for out in (line_quality.keep_good(spark, docs, labels), exact_dedup.deduplicate(spark, docs), near_dedup.deduplicate(spark, docs), mixing.mix(spark, docs)):
+        assert out.columns == docs.columns
+        assert {str(r) for r in out.collect()} <= whole
+    kept = exact_dedup.deduplicate(spark, docs).collect()
+    last = {t: max(r[0] for r in rows if r[1] == t) for t in {r[1] for r in rows}}
+    assert sorted((r.doc_id, r.text is None) for r in kept) == sorted((d, t is None) for t, d in last.items())
