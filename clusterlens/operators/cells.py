@@ -161,7 +161,7 @@ def nested(cells: DataFrame, maps: DataFrame) -> DataFrame:
     return segments.join_on(cells.drop("n_messages", "has_metrics"), maps, CELL, "left")
 
 
-def active_containers(cells: DataFrame, tick_ms: int) -> DataFrame:
+def active_containers(cells: DataFrame) -> DataFrame:
     """Containers per tick, at the ticks where their number changes."""
     per_tick = stage(
         cells.select(*CELL).distinct().groupBy("tick").agg(F.count(F.lit(1)).alias("containers"))
@@ -172,6 +172,5 @@ def active_containers(cells: DataFrame, tick_ms: int) -> DataFrame:
         F.col("tick"),
         ["tick"],
         {"_before": "containers"},
-        width=tick_ms * 86_400,
     )
     return changes.where(~F.col("containers").eqNullSafe(F.col("_before"))).drop("_before")

@@ -108,7 +108,7 @@ def with_ids(df: DataFrame, container: str = "container_id", tags: str = "tags")
     )
 
 
-# Stands before each capture in the text one run of a pattern gives; lines that hold it are read capture by capture.
+# Stands before each capture in the text one run of a pattern gives; a line that holds it gets one of its own.
 SEPARATOR = "\x1f"
 
 # One rule as it is asked of the lines of one role: (role, number in its rule list, rule).
@@ -119,33 +119,44 @@ def _asked(role: str, rules: Sequence[Rule]) -> list[Asked]:
     return [(role, i, rule) for i, rule in enumerate(rules)]
 
 
+def _separator(line: Column) -> Column:
+    """A text that the line does not hold: it would have to hold its own digest."""
+    odd = F.contains(line, F.lit(SEPARATOR))
+    return F.when(odd, F.concat(F.lit(SEPARATOR), F.md5(line), F.lit(SEPARATOR))).otherwise(F.lit(SEPARATOR))
+
+
 def _caught(rule: Rule, line: Column) -> Column:
     """All captures of a rule's facts from one run of its pattern; text without a leading separator is no match."""
-    parts = "".join(f"{SEPARATOR}${rule.group_index[name]}" for name in _captures(rule)) or SEPARATOR
-    once = F.regexp_replace(line, F.lit(rule.full_pattern), F.lit(parts))
-    odd = F.contains(line, F.lit(SEPARATOR))
-    return F.when(odd, F.when(line.rlike(rule.full_pattern), F.lit(SEPARATOR))).otherwise(once)
+    sep = F.col("_sep")
+    parts = [x for name in _captures(rule) for x in (sep, F.lit(f"${rule.group_index[name]}"))] or [sep]
+    return F.regexp_replace(line, F.lit(rule.full_pattern), F.concat(*parts))
 
 
 def _match(df: DataFrame, asked: Sequence[Asked], line: str) -> DataFrame:
     """One row per (line, matching rule): `_no`, the place of the rule in `asked`, and `_caught`.
 
     Most lines match nothing and already fail the substring tests of the filter, which is compiled code. On the others
-    a rule's pattern runs once, where its substring occurs. With several roles, `role` says which rules a line is read by.
+    a rule's pattern runs once, where its substring occurs, also if several roles share the rule. With several roles, `role`
+    says which rules a line is read by.
     """
     roles = {role for role, _, _ in asked}
-    text = F.col(line)
+    text, role_of = F.col(line), F.col("role")
+    places: dict[Rule, list[tuple[str, int]]] = {}
+    for i, (role, _, rule) in enumerate(asked):
+        places.setdefault(rule, []).append((role, i))
 
-    def maybe(role: str, rule: Rule) -> Column:
+    def maybe(rule: Rule) -> Column:
         plain = F.contains(text, F.lit(rule.literal)) if rule.literal else text.isNotNull()
-        return (F.col("role") == role) & plain if len(roles) > 1 else plain
+        return role_of.isin(*(role for role, _ in places[rule])) & plain if len(roles) > 1 else plain
+
+    def place(rule: Rule) -> Column:
+        (_, last), *others = reversed(places[rule])
+        return reduce(lambda rest, at: F.when(role_of == at[0], at[1]).otherwise(rest), others, F.lit(last))
 
-    hits = [
-        F.when(maybe(role, rule), F.struct(F.lit(i).alias("_no"), _caught(rule, text).alias("_caught")))
-        for i, (role, _, rule) in enumerate(asked)
-    ]
-    df = df.where(reduce(or_, [maybe(role, rule) for role, _, rule in asked]))
-    return df.select("*", F.inline(F.array_compact(F.array(*hits)))).where(F.col("_caught").startswith(SEPARATOR))
+    hits = [F.when(maybe(r), F.struct(place(r).alias("_no"), _caught(r, text).alias("_caught"))) for r in places]
+    df = df.where(reduce(or_, [maybe(r) for r in places])).withColumn("_sep", _separator(text))
+    found = df.select("*", F.inline(F.array_compact(F.array(*hits))))
+    return found.where(F.startswith(F.col("_caught"), F.col("_sep")))
 
 
 # What a rule group asks for, as data: which captures to use and how. `capture` -1 means none.
@@ -227,18 +238,13 @@ def _outcomes(matched: DataFrame, asked: Sequence[Asked], line: str, keep: str)
     of templates.
     """
     text = F.col(line)
-    one_by_one = None
     templates = []
-    for number, (role, _, rule) in enumerate(asked):
+    for role, _, rule in asked:
         found = [_template(rule, i, role) for i in range(len(rule.groups))]
         if keep != "facts":
             found = [t or _undefined(rule, i) for i, t in enumerate(found)]
         templates.append([t for t in found if t is not None])
-        parts = F.array(F.lit(""), *[rule.capture(text, name) for name in _captures(rule)])
-        here = F.col("_no") == number
-        one_by_one = F.when(here, parts) if one_by_one is None else one_by_one.when(here, parts)
-    odd = F.contains(text, F.lit(SEPARATOR))
-    captured = F.when(odd, one_by_one).otherwise(F.split("_caught", SEPARATOR, -1))
+    captured = F.split("_caught", F.col("_sep"), -1)  # the first part is empty
     table = F.from_json(F.lit(json.dumps(templates)), TEMPLATE_SCHEMA)
     per_group = F.element_at(table, F.col("_no") + 1)
     own = F.col("container_id") if any(role == "container" for role, _, _ in asked) else F.lit(None).cast("string")

@@ -22,7 +22,8 @@ def pair(messages: DataFrame, container_finish: DataFrame, **cut) -> DataFrame:
     `container_finish` (container_id, ts, seq) ends every open period of the container. Each start learns
     what closes it: the next finish of its own key or the next finish of its container, whichever comes
     first. Starts with the same closing event are one period, so a period is one aggregate row, and a
-    marker is never copied to the keys of its container. Give a stored table: it is scanned four times.
+    marker is never copied to the keys of its container. One shuffle, by container, while no container is crowded
+    (`segments`); a crowded one is cut by time. Give a stored table: it is scanned twice, and twice more for cuts.
     """
     facts = messages.where(F.col("type") != INSTANT).select(
         "container_id",
@@ -42,38 +43,30 @@ def pair(messages: DataFrame, container_finish: DataFrame, **cut) -> DataFrame:
         F.lit(-1).alias("group_id"),
     )
     keys = ["container_id", "name", "tag_key"]
-    rows = segments.assign(
-        facts.unionByName(markers, allowMissingColumns=True),
-        ["container_id"],
-        segments.micros(),
-        **cut,
+    rows, several = segments.cut_crowded(
+        facts.unionByName(markers, allowMissingColumns=True), ["container_id"], segments.micros(), **cut
     )
     at = F.struct(*ORDER)
     is_marker = F.col("name").isNull()
     is_close = F.col("is_finish")
-    next_marker = segments.carry(
-        rows, ["container_id"], _marker=(F.min(F.when(is_marker, at)), "next")
-    )
-    next_finish = segments.carry(
-        rows.where(~is_marker), keys, _finish=(F.min(F.when(is_close, at)), "next")
-    )
     latest_first = [F.desc(c) for c in ORDER]
     from_here = (Window.unboundedPreceding, 0)
     by_container = segments.inside(["container_id"], latest_first).rowsBetween(*from_here)
-    by_key = segments.inside(keys, latest_first).rowsBetween(*from_here)
-    rows = (
-        segments.join_on(rows, next_marker, ["container_id", segments.SEGMENT], "left")
-        .withColumn(
-            "_marker", F.coalesce(F.min(F.when(is_marker, at)).over(by_container), F.col("_marker"))
-        )
-        .where(~is_marker)
-    )
-    rows = (
-        segments.join_on(rows, next_finish, [*keys, segments.SEGMENT], "left")
-        .withColumn("_finish", F.coalesce(F.min(F.when(is_close, at)).over(by_key), F.col("_finish")))
-        .where(~is_close)
-        .withColumn("_close", F.least("_finish", "_marker"))
-    )
+    marker = F.min(F.when(is_marker, at)).over(by_container)
+    finish = F.min(F.when(is_close, at))
+    if several:
+        next_marker = segments.carry(rows, ["container_id"], _marker=(F.min(F.when(is_marker, at)), "next"))
+        next_finish = segments.carry(rows.where(~is_marker), keys, _finish=(finish, "next"))
+        rows = segments.join_on(rows, next_marker, ["container_id", segments.SEGMENT], "left")
+        rows = rows.withColumn("_marker", F.coalesce(marker, F.col("_marker"))).where(~is_marker)
+        rows = segments.join_on(rows, next_finish, [*keys, segments.SEGMENT], "left")
+        by_key = segments.inside(keys, latest_first).rowsBetween(*from_here)
+        rows = rows.withColumn("_finish", F.coalesce(finish.over(by_key), F.col("_finish")))
+    else:
+        rows = rows.withColumn("_marker", marker).where(~is_marker)
+        by_key = Window.partitionBy(*keys).orderBy(*latest_first).rowsBetween(*from_here)
+        rows = rows.withColumn("_finish", finish.over(by_key))
+    rows = rows.where(~is_close).withColumn("_close", F.least("_finish", "_marker"))
     opening = F.struct("ts", "value", "app_id", "type")
     by_own_finish = F.col("_close") == F.col("_finish")
     closed_by = (

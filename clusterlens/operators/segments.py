@@ -1,11 +1,12 @@
-"""Ordered operators per key that never put a whole key into one task.
+"""Ordered operators per key that never put a crowded key into one task.
 
-A window function partitioned by a container alone sends all rows of that container to one task. Here
-each key's series is cut into time segments. A window runs inside (key, segment), and what it needs from
-other segments comes from a summary with one row per (key, segment), itself built by a map-side combined
-aggregate. A segment that still holds more than `split_rows` rows is cut further.
+A window function partitioned by a container alone sends all rows of that container to one task. That is right for
+most containers and wrong for a hot one. So one small aggregate counts the rows of each key; where a key has more than
+`split_rows`, its series is cut into segments of time. Windows run inside (key, segment), and what one needs from other
+segments comes from a summary with one row per (key, segment), itself built by a map-side combined aggregate. Where no key is
+crowded there is one segment per key and no summary, and an operator is one shuffle.
 
-Each operator reads its input three times (count, summary, rows), so give it a stored table.
+Each operator reads its input for the count as well, so give it a stored table.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ from pyspark.sql import functions as F
 from clusterlens.session import stage
 
 SEGMENT = "_segment"
-DAY_US = 86_400_000_000
 SPLIT_ROWS = 5_000_000
 
 
@@ -39,13 +39,25 @@ def assign(
     df: DataFrame,
     keys: Sequence[str],
     axis: Column,
-    width: int = DAY_US,
-    split_rows: int = SPLIT_ROWS,
+    width: int | None = None,
+    split_rows: int | None = None,
     minor: str | None = None,
 ) -> DataFrame:
-    """Add the segment (start on the axis) of each row; `axis` is the BIGINT leading sort key.
+    """Add the segment (start on the axis) of each row; `axis` is the BIGINT leading sort key."""
+    return cut_crowded(df, keys, axis, width, split_rows, minor)[0]
 
-    Segments start as a coarse grid, so that sparse keys have few. One small aggregate finds those with
+
+def cut_crowded(
+    df: DataFrame,
+    keys: Sequence[str],
+    axis: Column,
+    width: int | None = None,
+    split_rows: int | None = None,
+    minor: str | None = None,
+) -> tuple[DataFrame, bool]:
+    """`assign`, and whether any key has more than one segment.
+
+    A key starts as one segment, or with `width` as a grid of that width. One small aggregate finds those with
     more than `split_rows` rows; they are cut into equal stretches, and again while a burst keeps one
     crowded, down to rows of one and the same instant. There are at most rows / split_rows of them, and
     the list is stored, so that the optimizer knows its size when it chooses the join.
@@ -54,7 +66,10 @@ def assign(
     it, each as long as it takes, and the segment is a pair (start on the axis, prefix).
     """
     at = F.col("_axis")
-    df = df.withColumn("_axis", axis).withColumn(SEGMENT, at - F.pmod(at, F.lit(width)))
+    split_rows = split_rows or SPLIT_ROWS
+    cut = width is not None
+    grid = at - F.pmod(at, F.lit(width)) if cut else F.lit(0).cast("bigint")
+    df = df.withColumn("_axis", axis).withColumn(SEGMENT, grid)
     while True:
         crowded = (
             df.groupBy(*keys, SEGMENT)
@@ -65,7 +80,11 @@ def assign(
             .select(*keys, SEGMENT, "_lo", "_step")
         )
         if crowded.isEmpty():
-            return (df if minor is None else _cut_instants(df, keys, split_rows, minor)).drop("_axis")
+            if minor is not None:
+                df, again = _cut_instants(df, keys, split_rows, minor)
+                cut = cut or again
+            return df.drop("_axis"), cut
+        cut = True
         finer = at - F.pmod(at - F.col("_lo"), F.col("_step"))
         df = (
             join_on(df, stage(crowded), [*keys, SEGMENT], "left")
@@ -74,13 +93,14 @@ def assign(
         )
 
 
-def _cut_instants(df: DataFrame, keys: Sequence[str], split_rows: int, minor: str) -> DataFrame:
+def _cut_instants(df: DataFrame, keys: Sequence[str], split_rows: int, minor: str) -> tuple[DataFrame, bool]:
     """Cut crowded segments of one instant by prefixes of `minor`, which keep its order.
 
     All rows of a crowded piece share what its least and greatest text share, so one character more parts them.
     """
     text = F.coalesce(F.col(minor), F.lit(""))
     df = df.withColumn(SEGMENT, F.struct(F.col(SEGMENT).alias("start"), F.lit("").alias("prefix")))
+    cut = False
     while True:
         shortest = F.least(F.length("_lo"), F.length("_hi"))
         alike = F.filter(F.sequence(F.lit(1), shortest), lambda n: F.left("_lo", n) == F.left("_hi", n))
@@ -91,7 +111,8 @@ def _cut_instants(df: DataFrame, keys: Sequence[str], split_rows: int, minor: st
             .select(*keys, SEGMENT, (F.when(shortest > 0, F.size(alike)).otherwise(0) + 1).alias("_length"))
         )
         if crowded.isEmpty():
-            return df
+            return df, cut
+        cut = True
         longer = F.struct(F.col(SEGMENT)["start"].alias("start"), F.left(text, F.col("_length")).alias("prefix"))
         df = (
             join_on(df, stage(crowded), [*keys, SEGMENT], "left")
@@ -140,10 +161,12 @@ def lag(
     **cut,
 ) -> DataFrame:
     """Add the previous row's values: `columns` maps new name -> source column; null on the first row."""
-    df = assign(df, keys, axis, **cut)
+    df, several = cut_crowded(df, keys, axis, **cut)
     row = F.struct(*[F.col(src).alias(new) for new, src in columns.items()])
-    handed = carry(df, keys, _handed=(F.max_by(row, F.struct(*order)), "last"))
     window = inside(keys, order)
+    if not several:
+        return df.withColumn("_prev", F.lag(row).over(window)).select("*", "_prev.*").drop("_prev", SEGMENT)
+    handed = carry(df, keys, _handed=(F.max_by(row, F.struct(*order)), "last"))
     return (
         join_on(df, handed, [*keys, SEGMENT], "left")
         .withColumn("_prev", F.coalesce(F.lag(row).over(window), F.col("_handed")))
@@ -163,16 +186,18 @@ def fill(
     **cut,
 ) -> DataFrame:
     """Add the latest non-null `value` up to and including each row (or the earliest from it on)."""
-    df = assign(df, keys, axis, **cut).withColumn("_value", value)
+    df, several = cut_crowded(df, keys, axis, **cut)
+    df = df.withColumn("_value", value)
+    window = inside(keys, [F.desc(c) for c in order] if forward else order)
+    local = F.last("_value", ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, 0))
+    if not several:
+        return df.withColumn(name, local).drop("_value", SEGMENT)
     rank = F.when(F.col("_value").isNotNull(), F.struct(*order))
     pick, how = (F.min_by, "next") if forward else (F.max_by, "last")
     handed = carry(df, keys, _handed=(pick(F.col("_value"), rank), how))
-    window = inside(keys, [F.desc(c) for c in order] if forward else order)
-    window = window.rowsBetween(Window.unboundedPreceding, 0)
-    filled = F.coalesce(F.last("_value", ignorenulls=True).over(window), F.col("_handed"))
     return (
         join_on(df, handed, [*keys, SEGMENT], "left")
-        .withColumn(name, filled)
+        .withColumn(name, F.coalesce(local, F.col("_handed")))
         .drop("_value", "_handed", SEGMENT)
     )
 
@@ -188,12 +213,17 @@ def running_count(
     **cut,
 ) -> DataFrame:
     """Add the number of earlier rows of the key with `flag`; optionally the key's total as well."""
-    df = assign(df, keys, axis, **cut).withColumn("_flag", flag.cast("bigint"))
+    df, several = cut_crowded(df, keys, axis, **cut)
+    df = df.withColumn("_flag", flag.cast("bigint"))
+    window = inside(keys, order).rowsBetween(Window.unboundedPreceding, -1)
+    here = F.coalesce(F.sum("_flag").over(window), F.lit(0))
+    if not several:
+        if total:
+            df = df.withColumn(total, F.sum("_flag").over(Window.partitionBy(*keys, SEGMENT)))
+        return df.withColumn(name, here).drop("_flag", SEGMENT)
     values = {"_before": (F.sum("_flag"), "sum")}
     if total:
         values[total] = (F.sum("_flag"), "total")
-    window = inside(keys, order).rowsBetween(Window.unboundedPreceding, -1)
-    here = F.coalesce(F.sum("_flag").over(window), F.lit(0))
     return (
         join_on(df, carry(df, keys, **values), [*keys, SEGMENT], "left")
         .withColumn(name, here + F.coalesce(F.col("_before"), F.lit(0)))
@@ -207,8 +237,8 @@ def islands(
     axis: str,
     max_gap: int,
     until: str | None = None,
-    width: int = DAY_US,
-    split_rows: int = SPLIT_ROWS,
+    width: int | None = None,
+    split_rows: int | None = None,
 ) -> DataFrame:
     """Add first and last axis value of the run each row is in; steps above `max_gap` end a run.
 
@@ -216,13 +246,23 @@ def islands(
     """
     at = F.col(axis)
     end = F.col(until or axis)
-    df = assign(df, keys, at, width, split_rows)
+    df, several = cut_crowded(df, keys, at, width, split_rows)
     ordered = inside(keys, [axis])
     backward = inside(keys, [F.desc(axis)])
     before, after = F.lag(end).over(ordered), F.lead(at).over(ordered)
     local = df.withColumn("_opens", F.when(at - before > max_gap, at)).withColumn(
         "_closes", F.when(after - end > max_gap, end)
     )
+    # Range frames: rows with the same axis value are peers and must agree in both directions.
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+    opened_here, closed_here = F.max("_opens").over(ordered.rangeBetween(*so_far)), F.min("_closes").over(backward.rangeBetween(*so_far))
+    if not several:
+        whole = Window.partitionBy(*keys, SEGMENT)
+        return (
+            local.withColumn("island_start", F.coalesce(opened_here, F.min(at).over(whole)))
+            .withColumn("island_end", F.coalesce(closed_here, F.max(end).over(whole)))
+            .drop("_opens", "_closes", SEGMENT)
+        )
     one = local.groupBy(*keys, SEGMENT).agg(
         F.min(at).alias("_first"),
         F.max(end).alias("_last"),
@@ -249,17 +289,9 @@ def islands(
             F.col("_linked_after"), F.last(closed, True).over(back.rowsBetween(*earlier))
         ).otherwise(F.col("_last")).alias("_end"),
     )
-    # Range frames: rows with the same axis value are peers and must agree in both directions.
-    so_far = (Window.unboundedPreceding, Window.currentRow)
     return (
         join_on(local, one, [*keys, SEGMENT])
-        .withColumn(
-            "island_start",
-            F.coalesce(F.max("_opens").over(ordered.rangeBetween(*so_far)), F.col("_start")),
-        )
-        .withColumn(
-            "island_end",
-            F.coalesce(F.min("_closes").over(backward.rangeBetween(*so_far)), F.col("_end")),
-        )
+        .withColumn("island_start", F.coalesce(opened_here, F.col("_start")))
+        .withColumn("island_end", F.coalesce(closed_here, F.col("_end")))
         .drop("_opens", "_closes", "_start", "_end", SEGMENT)
     )

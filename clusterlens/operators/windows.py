@@ -13,7 +13,6 @@ from clusterlens.operators import segments
 from clusterlens.session import stage
 
 DEFAULT_SIZE = 1000
-TICKS_PER_SEGMENT = 86_400
 
 
 def tick(epoch_ms: Column, size_ms: int) -> Column:
@@ -73,9 +72,7 @@ def _runs(cells: DataFrame, spec: WindowSpec, scope: Sequence[str], upper: Colum
     ticks = cells.select(*scope, "tick").distinct()
     if upper is not None:
         ticks = ticks.where(F.col("tick") <= tick(upper, spec.tick))
-    return segments.islands(
-        stage(ticks), list(scope), "tick", spec.tick, width=spec.tick * TICKS_PER_SEGMENT
-    )
+    return segments.islands(stage(ticks), list(scope), "tick", spec.tick)
 
 
 def _spread(rows: DataFrame, spec: WindowSpec, pos: Column) -> DataFrame:
@@ -147,7 +144,6 @@ def positional(
     **cut,
 ) -> DataFrame:
     """Hopping windows over row positions: starts at 0, stride, ... up to the first partial window."""
-    cut.setdefault("width", segments.DAY_US)
     rows = segments.running_count(
         df, list(scope), axis, list(order), F.lit(True), "_pos", total="_n", **cut
     )
@@ -196,7 +192,6 @@ def positional_reduce(
     for how, _ in reductions.values():
         if how not in MERGED:
             raise ValueError(f"unknown window reducer: {how}")
-    cut.setdefault("width", segments.DAY_US)
     rows = segments.running_count(df, list(scope), axis, list(order), F.lit(True), "_pos", total="_n", **cut)
     parts = list(dict.fromkeys((part, column) for how, column in reductions.values() for part in MERGED[how][0]))
     name = {pair: f"_part{i}" for i, pair in enumerate(parts)}
@@ -264,7 +259,6 @@ def idle_sessions(
             F.min(us).alias("_from"), F.max(us).alias("_to"), F.count(F.lit(1)).alias("_n")
         )
     )
-    cut.setdefault("width", max(gap * TICKS_PER_SEGMENT, segments.DAY_US))
     runs = segments.islands(stretches, list(scope), "_from", gap - 1, until="_to", **cut)
     return (
         runs.groupBy(*scope, "island_start", "island_end")

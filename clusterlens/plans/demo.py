@@ -230,7 +230,8 @@ def manager_facts(spark: SparkSession, sf_dir: str, role: str) -> DataFrame:
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flows.facts(routed(spark, sf_dir), bundled.DEFAULT)
+    """Facts of all roles, from stored records: their text is made here, not read, which is much code for one stage."""
+    return flows.facts(stage(routed(spark, sf_dir)), bundled.DEFAULT)
 
 
 def finishes(spark: SparkSession, sf_dir: str) -> DataFrame:

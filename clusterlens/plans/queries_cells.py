@@ -124,7 +124,7 @@ def message_reducers(spark, sf_dir):
     WHERE containers IS DISTINCT FROM b""",
 )
 def active_containers(spark, sf_dir):
-    return cells.active_containers(demo.sample_cells(spark, sf_dir), demo.MINUTE)
+    return cells.active_containers(demo.sample_cells(spark, sf_dir))
 
 
 @query("win3_gap_aware", "SELECT tick, window_start, n_ticks::BIGINT AS n_ticks FROM win")

@@ -9,7 +9,6 @@ from clusterlens.plans import demo, flows
 from clusterlens.plans.catalog import query
 from clusterlens.session import stage
 
-DAY = 24 * demo.HOUR
 _SERIES = """
 kr AS (SELECT container_id, min(tick) AS a, max(tick) AS b FROM htick GROUP BY container_id HAVING count(DISTINCT tick) > 1),
 xs AS (SELECT tick, container_id, count(*)::DOUBLE AS n, sum(value) AS s FROM htick GROUP BY ALL),
@@ -31,12 +30,12 @@ def _tables(spark, sf_dir):
 
 def _series(spark, sf_dir, use_rate=False, tables=None):
     hourly, long = tables or _tables(spark, sf_dir)
-    return features.aligned_series(hourly, long, "memory", "task", "count", use_rate=use_rate, width=DAY)
+    return features.aligned_series(hourly, long, "memory", "task", "count", use_rate=use_rate)
 
 
 def _training(spark, sf_dir):
     hourly, long = _tables(spark, sf_dir)
-    return flows.tasks_against_memory(hourly, long, width=DAY)
+    return flows.tasks_against_memory(hourly, long)
 
 
 @query("prj10_worker_containers", "SELECT tick, container_id FROM hcell WHERE container_id NOT LIKE '%000001'")

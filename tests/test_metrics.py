@@ -127,7 +127,7 @@ def test_active_containers(spark, rows):
     df = spark.createDataFrame(
         [(0, "a"), (0, "b"), (1000, "a"), (1000, "b"), (2000, "a")], "tick BIGINT, container_id STRING"
     )
-    assert rows(cells.active_containers(df, 1000)) == [(0, 2), (2000, 1)]
+    assert rows(cells.active_containers(df)) == [(0, 2), (2000, 1)]
 
 
 def test_zero_fill_longer_than_its_limit_adds_nothing(spark):

@@ -112,7 +112,7 @@ def window_loop(ticks, size, stride):
 
 @pytest.mark.parametrize(("size", "stride"), [(1000, 1000), (3, 2), (4, 1)])
 def test_gap_aware_golden_and_simulation(spark, rows, monkeypatch, size, stride):
-    monkeypatch.setattr(windows, "TICKS_PER_SEGMENT", 4)
+    monkeypatch.setattr(segments, "SPLIT_ROWS", 4)
     rng = random.Random(size)
     scopes = {"golden": [*range(10), *range(15, 25)]}
     scopes |= {f"s{i}": rng.sample(range(40), rng.randint(1, 36)) for i in range(30)}
@@ -177,6 +177,20 @@ def test_merged_halves_equal_simulation(spark, rows, cut, size, stride):
     assert rows(out, "source", "window_no", *how) == sorted(expected, key=repr)
 
 
+def test_pairing_is_one_shuffle(spark, tmp_path):
+    schema = "container_id STRING, app_id STRING, ts TIMESTAMP, type STRING, name STRING, tags MAP<STRING,STRING>, value DOUBLE, is_finish BOOLEAN, rule_id INT, group_id INT, seq BIGINT"
+    rows = [(f"c{i % 3}", "a", at(i), "period", "task", {"TID": str(i % 7)}, 1.0, i % 2 == 1, 0, 0, i) for i in range(50)]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "facts"))
+    spark.createDataFrame([("c1", at(30), 99)], "container_id STRING, ts TIMESTAMP, seq BIGINT").write.parquet(str(tmp_path / "marks"))
+    plain, cut = (
+        periods.pair(spark.read.parquet(str(tmp_path / "facts")), spark.read.parquet(str(tmp_path / "marks")), **how)
+        for how in ({}, {"split_rows": 5})
+    )
+    plan = plain._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and plan.count("FileScan") == 2
+    assert sorted(map(str, plain.collect())) == sorted(map(str, cut.collect()))
+
+
 def test_long_windows_copy_no_rows(spark):
     df = spark.createDataFrame([("a", at(i), i) for i in range(300)], "k STRING, ts TIMESTAMP, v BIGINT")
     out = windows.positional_reduce(df, segments.micros(), ["ts"], 60, 1, ["k"], {"x": ("sum", "v")})
