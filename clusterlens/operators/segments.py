@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from clusterlens.session import stage
 
 SEGMENT = "_segment"
-SPLIT_ROWS = 5_000_000
+SPLIT_ROWS = 1_000_000
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
