@@ -142,10 +142,72 @@ summed AS (
 SELECT * EXCLUDE (x), (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley FROM summed
 """
 
+
+def _edit(state: str, letter: str, cost: str, piece: str | None = None) -> str:
+    """A way (cost, audit, text so far) one edit further; null where there is none."""
+    text = f"{state}.t" if piece is None else f"CASE WHEN {state}.t IS NULL THEN {piece} ELSE {state}.t || chr(10) || {piece} END"
+    return f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 't': {text}}} END"
+
+
+def _row_edits(state: str, initial: str, name: str) -> list[str]:
+    keep, free = _edit(state, "K", "more", "role || ':' || text"), "fault NOT IN ('b', 'd')"
+    out = [f"CASE WHEN {free} AND role[1:1] = '{initial}' THEN {keep} END"]
+    return out + ([f"CASE WHEN {free} THEN {_edit(state, 'R', '2 + more', f"'{name}:' || text")} END"] if name else [])
+
+
+_OPEN = "list_min([su, " + ", ".join(_edit(s, "I", "2", "'user:'") for s in ("s0", "ss", "sa")) + "])"  # after user, rows inserted
+_SHUT = f"list_min([sa, {_edit('u1', 'I', '2', "'assistant:'")}])"
+_WAY = "STRUCT(c BIGINT, a VARCHAR, t VARCHAR)"
+# The repair by walking forward, one row of every conversation at a time, with the least way to each of the four states.
+OP11 = rf"""
+WITH RECURSIVE drawn AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce([4294967295::BIGINT] || flatten(list_transform(
+        list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda ch: ascii(ch)::BIGINT),
+        lambda b: [b, -1, -1, -1, -1, -1, -1, -1, -1])),
+      lambda x, y: CASE WHEN y >= 0 THEN xor(x, y) WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END), 4294967295) % 20 AS k
+  FROM conversations),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+    CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN k = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM drawn WHERE k <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(role || ':' || text || ':' || len(role)), copy) AS i
+  FROM damaged),
+faulty AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'b'
+      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+      WHEN regexp_extract(text, '(?s)([^ 	-])[ 	-]*$', 1) NOT IN ('.', '!', '?') THEN 't' ELSE '.' END AS fault,
+    coalesce(lag(role[1:1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1:1] NOT IN ('su', 'ua', 'au'), false) AS apart
+  FROM placed),
+walk AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS i, {{'c': 0, 'a': '', 't': NULL}}::{_WAY} AS s0, NULL::{_WAY} AS ss, NULL::{_WAY} AS su, NULL::{_WAY} AS sa
+  FROM drawn
+  UNION ALL
+  SELECT conv_id, i, {_edit("s0", "D", "3")}, list_min([{", ".join([_edit("ss", "D", "3"), *_row_edits("s0", "s", "")])}]),
+    list_min([{", ".join([_edit("u1", "D", "3"), *(e for s in ("s0", "ss", "a1") for e in _row_edits(s, "u", "user"))])}]),
+    list_min([{", ".join([_edit("a1", "D", "3"), *_row_edits("u1", "a", "assistant")])}])
+  FROM (SELECT *, {_SHUT} AS a1 FROM (SELECT w.conv_id, f.i, role, text, fault, CASE fault WHEN 't' THEN 1 ELSE 0 END AS more, s0, ss, su, sa, {_OPEN} AS u1
+    FROM walk w JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1))),
+ended AS (
+  SELECT conv_id, list_min([s0, {_SHUT}]) AS way
+  FROM (SELECT *, {_OPEN} AS u1 FROM walk QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1)),
+counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+    count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (apart) AS illegal
+  FROM faulty GROUP BY conv_id)
+SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, way.c AS cost, way.a AS audit,
+  sha256(coalesce(way.t, '')) AS repaired_sha256
+FROM ended e LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
 ORACLES = {
     "op1_mixing": OP1,
     "op2_url_filter": OP2,
     "op6_exact_dedup": OP6,
     "op9_repeats": OP9,
+    "op11_conversations": OP11,
     "op12_filter_audit": OP12,
 }
