@@ -4,27 +4,25 @@ from __future__ import annotations
 
 import re
 
-CONTAINER_STATES = (
-    "'NEW','LOCALIZING','LOCALIZED','RUNNING','KILLING','EXITED_WITH_SUCCESS','DONE',"
-    "'LOCALIZATION_FAILED','CONTAINER_CLEANEDUP_AFTER_KILL','EXITED_WITH_FAILURE'"
-)
-APP_STATES = (
-    "'NEW','NEW_SAVING','SUBMITTED','ACCEPTED','RUNNING','FINAL_SAVING','FINISHING','FINISHED',"
-    "'FAILED','KILLING','KILLED'"
-)
-ATTEMPT_STATES = (
-    "'NEW','SUBMITTED','SCHEDULED','ALLOCATED','LAUNCHED','FAILED','RUNNING','FINISHING','FINISHED',"
-    "'KILLED','ALLOCATED_SAVING','LAUNCHED_UNMANAGED_SAVING','FINAL_SAVING'"
-)
-RM_CONTAINER_STATES = (
-    "'NEW','RESERVED','ALLOCATED','ACQUIRED','RUNNING','COMPLETED','EXPIRED','RELEASED','KILLED'"
-)
+from clusterlens.functions import states
+
+
+def _names(table) -> str:
+    """State names in order of their codes, as a SQL list without brackets."""
+    return ",".join(f"'{name}'" for name in table)
+
+
+CONTAINER_STATES = _names(states.CONTAINER)
+APP_STATES = _names(states.APP)
+ATTEMPT_STATES = _names(states.APP_ATTEMPT)
+RM_CONTAINER_STATES = _names(states.RM_CONTAINER)
 
 
 def state_code(names: str, column: str) -> str:
     return f"nullif(coalesce(list_position([{names}], {column}), 0), 0)::DOUBLE"
 
 
+# Fixed patterns, those of the bundled rules with named groups in this engine's spelling.
 RUNNING = r".*Running task.* in stage (?P<stageID>[0-9]+\.[0-9]).*TID (?P<TID>[0-9]+).*"
 FINISHED = r".*Finished task.*in (?P<stageID>stage [0-9]+\.[0-9]).*TID (?P<TID>[0-9]+).*\s(?P<byte>[0-9]+).*"
 STORED = r".*stored as (?:values|bytes) in memory.*estimated size (?P<byte>[0-9]+\.[0-9]+.*),.*"
