@@ -5,7 +5,8 @@ probabilities of all categories before it. A later model is trained on out-of-fo
 ones (each document scored by models that did not see it), so it learns how far they can be trusted; at use the
 earlier models are those fitted on the whole sample.
 
-The labels tell toxic or not; the categories before it are toxic documents with a word of the category's list.
+The labels tell toxic or not. The categories before it are kinds of toxic documents that the sample shows by itself: its
+toxic documents fall into two groups by their terms (two means by cosine, from the two least alike), whatever the language.
 Models are fitted on a bounded sample (`SAMPLE_DOCS` labelled documents with the least hash): map tasks count in
 how many toxic and other documents each term stands, the `FEATURES` terms with the largest log odds are kept.
 The threshold is the one with the best F1 over the sample's out-of-fold probabilities.
@@ -33,11 +34,8 @@ STEPS = 200
 RATE = 0.3
 RIDGE = 3e-4
 PREFIXES = (4, 5, 6)
-CATEGORIES = {
-    "insult": frozenset("idiot moron stupid clown loser".split()),
-    "contempt": frozenset("trash scum pathetic worthless disgusting".split()),
-}
-CHAIN = (*CATEGORIES, "toxic")
+KINDS = 2
+CHAIN = ("first_kind", "second_kind", "toxic")
 TABLE_ENTRIES = 1 << 20
 _WORD = re.compile(r"[^\W_]+")
 
@@ -97,6 +95,24 @@ def fit_chain(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> tuple[list[np.n
     return weights, early
 
 
+def kinds_of(x: np.ndarray, steps: int = 50) -> np.ndarray:
+    """The group of each row: two means by cosine, begun at the first row and the row least like it; the larger group is 0."""
+    length = np.linalg.norm(x, axis=1, keepdims=True)
+    unit = x / np.where(length > 0, length, 1)
+    if not len(unit):
+        return np.zeros(0, dtype=int)
+    center = unit[[0, int(np.argmin(unit @ unit[0]))]]
+    group = np.full(len(unit), -1)
+    for _ in range(steps):
+        nearest = (unit @ center.T).argmax(axis=1)
+        if (nearest == group).all():
+            break
+        group = nearest
+        means = [unit[group == k].mean(axis=0) if (group == k).any() else center[k] for k in range(KINDS)]
+        center = np.stack([m / (np.linalg.norm(m) or 1) for m in means])
+    return group if (group == 0).sum() * 2 >= len(group) else 1 - group
+
+
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     """The middle of the gap above which F1 is best."""
     if not len(p) or not y.any():
@@ -147,17 +163,15 @@ def _sample_rows(vocabulary: list[str]):
         for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             found = [hits(t) for t in texts]
-            kinds = [[bool(c & set(words_of(t))) for c in CATEGORIES.values()] for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
                     batch.column("toxic"),
-                    pa.array(kinds, pa.list_(pa.bool_())),
                     pa.array([list(f) for f in found], pa.list_(pa.int32())),
                     pa.array([list(f.values()) for f in found], pa.list_(pa.int32())),
                     batch.column("fold"),
                 ],
-                names=["doc_id", "toxic", "kinds", "features", "counts", "fold"],
+                names=["doc_id", "toxic", "features", "counts", "fold"],
             )
 
     return run
@@ -177,12 +191,15 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = S
     spread = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("other") + 0.5))
     best = counts.select("term", F.abs(odds / spread).alias("z")).orderBy(F.desc("z"), "term").limit(FEATURES)
     vocabulary = sorted(r.term for r in best.toLocalIterator())
-    got = rows.mapInArrow(_sample_rows(vocabulary), "doc_id long, toxic boolean, kinds array<boolean>, features array<int>, counts array<int>, fold int")
+    got = rows.mapInArrow(_sample_rows(vocabulary), "doc_id long, toxic boolean, features array<int>, counts array<int>, fold int")
     got = sorted(got.toLocalIterator(), key=lambda r: (r.doc_id, r.features, r.counts))
     x = np.zeros((len(got), len(vocabulary)))
     for i, r in enumerate(got):
         x[i, r.features] = np.log1p(r.counts)
-    y = np.array([[*(k and r.toxic for k in r.kinds), r.toxic] for r in got], dtype=float).reshape(len(got), len(CHAIN))
+    y = np.zeros((len(got), len(CHAIN)))
+    y[:, -1] = [r.toxic for r in got]
+    toxic = np.flatnonzero(y[:, -1])
+    y[toxic, kinds_of(x[toxic])] = 1
     weights, early = fit_chain(x, y, np.array([r.fold for r in got], dtype=int))
     return Model(vocabulary, weights, best_threshold(early[:, -1], y[:, -1]))
 
