@@ -31,7 +31,7 @@ STRICT = tuple(
     sexshop sexvideo sexvideos sextape sextapes sextube sextoy sextoys nude nudes nsfw adult adults hentai milf milfs camgirl
     camgirls upskirt blowjob blowjobs handjob handjobs gangbang gangbangs bukkake creampie cumshot cumshots deepthroat bdsm erotic
     erotica erotik erotique erotico softcore threesome threesomes orgy orgies dildo dildos striptease stripclub stripclubs escort
-    escorts callgirl callgirls call-girl call-girls onlyfans hookup hookups swingers xvideos xnxx xhamster redtube youporn brazzers
+    escorts callgirl callgirls call-girl call-girls onlyfans swingers xvideos xnxx xhamster redtube youporn brazzers
     casino casinos kasino kasinos poker pokerstars pokies blackjack baccarat sportsbook sportsbooks bookie bookies freespins
     free-spins slot-machine slot-machines slotmachine slotmachines
     viagra cialis levitra kamagra sildenafil tadalafil vardenafil phentermine online-pharmacy onlinepharmacy canadian-pharmacy
