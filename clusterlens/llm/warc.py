@@ -145,19 +145,23 @@ def _gzipped(file, start: int, raw: bytes) -> tuple[Record, int]:
 
 
 def _plain(file, start: int, raw: bytes) -> tuple[Record, int]:
-    """The plain record at `start`; reads on after its first chunk until its stated end."""
-    more = raw
-    while True:
-        try:
-            record, length = parse_record(raw)
-            return record, start + length
-        except Damaged:
-            stop = raw.find(b"\r\n\r\n")
-            need = re.search(rb"\r\nContent-Length: *(\d+)\r\n", raw[: stop + 2]) if stop >= 0 else None
-            if not more or raw[:5] != b"WARC/" or (stop < 0 and len(raw) > CHUNK) or (need and len(raw) >= stop + 8 + int(need[1])) or (stop >= 0 and not need):
-                raise
-        more = file.read(CHUNK)
+    """The plain record at `start`. Its stated end is looked at before its block is read, so a damaged length costs nothing."""
+    stop = raw.find(b"\r\n\r\n")
+    while stop < 0 and raw[:5] == b"WARC/" and len(raw) <= CHUNK and (more := file.read(CHUNK)):
         raw += more
+        stop = raw.find(b"\r\n\r\n")
+    need = re.search(rb"\r\nContent-Length: *(\d+)\r\n", raw[: stop + 2]) if stop >= 0 and raw[:5] == b"WARC/" else None
+    end = stop + 8 + int(need[1]) if need else 0
+    if end > len(raw):
+        if start + end > file.seek(0, 2):
+            raise Damaged("length goes beyond the end of the archive")
+        file.seek(start + end - 4)
+        if file.read(4) != b"\r\n\r\n":
+            raise Damaged("length does not meet the end of the record")
+        file.seek(start + len(raw))
+        raw += file.read(end - len(raw))
+    record, length = parse_record(raw)
+    return record, start + length
 
 
 def _accept(file, start: int) -> tuple[Record, int]:

@@ -262,3 +262,42 @@ def test_stages_keep_columns_of_any_name(spark):
     kept = exact_dedup.deduplicate(spark, docs).collect()
     last = {t: max(r[0] for r in rows if r[1] == t) for t in {r[1] for r in rows}}
     assert sorted((r.doc_id, r.text is None) for r in kept) == sorted((d, t is None) for t, d in last.items())
+
+
+def test_a_damaged_length_of_a_plain_archive_is_not_read_to_its_end(tmp_path):
+    import io
+
+    from clusterlens.llm import warc
+
+    class Counting(io.BytesIO):
+        taken = 0
+
+        def read(self, n=-1):
+            out = super().read(n)
+            self.taken += len(out)
+            return out
+
+    def record(i, length=None):
+        block = b"x" * 50_000
+        head = f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:{i}>\r\nContent-Length: {length or len(block)}\r\n\r\n"
+        return head.encode() + block + b"\r\n\r\n"
+
+    records = [record(i) for i in range(200)]
+    for damaged in (5_000_000, 10**12):
+        archive = b"".join([records[0], record(1, damaged), *records[2:]])
+        file = Counting(archive)
+        found = list(warc.salvage(file))
+        assert [f[2] is None for f in found] == [True, False, *[True] * 198]
+        assert found[1][:2] == (len(records[0]), len(archive) - sum(map(len, records[2:])))
+        assert file.taken < 3 * len(archive)
+
+
+def test_kinds_of_toxic_documents_are_groups_of_the_sample():
+    from clusterlens.llm import toxicity
+
+    rng = np.random.default_rng(3)
+    x = np.zeros((90, 8))
+    x[:60, :4], x[60:, 4:] = rng.random((60, 4)) + 0.2, rng.random((30, 4)) + 0.2
+    assert toxicity.kinds_of(x).tolist() == [0] * 60 + [1] * 30
+    assert toxicity.kinds_of(x[:1]).tolist() == [0] and toxicity.kinds_of(x[:0]).tolist() == []
+    assert set(toxicity.kinds_of(np.ones((5, 3))).tolist()) == {0}
