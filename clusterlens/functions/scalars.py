@@ -82,3 +82,16 @@ def to_megabytes(value: Column) -> Column:
 def format_millis(epoch_ms: Column) -> Column:
     return F.date_format(F.timestamp_millis(epoch_ms), TIMESTAMP_FORMAT)
 
+
+def plain_number(value: Column) -> Column:
+    """Text of a double without an exponent, as counters are written: 13948000.0, not 1.3948E7.
+
+    Numbers that 18 decimals or 20 digits before the point do not hold exactly keep the exponent, so the text always reads back as
+    the same number.
+    """
+    size = F.abs(value)
+    exact = value.try_cast("decimal(38,18)")
+    digits = F.regexp_replace(F.regexp_replace(exact.cast("string"), "0+$", ""), r"\.$", ".0")
+    # an engine writes the smallest of these as 0E-18
+    with_exponent = (size >= 1e7) | ((size < 1e-3) & (size > 1e-17))
+    return F.when(with_exponent & (exact.cast("double") == value), digits).otherwise(value.cast("string"))

@@ -27,14 +27,14 @@ def to_log_messages(lines: DataFrame) -> DataFrame:
 
 
 def to_metric_messages(samples: DataFrame) -> DataFrame:
-    """(key, value) of samples: the ten-field comma-separated line."""
+    """(key, value) of samples: the ten-field comma-separated line, its numbers in plain digits."""
     return samples.select(
         F.concat("container_id", F.lit("-metric")).alias("key"),
         F.concat_ws(
             ",",
             "container_id",
             scalars.format_millis(F.unix_millis("ts")),
-            *[F.col(c).cast("string") for c in METRIC_FIELDS],
+            *[scalars.plain_number(F.col(c)) for c in METRIC_FIELDS],
         ).alias("value"),
     )
 

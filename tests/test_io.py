@@ -195,3 +195,10 @@ def test_action_list():
     found = actions.parse("pkg.mod:run:1000, other:go:5 ,broken:x,./dir.jar/x:y:1")
     assert found == [actions.ActionInfo("pkg.mod", "run", 1000), actions.ActionInfo("other", "go", 5)]
     assert actions.resolve(actions.ActionInfo("json", "dumps", 1)) is json.dumps
+
+
+def test_metric_messages_write_counters_in_plain_digits(spark):
+    line = f"{C2},2020-01-01 00:00:00.000,1.5,13948000,98999000,2,3,4,5000000000,6"
+    samples = flows.samples(spark.createDataFrame([(1, f"{C2}-metric", line, "metric")], "seq BIGINT, key STRING, value STRING, route STRING"))
+    out = records.to_metric_messages(samples).first()
+    assert out.value == f"{C2},2020-01-01 00:00:00.000,1.5,13948000.0,98999000.0,2.0,3.0,4.0,5000000000.0,6.0"

@@ -90,3 +90,16 @@ def test_memory_limit_and_kind(spark):
         scalars.is_integral(F.col("b")),
     ).first()
     assert tuple(row) == (5, True, False)
+
+
+@pytest.mark.parametrize(
+    ("value", "expected"),
+    [
+        (13948000.0, "13948000.0"), (123456789.25, "123456789.25"), (-2.5e9, "-2500000000.0"), (9999999.5, "9999999.5"),
+        (0.00025, "0.00025"), (0.0, "0.0"), (-0.0, "-0.0"), (77.97, "77.97"), (1e300, "1.0E300"), (1e-30, "1.0E-30"),
+        (float("nan"), "NaN"), (float("inf"), "Infinity"), (None, None),
+    ],
+)
+def test_plain_number(spark, value, expected):
+    df = spark.createDataFrame([(value,)], "v DOUBLE")
+    assert df.select(scalars.plain_number(F.col("v"))).first()[0] == expected
