@@ -4,13 +4,15 @@ A window function partitioned by a container alone sends all rows of that contai
 most containers and wrong for a hot one. So one small aggregate counts the rows of each key; where a key has more than
 `split_rows`, its series is cut into segments of time. Windows run inside (key, segment), and what one needs from other
 segments comes from a summary with one row per (key, segment), itself built by a map-side combined aggregate. Where no key is
-crowded there is one segment per key and no summary, and an operator is one shuffle.
+crowded there is one segment per key and no summary, and an operator is one shuffle. A table of more than `WHOLE_ROWS` rows is
+dealt by key and segment to as many tasks as hold about `TASK_ROWS` each, so what a task sorts does not grow with the table.
 
 Each operator reads its input for the count as well, so give it a stored table.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 from operator import and_
@@ -21,7 +23,9 @@ from pyspark.sql import functions as F
 from clusterlens.session import stage
 
 SEGMENT = "_segment"
-SPLIT_ROWS = 1_000_000
+SPLIT_ROWS = 200_000
+TASK_ROWS = 100_000
+WHOLE_ROWS = 500_000
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -35,6 +39,16 @@ def micros(ts: str = "ts") -> Column:
     return F.unix_micros(F.col(ts))
 
 
+def deal(df: DataFrame, keys: Sequence[str | Column], rows: int, task_rows: int | None = None) -> DataFrame:
+    """Rows of equal keys in one task, about `task_rows` (`TASK_ROWS`) in each; a small table is left to the optimizer.
+
+    Partitions that adapt to bytes can hold millions of narrow rows, which take far more memory where they are sorted.
+    """
+    if rows <= WHOLE_ROWS:
+        return df
+    return df.repartition(max(math.ceil(rows / (task_rows or TASK_ROWS)), df.sparkSession.sparkContext.defaultParallelism), *keys)
+
+
 def assign(
     df: DataFrame,
     keys: Sequence[str],
@@ -65,25 +79,38 @@ def cut_crowded(
     `minor` names a STRING column that orders rows of one instant. An instant that is crowded is then cut by prefixes of
     it, each as long as it takes, and the segment is a pair (start on the axis, prefix).
     """
+    return _cut(df, keys, axis, width, split_rows, minor)[:2]
+
+
+def _cut(
+    df: DataFrame,
+    keys: Sequence[str],
+    axis: Column,
+    width: int | None = None,
+    split_rows: int | None = None,
+    minor: str | None = None,
+) -> tuple[DataFrame, bool, int]:
+    """`cut_crowded`, and the number of rows."""
     at = F.col("_axis")
     split_rows = split_rows or SPLIT_ROWS
     cut = width is not None
     grid = at - F.pmod(at, F.lit(width)) if cut else F.lit(0).cast("bigint")
     df = df.withColumn("_axis", axis).withColumn(SEGMENT, grid)
     while True:
+        sizes = df.groupBy(*keys, SEGMENT).agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi"))
+        too_many = (F.col("_n") > split_rows) & (F.col("_hi") > F.col("_lo"))
+        found = sizes.agg(F.sum("_n").alias("rows"), F.max(too_many).alias("crowded")).first()
         crowded = (
-            df.groupBy(*keys, SEGMENT)
-            .agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi"))
-            .where((F.col("_n") > split_rows) & (F.col("_hi") > F.col("_lo")))
+            sizes.where(too_many)
             .withColumn("_pieces", F.ceil(F.col("_n") / F.lit(split_rows)))
             .withColumn("_step", F.ceil((F.col("_hi") - F.col("_lo") + 1) / F.col("_pieces")))
             .select(*keys, SEGMENT, "_lo", "_step")
         )
-        if crowded.isEmpty():
+        if not found["crowded"]:
             if minor is not None:
                 df, again = _cut_instants(df, keys, split_rows, minor)
                 cut = cut or again
-            return df.drop("_axis"), cut
+            return df.drop("_axis"), cut, found["rows"] or 0
         cut = True
         finer = at - F.pmod(at - F.col("_lo"), F.col("_step"))
         df = (
@@ -161,15 +188,15 @@ def lag(
     **cut,
 ) -> DataFrame:
     """Add the previous row's values: `columns` maps new name -> source column; null on the first row."""
-    df, several = cut_crowded(df, keys, axis, **cut)
+    df, several, rows = _cut(df, keys, axis, **cut)
     row = F.struct(*[F.col(src).alias(new) for new, src in columns.items()])
-    window = inside(keys, order)
+    local = deal(df, [*keys, SEGMENT], rows).withColumn("_prev", F.lag(row).over(inside(keys, order)))
     if not several:
-        return df.withColumn("_prev", F.lag(row).over(window)).select("*", "_prev.*").drop("_prev", SEGMENT)
+        return local.select("*", "_prev.*").drop("_prev", SEGMENT)
     handed = carry(df, keys, _handed=(F.max_by(row, F.struct(*order)), "last"))
     return (
-        join_on(df, handed, [*keys, SEGMENT], "left")
-        .withColumn("_prev", F.coalesce(F.lag(row).over(window), F.col("_handed")))
+        join_on(local, handed, [*keys, SEGMENT], "left")
+        .withColumn("_prev", F.coalesce("_prev", "_handed"))
         .select("*", "_prev.*")
         .drop("_prev", "_handed", SEGMENT)
     )
@@ -186,18 +213,19 @@ def fill(
     **cut,
 ) -> DataFrame:
     """Add the latest non-null `value` up to and including each row (or the earliest from it on)."""
-    df, several = cut_crowded(df, keys, axis, **cut)
+    df, several, rows = _cut(df, keys, axis, **cut)
     df = df.withColumn("_value", value)
     window = inside(keys, [F.desc(c) for c in order] if forward else order)
-    local = F.last("_value", ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, 0))
+    here = F.last("_value", ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, 0))
+    local = deal(df, [*keys, SEGMENT], rows).withColumn(name, here)
     if not several:
-        return df.withColumn(name, local).drop("_value", SEGMENT)
+        return local.drop("_value", SEGMENT)
     rank = F.when(F.col("_value").isNotNull(), F.struct(*order))
     pick, how = (F.min_by, "next") if forward else (F.max_by, "last")
     handed = carry(df, keys, _handed=(pick(F.col("_value"), rank), how))
     return (
-        join_on(df, handed, [*keys, SEGMENT], "left")
-        .withColumn(name, F.coalesce(local, F.col("_handed")))
+        join_on(local, handed, [*keys, SEGMENT], "left")
+        .withColumn(name, F.coalesce(name, "_handed"))
         .drop("_value", "_handed", SEGMENT)
     )
 
@@ -213,20 +241,21 @@ def running_count(
     **cut,
 ) -> DataFrame:
     """Add the number of earlier rows of the key with `flag`; optionally the key's total as well."""
-    df, several = cut_crowded(df, keys, axis, **cut)
+    df, several, rows = _cut(df, keys, axis, **cut)
     df = df.withColumn("_flag", flag.cast("bigint"))
     window = inside(keys, order).rowsBetween(Window.unboundedPreceding, -1)
     here = F.coalesce(F.sum("_flag").over(window), F.lit(0))
+    local = deal(df, [*keys, SEGMENT], rows).withColumn(name, here)
     if not several:
-        if total:
-            df = df.withColumn(total, F.sum("_flag").over(Window.partitionBy(*keys, SEGMENT)))
-        return df.withColumn(name, here).drop("_flag", SEGMENT)
+        if total:  # after the count, whose order serves it
+            local = local.withColumn(total, F.sum("_flag").over(Window.partitionBy(*keys, SEGMENT)))
+        return local.drop("_flag", SEGMENT)
     values = {"_before": (F.sum("_flag"), "sum")}
     if total:
         values[total] = (F.sum("_flag"), "total")
     return (
-        join_on(df, carry(df, keys, **values), [*keys, SEGMENT], "left")
-        .withColumn(name, here + F.coalesce(F.col("_before"), F.lit(0)))
+        join_on(local, carry(df, keys, **values), [*keys, SEGMENT], "left")
+        .withColumn(name, F.col(name) + F.coalesce(F.col("_before"), F.lit(0)))
         .drop("_flag", "_before", SEGMENT)
     )
 
@@ -246,7 +275,8 @@ def islands(
     """
     at = F.col(axis)
     end = F.col(until or axis)
-    df, several = cut_crowded(df, keys, at, width, split_rows)
+    df, several, rows = _cut(df, keys, at, width, split_rows)
+    df = deal(df, [*keys, SEGMENT], rows)
     ordered = inside(keys, [axis])
     backward = inside(keys, [F.desc(axis)])
     before, after = F.lag(end).over(ordered), F.lead(at).over(ordered)

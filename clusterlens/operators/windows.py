@@ -187,7 +187,7 @@ def positional_reduce(
 
     Positions lie in blocks of `size` rows. Each row gets the parts of its block up to it and from it on. A window is the end of
     the block it starts in and the beginning of the next, so it takes two rows, merged: at most 2 / `stride` of the rows
-    go on, whatever `size` is.
+    go on, whatever `size` is. The rows with their parts are stored, so their order is worked out once for all that is picked from them.
     """
     for how, _ in reductions.values():
         if how not in MERGED:
@@ -196,14 +196,14 @@ def positional_reduce(
     parts = list(dict.fromkeys((part, column) for how, column in reductions.values() for part in MERGED[how][0]))
     name = {pair: f"_part{i}" for i, pair in enumerate(parts)}
     n, pos = F.col("_n"), F.col("_pos")
-    rows = rows.withColumn("_block", _div(pos, size))
+    rows = segments.deal(placed.withColumn("_block", _div(pos, size)), [*scope, "_block"], n_rows)
     block = Window.partitionBy(*scope, "_block")
     frame = (Window.unboundedPreceding, 0)
     ahead, back = block.orderBy("_pos").rowsBetween(*frame), block.orderBy(F.desc("_pos")).rowsBetween(*frame)
-    both = {"_head": ahead, "_tail": back}
+    sides = {"_head": ahead, "_tail": back}
     rows = rows.select(
         *scope, "_pos", "_n",
-        *[PARTS[p][0](c).over(w).alias(f"{side}{name[p, c]}") for side, w in both.items() for p, c in parts],
+        *[PARTS[p][0](c).over(w).alias(f"{side}{name[p, c]}") for side, w in sides.items() for p, c in parts],
     )
     last = F.when(n < size, F.lit(0)).otherwise(_div(n - size, stride) + 1).cast("bigint")
 
@@ -214,18 +214,22 @@ def positional_reduce(
     # a window opens with the tail of its first row; the head of its last row joins it where that lies in the next block
     opens = (F.pmod(pos, F.lit(stride)) == 0) & (_div(pos, stride) <= last)
     start = pos - F.lit(size - 1)
+    placed = stage(rows.select(*scope, *dict.fromkeys(c for _, c in reductions.values()), "_pos", "_n"))
+    n_rows = placed.count()
     closes = (start >= 0) & (F.pmod(start, F.lit(stride)) == 0) & (F.pmod(start, F.lit(size)) != 0)
     # only the last window can be cut short by the end of the series
     short = last * stride
     cut_off = (pos == n - 1) & (short > n - size) & (short < pos - F.pmod(pos, F.lit(size)))
     tails, heads = halves(opens, "_tail", _div(pos, stride)), halves(closes, "_head", _div(F.greatest(start, F.lit(0)), stride))
     ends = halves(cut_off, "_head", last)
-    merged = tails.unionByName(heads).unionByName(ends).groupBy(*scope, "window_no").agg(
+    both = segments.deal(tails.unionByName(heads).unionByName(ends), [*scope, "window_no"], 2 * n_rows // stride)
+    merged = both.groupBy(*scope, "window_no").agg(
         *[PARTS[p][1](name[p, c]).alias(name[p, c]) for p, c in parts]
     )
     values = [MERGED[how][1](*[F.col(name[p, c]) for p in MERGED[how][0]]).alias(out) for out, (how, c) in reductions.items()]
     return merged.select(*scope, "window_no", *values)
 
+    rows = stage(rows)
 
 # Reducers of a window of values, by name.
 REDUCERS = {
