@@ -13,6 +13,9 @@ from clusterlens.operators import segments
 from clusterlens.session import stage
 
 DEFAULT_SIZE = 1000
+# A chunk of windows in lengths of a window, and copies of panes to windows that one task makes.
+CHUNK = 8
+COPIES = 500_000
 
 
 def tick(epoch_ms: Column, size_ms: int) -> Column:
@@ -64,7 +67,7 @@ def gap_aware(
     `upper` (epoch ms) leaves out ticks that may still be filling.
     """
     pos = _div(F.col("tick") - F.col("island_start"), spec.tick)
-    return _spread(_runs(cells, spec, scope, upper), spec, pos).select(*scope, "tick", "window_start", "n_ticks")
+    return _spread(_runs(cells, spec, scope, upper), spec, *_holding(spec, pos)).select(*scope, "tick", "window_start", "n_ticks")
 
 
 def _runs(cells: DataFrame, spec: WindowSpec, scope: Sequence[str], upper: Column | None) -> DataFrame:
@@ -75,14 +78,19 @@ def _runs(cells: DataFrame, spec: WindowSpec, scope: Sequence[str], upper: Colum
     return segments.islands(stage(ticks), list(scope), "tick", spec.tick)
 
 
-def _spread(rows: DataFrame, spec: WindowSpec, pos: Column) -> DataFrame:
-    """Rows of runs once per window that holds place `pos` of the run."""
-    length = _div(F.col("island_end") - F.col("island_start"), spec.tick) + 1
+def _holding(spec: WindowSpec, pos: Column) -> tuple[Column, Column]:
+    """Numbers of the first and the last window that hold place `pos` of their run."""
     first = F.when(pos < spec.size, F.lit(0)).otherwise(
         _div(pos - spec.size + spec.stride, spec.stride)
     )
+    return first.cast("bigint"), _div(pos, spec.stride)
+
+
+def _spread(rows: DataFrame, spec: WindowSpec, first: Column, last: Column) -> DataFrame:
+    """Rows of runs once per window from number `first` to `last`."""
+    length = _div(F.col("island_end") - F.col("island_start"), spec.tick) + 1
     return (
-        rows.withColumn("_k", F.explode(F.sequence(first.cast("bigint"), _div(pos, spec.stride))))
+        rows.withColumn("_k", F.explode(F.sequence(first, last)))
         .withColumn(
             "n_ticks", F.least(F.lit(spec.size), length - F.col("_k") * spec.stride).cast("bigint")
         )
@@ -104,14 +112,27 @@ def reduce_by_panes(
 
     A pane is the greatest common divisor of length and stride, in ticks of a run, so windows hold whole
     panes. Cells are reduced to panes before any row is copied to the windows it is in. `final` sees the
-    columns of `partial`, and `n_ticks` of the window. Give stored cells: their ticks are read first.
+    columns of `partial`, and `n_ticks` of the window. Give stored cells: they are counted and their ticks read first.
+
+    Windows go in chunks of their run, so long that a pane is in two at most. All of a key and chunk is in one task, so only cells
+    are shuffled, never their copies, and a task makes about `COPIES` of them however many there are in all.
     """
     pane = math.gcd(spec.size, spec.stride)
     runs = _runs(cells, spec, scope, upper)
     rows = segments.join_on(cells, runs, [*scope, "tick"])
+    fan = math.ceil(spec.size / spec.stride)
+    length = CHUNK * fan
     place = _div(F.col("tick") - F.col("island_start"), spec.tick * pane)
-    panes = rows.groupBy(*scope, *keys, "island_start", "island_end", place.alias("_pane")).agg(*partial)
-    return _spread(panes, spec, F.col("_pane") * pane).groupBy(*scope, "window_start", *keys).agg(*final)
+    first, last = _holding(spec, F.col("_pane") * pane)
+    rows = rows.withColumn("_pane", place).withColumn("_chunk", F.explode(F.sequence(_div(first, length), _div(last, length))))
+    group = [*scope, *keys, "island_start", "_chunk"]
+    rows = segments.deal(rows, group, fan * cells.count(), COPIES)
+    panes = rows.groupBy(*group, "island_end", "_pane").agg(*partial)
+    start = F.col("_chunk") * length
+    copies = _spread(panes, spec, F.greatest(first, start), F.least(last, start + length - 1))
+    out = copies.groupBy(*group, "window_start").agg(*final).drop("island_start", "_chunk")
+    head = [*scope, "window_start", *keys]
+    return out.select(*head, *[c for c in out.columns if c not in head])
 
 
 def windowed(
@@ -193,6 +214,8 @@ def positional_reduce(
         if how not in MERGED:
             raise ValueError(f"unknown window reducer: {how}")
     rows = segments.running_count(df, list(scope), axis, list(order), F.lit(True), "_pos", total="_n", **cut)
+    placed = stage(rows.select(*scope, *dict.fromkeys(c for _, c in reductions.values()), "_pos", "_n"))
+    n_rows = placed.count()
     parts = list(dict.fromkeys((part, column) for how, column in reductions.values() for part in MERGED[how][0]))
     name = {pair: f"_part{i}" for i, pair in enumerate(parts)}
     n, pos = F.col("_n"), F.col("_pos")
@@ -205,6 +228,7 @@ def positional_reduce(
         *scope, "_pos", "_n",
         *[PARTS[p][0](c).over(w).alias(f"{side}{name[p, c]}") for side, w in sides.items() for p, c in parts],
     )
+    rows = stage(rows)
     last = F.when(n < size, F.lit(0)).otherwise(_div(n - size, stride) + 1).cast("bigint")
 
     def halves(which: Column, side: str, window_no: Column) -> DataFrame:
@@ -214,8 +238,6 @@ def positional_reduce(
     # a window opens with the tail of its first row; the head of its last row joins it where that lies in the next block
     opens = (F.pmod(pos, F.lit(stride)) == 0) & (_div(pos, stride) <= last)
     start = pos - F.lit(size - 1)
-    placed = stage(rows.select(*scope, *dict.fromkeys(c for _, c in reductions.values()), "_pos", "_n"))
-    n_rows = placed.count()
     closes = (start >= 0) & (F.pmod(start, F.lit(stride)) == 0) & (F.pmod(start, F.lit(size)) != 0)
     # only the last window can be cut short by the end of the series
     short = last * stride
@@ -229,7 +251,6 @@ def positional_reduce(
     values = [MERGED[how][1](*[F.col(name[p, c]) for p in MERGED[how][0]]).alias(out) for out, (how, c) in reductions.items()]
     return merged.select(*scope, "window_no", *values)
 
-    rows = stage(rows)
 
 # Reducers of a window of values, by name.
 REDUCERS = {

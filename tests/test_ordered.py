@@ -429,3 +429,23 @@ def test_kmeans_of_odd_rows(spark, rows):
     )
     assert models.kmeans(data.where("x > 100")).isEmpty()
     assert {r.cluster for r in models.kmeans(data.where("x = 9"), k=3).toLocalIterator()} == {0}
+
+
+def test_tasks_hold_so_many_rows(spark, monkeypatch):
+    """What a task sorts or groups does not grow with the table: each gets about TASK_ROWS (or COPIES) rows, in one chain of windows."""
+    monkeypatch.setattr(segments, "WHOLE_ROWS", 100)
+    monkeypatch.setattr(segments, "TASK_ROWS", 200)
+    monkeypatch.setattr(windows, "COPIES", 1000)
+    df = spark.range(4000).select((F.col("id") % 50).alias("k"), F.timestamp_seconds("id").alias("ts"), F.col("id").alias("v"))
+    out = windows.positional_reduce(df, segments.micros(), ["ts"], 4, 2, ["k"], {"x": ("sum", "v")})
+    assert out.rdd.getNumPartitions() >= 20 and out.count() == 50 * 40
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan  # the ordered rows are stored once, not worked out for each half
+    cells = spark.range(4000).select((F.col("id") % 400).alias("tick"), F.floor(F.col("id") / 400).alias("container_id"), F.lit(1.0).alias("memory"))
+    means = features.pane_mean(cells, WindowSpec(60, 1), "memory")
+    assert means.rdd.getNumPartitions() >= 200
+    # windows are made behind the only shuffle of the cells, so their copies go over none
+    lines = means._jdf.queryExecution().executedPlan().toString().splitlines()
+    generate = [i for i, x in enumerate(lines) if "Generate" in x]
+    assert not any("Exchange" in x for x in lines[: generate[0]])
+    assert means.count() == 400 * 10 and means.where("window_start < 341 and abs(mean - 1) > 1e-9").isEmpty()
