@@ -450,7 +450,7 @@ def json_snapshots(spark, sf_dir):
     folder = new_folder(spark)
     for n in range(3):
         snapshots.write_snapshot(rows.where(F.col("n") == n).drop("n", "last"), folder, "json")
-    store = logs.read_store(spark, folder)
+    store = stage(logs.read_store(spark, folder))  # read several times below: its text is parsed here once
     merged = logs.merge_snapshots(store, logs.snapshot_number(F.col("source")))
     messages = logs.snapshot_messages(merged).select(*cells.CELL, "key", F.col("identifiers")["TID"].alias("tid"), "value")
     return merged.select(*cells.CELL, "app_id", "memory").join(messages, cells.CELL)

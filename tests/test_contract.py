@@ -1,5 +1,6 @@
 """The registered queries: names, columns, plans, and values in a second engine on the small tables."""
 
+import math
 import os
 import re
 
@@ -9,7 +10,7 @@ import pytest
 import __spark_entry__ as contract
 from check import TABLES, normal
 from clusterlens.operators import segments
-from clusterlens.plans import catalog
+from clusterlens.plans import catalog, demo
 
 SMALL = "/root/testdata/sf0.001"
 WITHOUT_SQL: set[str] = set()
@@ -64,3 +65,17 @@ def test_scan_is_pruned_and_filtered(spark):
     assert sorted(c.split(":")[0] for c in schema.split(",")) == [
         "l_discount", "l_linenumber", "l_orderkey", "l_quantity", "l_returnflag",
     ]
+
+
+@needs_tables
+def test_events_are_dealt_by_their_number(spark, monkeypatch):
+    """Tasks that make and parse log text are as many as the events need, not a fixed few."""
+    monkeypatch.setattr(demo, "TASK_EVENTS", 20)
+    events = demo.events(spark, SMALL)
+    assert events.rdd.getNumPartitions() == max(demo.TASKS, math.ceil(events.count() / 20)) > demo.TASKS
+
+
+@needs_tables
+def test_snapshot_text_is_parsed_once(spark):
+    plan = contract.queries()["src7_json_snapshots"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in plan and "FileScan text" not in plan
