@@ -6,6 +6,8 @@ container its user stands for. Nothing is sampled: each view covers the whole ta
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,7 @@ MINUTE = 60_000
 HOUR = 3_600_000
 RECORDS_PER_EVENT = 4
 TASKS = 16
+TASK_EVENTS = 50_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +36,8 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(
         "event_id", ts.alias("ts"), "user_id", "event_type", "value"
     )
-    rows = rows.repartition(TASKS, "event_id")  # a test table is one row group; log text would be cut by the file system
+    # a test table is one row group; log text would be cut by the file system
+    rows = rows.repartition(max(TASKS, math.ceil(rows.count() / TASK_EVENTS)), "event_id")
     return (
         rows.withColumn(
             "container_id",
