@@ -14,7 +14,7 @@ counters, a table of fixed size; a shingle counts as rare where its counter does
    the leader that no text outside their class can be linked to them (one minus weighted Jaccard is a metric).
    Texts in open bands may share a passage rather than be copies; they draw `FINE_BANDS` bands of `FINE_ROWS` samples,
    in which pairs of a similarity of 0.8 meet with a probability of 0.999 and of 0.5 with 0.06. Of a fine band, texts
-   of other classes whose sketches (a bit of each sample) leave room for a link are compared with one leader, then with four times as many in each round; a leader that met
+   of other classes whose sketches (a bit of each sample) leave room for a link are compared with one leader, then with more in each round; a leader that met
    all others leaves, a band in one class is done, and rounds go on until no band is open.
 4. A pair is a link when the weighted Jaccard similarity of the whole texts is at least `LEAST`. Classes are the
    connected components of links, found by spreading the least label and jumping along labels.
@@ -316,16 +316,19 @@ class _Search:
 
     def rounds(self, bands: DataFrame, sketches: DataFrame) -> None:
         """Compare ever more leaders of each band with texts of other classes, until no band is open."""
-        most, rows = 1, self.scratch.stage(_unlike(self.classed(bands)).join(sketches, "v"), "fine-0")
+        place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("met"), "v"))
+        rows = _unlike(self.classed(bands)).withColumn("place", place).join(sketches, "v")
+        last, most, near = 1, 1, _near_enough(self.least)
+        rows = self.scratch.stage(rows, "fine-0")
         while not rows.isEmpty():
-            place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("met"), "v"))
-            lead = rows.withColumn("place", place).where(f"place <= {most}")
-            lead = lead.select("key", F.col("v").alias("b"), F.col("c").alias("c_b"), F.col("sketch").alias("sketch_b"))
-            unlike = (rows["key"] == lead["key"]) & (F.col("v") != F.col("b")) & (F.col("c") != F.col("c_b"))
-            self.compare(rows.join(lead, unlike & _near_enough(self.least)).select("v", "b"))
-            rest = rows.join(lead.select("key", F.col("b").alias("v")), ["key", "v"], "left_anti").select("key", "v", "met", "sketch")
+            lead = rows.where(f"place <= {last}")
+            lead = lead.select([F.col(n).alias("b" if n == "v" else f"{n}_b") for n in lead.columns if n not in ("met", "place")])
+            unlike = (F.col("key") == F.col("key_b")) & (F.col("v") != F.col("b")) & (F.col("c") != F.col("c_b"))
+            self.compare(rows.join(lead, unlike & near).select("v", "b"))
+            rest = rows.where(f"place > {last}").drop("c")
             rows = self.scratch.stage(_unlike(self.classed(rest)), f"fine-{self.turn}")
-            most *= LEADERS
+            most *= LEADERS if most < LEADERS else LEADERS**2
+            last += most
 
 
 def links(spark: SparkSession, docs: DataFrame, bands: DataFrame, members: DataFrame, scratch: Scratch, table, least: float = LEAST) -> DataFrame | None:
