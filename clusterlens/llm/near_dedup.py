@@ -16,6 +16,10 @@ counters, a table of fixed size; a shingle counts as rare where its counter does
    in which pairs of a similarity of 0.8 meet with a probability of 0.999 and of 0.5 with 0.06. Of a fine band, texts
    of other classes whose sketches (a bit of each sample) leave room for a link are compared with one leader, then with more in each round; a leader that met
    all others leaves, a band in one class is done, and rounds go on until no band is open.
+   A band that is open after the first rounds is a crowd just below `LEAST`. Its texts get outlines: total weight, weight of the
+   shingles that no other open text has, and for all other shingles a bit per bucket, whether an odd number falls into it. Shingles of
+   one text alone, and buckets whose bits differ, are differences of two texts, so outlines bound their distance from below, and
+   only pairs are compared that this bound lets be a link; none is lost by it.
 4. A pair is a link when the weighted Jaccard similarity of the whole texts is at least `LEAST`. Classes are the
    connected components of links, found by spreading the least label and jumping along labels.
 """
@@ -26,7 +30,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clusterlens.llm import words
@@ -44,6 +49,7 @@ FINE_ROWS = 10
 LEADERS = 4
 SKETCH = 9  # words of 64 bits
 SIGMAS = 4.5
+PARITY = 16  # words of 64 bits
 DAMPING = 0.25
 
 
@@ -185,6 +191,42 @@ def _sign(table, seeds: np.ndarray, rows: int, sketch: bool = False):
     return run
 
 
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct shingles of each text."""
+    for batch in slices(batches):
+        text, gram, _ = shingles(batch.column("text"))
+        yield pa.RecordBatch.from_arrays([batch.column("v").take(pa.array(text)), pa.array(gram.view(np.int64))], names=["v", "gram"])
+
+
+def outline(texts: pa.Array, alone: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text: total weight, weight of the shingles in `alone`, and parity bits of its other shingles as 64-bit words."""
+    text, gram, count = shingles(texts)
+    weight = count * table[_counter(gram)].astype(float)
+    sizes = pc.fill_null(pc.list_value_length(alone), 0).to_numpy(zero_copy_only=False)
+    row = np.r_[text, np.repeat(np.arange(len(texts)), sizes)]
+    both = np.r_[gram, pc.list_flatten(alone).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)]
+    order = np.lexsort((both, row))  # stable: a text's shingle comes before its entry in the list
+    row, both = row[order], both[order]
+    own = np.zeros(len(order), dtype=bool)
+    own[order[:-1][(row[1:] == row[:-1]) & (both[1:] == both[:-1])]] = True
+    own = own[: len(text)]
+    n, bits = len(texts), 64 * PARITY
+    place = text * bits + (gram & np.uint64(bits - 1)).astype(np.int64)
+    odd = np.bincount(place[~own & (count % 2 == 1)], minlength=n * bits) & 1
+    words_of = np.packbits(odd.astype(np.uint8).reshape(n, bits), axis=1).view(np.int64)
+    return np.bincount(text, weight, minlength=n), np.bincount(text[own], weight[own], minlength=n), words_of
+
+
+def _outline(table):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            total, alone, parity = outline(batch.column("text"), batch.column("alone"), table.value)
+            columns = [batch.column("v"), pa.array(total), pa.array(alone), pa.array(parity.tolist(), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["v", "total", "alone", "parity"])
+
+    return run
+
+
 def similarities(a: pa.Array, b: pa.Array, table: np.ndarray) -> np.ndarray:
     """Weighted Jaccard similarity of each pair of texts; 0 where neither has a shingle."""
     parts = [shingles(x) for x in (a, b)]
@@ -264,8 +306,20 @@ def _near_enough(least: float):
     """Whether sketches leave room for a similarity of `least`: bits agree with a probability of (1 + similarity) / 2."""
     n, p = 64 * SKETCH, (1 - least) / 2
     most = n * p + SIGMAS * np.sqrt(n * p * (1 - p))
-    apart = sum((F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(SKETCH)), F.lit(0))
-    return apart <= F.lit(float(most))
+    return _bits_apart("sketch", SKETCH) <= F.lit(float(most))
+
+
+def _bits_apart(column: str, size: int) -> Column:
+    return sum((F.bit_count(F.col(column)[i].bitwiseXOR(F.col(f"{column}_b")[i])) for i in range(size)), F.lit(0))
+
+
+def _may_link(least: float, lightest: float):
+    """Whether outlines let the similarity be `least`: of total weights S it is (S - x) / (S + x), x being the weight of the differences.
+
+    No shingle weighs less than `lightest`.
+    """
+    differences = F.col("alone") + F.col("alone_b") + lightest * _bits_apart("parity", PARITY)
+    return differences <= (F.col("total") + F.col("total_b")) * ((1 - least) / (1 + least) + 1e-9)
 
 
 def _unlike(rows: DataFrame) -> DataFrame:
@@ -314,6 +368,14 @@ class _Search:
         rest = rest.join(outside, "key").where((F.col("c") != F.col("c_b")) | reach)
         return self.scratch.stage(_unlike(rest.select("key", "v", "c")).select("v").distinct(), "open")
 
+    def outlines(self, nodes: DataFrame) -> DataFrame:
+        """(v, total, alone, parity) of the texts of `nodes`; shingles that only one of these texts has are alone."""
+        texts = self.scratch.stage(self.texts.join(nodes, "v"), "crowd")
+        grams = texts.mapInArrow(_grams, "v long, gram long").groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("v"))
+        alone = grams.where("n = 1").groupBy("v").agg(F.collect_list("gram").alias("alone"))
+        texts = texts.join(alone, "v", "left").select("v", "text", "alone")
+        return self.scratch.stage(texts.mapInArrow(_outline(self.table), "v long, total double, alone double, parity array<long>"), "outlines")
+
     def rounds(self, bands: DataFrame, sketches: DataFrame) -> None:
         """Compare ever more leaders of each band with texts of other classes, until no band is open."""
         place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("met"), "v"))
@@ -321,6 +383,9 @@ class _Search:
         last, most, near = 1, 1, _near_enough(self.least)
         rows = self.scratch.stage(rows, "fine-0")
         while not rows.isEmpty():
+            if most > LEADERS and "parity" not in rows.columns:
+                rows = self.scratch.stage(rows.join(self.outlines(rows.select("v").distinct()), "v"), "fine-outlined")
+                near = near & _may_link(self.least, float(self.table.value.min()))
             lead = rows.where(f"place <= {last}")
             lead = lead.select([F.col(n).alias("b" if n == "v" else f"{n}_b") for n in lead.columns if n not in ("met", "place")])
             unlike = (F.col("key") == F.col("key_b")) & (F.col("v") != F.col("b")) & (F.col("c") != F.col("c_b"))
